@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabgate.session import stage
+
 # At most this many keys take the broadcast path. What is left after taking out the 256 heaviest
 # keys holds no key with more than 1/257 of the rows, so the shuffle below stays balanced.
 HEAVY_KEYS = 256
@@ -23,12 +25,16 @@ def attach(
 ) -> DataFrame:
     """Left join a table with one row per key onto rows whose keys may be badly skewed.
 
-    ``weight`` names the column of ``facts`` with the number of rows per key. The heaviest keys
-    (a bounded number) are joined by broadcast; their rows then travel through the shuffle under
-    a salt, so that no task receives a whole heavy key. All other columns of ``facts`` are added.
+    ``weight`` names the column of ``facts`` with the number of rows per key. ``facts`` is stored
+    first: it is computed once, and its size is known to the planner. When some keys are heavy, the
+    heaviest (a bounded number) are joined by broadcast and their rows travel through the shuffle
+    under a salt, so that no task receives a whole heavy key; otherwise the join is left to the
+    planner. All other columns of ``facts`` are added.
     """
     values = [c for c in facts.columns if c not in keys]
-    packed = facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_fact"))
+    packed = stage(
+        facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_fact")), "facts"
+    )
     heavy = (
         packed.filter(F.col(f"_fact.{weight}") >= heavy_rows)
         .orderBy(F.col(f"_fact.{weight}").desc(), *[F.col(f"_k_{k}") for k in keys])
@@ -36,6 +42,9 @@ def attach(
         .withColumnRenamed("_fact", "_heavy")
     )
     matches = _all_equal(keys)
+    if heavy.isEmpty():
+        joined = rows.join(packed, matches, "left")
+        return joined.select(*rows.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
     marked = rows.join(F.broadcast(heavy), matches, "left").drop(*[f"_k_{k}" for k in keys])
     salt = F.when(
         F.col("_heavy").isNotNull(), F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))

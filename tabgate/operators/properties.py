@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabgate.functions import typed
 from tabgate.functions.faults import ISSUE_KEYS, emit, fault, prefix, selected
 from tabgate.functions.text import DELETE_MARK, is_blank, split_plain, strip
-from tabgate.operators.lookup import LISTED, attach, counted, short_lists
+from tabgate.operators.lookup import LISTED, SPREAD, attach, counted, short_lists
 from tabgate.operators.rules import KNOWN_TYPES
 
 RULE_ON = ("data_commons", "model_version", "node_type", "prop")
@@ -102,24 +102,29 @@ def cells(records: DataFrame, rules: DataFrame, facts: DataFrame) -> DataFrame:
     rows = on_nodes(records, facts).filter(~empty_record() & F.col("known_node").isNotNull())
     long = rows.select(
         *PLACE, "model_entity", "has_props", F.explode("props").alias("prop", "value")
-    )
+    ).withColumn("original", F.col("value"))
     marked = rules.withColumn("has_rule", F.lit(True))
     return long.join(marked, list(RULE_ON), "left")
 
 
-def required_issues(cells: DataFrame, codes=None) -> DataFrame:
+def required_faults() -> dict[str, Column]:
     """Undefined properties, empty required ones, deletion of required ones."""
-    blank = is_blank(F.col("value"))
+    prop, value = F.col("prop"), F.col("original")
+    blank = is_blank(value)
     needed = F.col("has_rule") & F.coalesce("required", F.lit(False))
-    faults = {
+    deleted = F.lower(strip(value)) == DELETE_MARK
+    return {
         "M026": fault("M026", ~F.col("has_props"), "properties", ""),
-        "M017": fault("M017", F.col("has_props") & F.col("has_rule").isNull(), F.col("prop"), F.col("value"),
-                      prefix(), F.col("prop")),
-        "M003": fault("M003", needed & blank, F.col("prop"), F.col("value"), prefix(), F.col("prop")),
-        "M033": fault("M033", needed & ~blank & (F.lower(strip(F.col("value"))) == DELETE_MARK),
-                      F.col("prop"), F.col("value"), prefix(), F.col("prop")),
+        "M017": fault("M017", F.col("has_props") & F.col("has_rule").isNull(), prop, value, prefix(), prop),
+        "M003": fault("M003", needed & blank, prop, value, prefix(), prop),
+        "M033": fault("M033", needed & ~blank & deleted, prop, value, prefix(), prop),
     }
-    return emit(cells, selected(faults, codes))
+
+
+def cell_issues(rows: DataFrame, *families: dict[str, Column], codes=None) -> DataFrame:
+    """Issues of any number of check families in one pass over the cells."""
+    faults = [fault for family in families for fault in selected(family, codes)]
+    return emit(rows, faults)
 
 
 def file_name_issues(records: DataFrame, facts: DataFrame) -> DataFrame:
@@ -146,89 +151,78 @@ def submission_names(submissions: DataFrame, studies: DataFrame, organizations:
 
 
 def named_cells(cells: DataFrame, names: DataFrame, program_prop: str, study_prop: str) -> DataFrame:
-    """Adds the registered name a required Program or Study property must carry."""
-    return cells.join(names, "submission_id", "left").withColumn("names_what", _names_what(program_prop, study_prop))
-
-
-def _names_what(program_prop: str, study_prop: str) -> Column:
+    """Adds what a required Program or Study name must be equal to, and puts the registered spelling
+    into ``value`` where only the case differs."""
     filled = (
-        F.coalesce("required", F.lit(False)) & ~is_blank(F.col("value"))
-        & (F.lower(strip(F.col("value"))) != DELETE_MARK)
+        F.coalesce("required", F.lit(False)) & ~is_blank(F.col("original"))
+        & (F.lower(strip(F.col("original"))) != DELETE_MARK)
     )
-    return F.when(
+    about = F.when(
         filled & (F.col("model_entity") == "Program") & (F.col("prop") == program_prop), F.lit("program")
     ).when(filled & (F.col("model_entity") == "Study") & (F.col("prop") == study_prop), F.lit("study"))
+    joined = cells.join(names, "submission_id", "left").withColumn("names_what", about)
+    program = (F.col("names_what") == "program") & _same(F.col("program_name"), F.col("original"))
+    study = (F.col("names_what") == "study") & _same(F.col("study_name"), F.col("original"))
+    return joined.withColumn(
+        "value", F.when(program, F.col("program_name")).when(study, F.col("study_name")).otherwise(F.col("original"))
+    )
 
 
 def _same(left: Column, right: Column) -> Column:
     return F.coalesce(F.lower(left) == F.lower(right), F.lit(False))
 
 
-def name_issues(named: DataFrame, codes=None) -> DataFrame:
+def name_faults() -> dict[str, Column]:
     """M030 no program, M028 other program, M029 other study."""
-    value, program, study = F.col("value"), F.col("program_name"), F.col("study_name")
+    prop, value, program, study = F.col("prop"), F.col("original"), F.col("program_name"), F.col("study_name")
     about_program = F.col("names_what") == "program"
     advice = F.concat(
         F.lit("Program name doesn't match this study's associated programs - '"), program, F.lit("'")
     )
-    faults = {
-        "M030": fault("M030", about_program & program.isNull(), F.col("prop"), value, prefix(), study),
-        "M028": fault("M028", about_program & program.isNotNull() & ~_same(program, value), F.col("prop"), value,
-                      prefix(), advice),
-        "M029": fault("M029", (F.col("names_what") == "study") & ~_same(study, value), F.col("prop"), value,
-                      prefix(), study),
+    return {
+        "M030": fault("M030", about_program & program.isNull(), prop, value, prefix(), study),
+        "M028": fault("M028", about_program & program.isNotNull() & ~_same(program, value), prop, value, prefix(),
+                      advice),
+        "M029": fault("M029", (F.col("names_what") == "study") & ~_same(study, value), prop, value, prefix(), study),
     }
-    return emit(named, selected(faults, codes))
-
-
-def registered_spelling() -> Column:
-    """The registered name where the value equals it but for case; else null."""
-    program = (F.col("names_what") == "program") & _same(F.col("program_name"), F.col("value"))
-    study = (F.col("names_what") == "study") & _same(F.col("study_name"), F.col("value"))
-    return F.when(program, F.col("program_name")).when(study, F.col("study_name"))
 
 
 # --- D8, D9, D13-D17: checks that need nothing but the cell and its rule -------------------------
 
 
-def typed_cells(cells: DataFrame) -> DataFrame:
-    """Cells with a rule and a value."""
-    return cells.filter(F.col("has_rule") & F.col("value").isNotNull())
+def has_value() -> Column:
+    """Cells the value checks look at: a rule and a value."""
+    return F.coalesce("has_rule", F.lit(False)) & F.col("value").isNotNull()
 
 
-def type_issues(cells: DataFrame, layouts=typed.DATE_LAYOUTS, ignore_zero_bounds: bool = True, codes=None) -> DataFrame:
-    value, kind = F.col("value"), F.col("type")
+def type_faults(layouts=typed.DATE_LAYOUTS, ignore_zero_bounds: bool = True) -> dict[str, Column]:
+    prop, value, kind, filled = F.col("prop"), F.col("value"), F.col("type"), has_value()
     anchored = F.concat(F.lit("^(?:"), F.replace(F.col("pattern"), F.lit("(?P<"), F.lit("(?<")), F.lit(")"))
     usable = F.coalesce(F.col("pattern") != "", F.lit(False)) & F.coalesce("pattern_ok", F.lit(False))
-    is_pattern = kind == "pattern"
+    is_pattern = filled & (kind == "pattern")
+    fits = F.when(usable, F.rlike(value, anchored)).otherwise(F.lit(True))
     number = typed.as_number(value)
     shown = F.when(kind == "integer", typed.as_integer(value).cast("string")).otherwise(strip(value))
-    bounded = F.when(kind == "integer", typed.is_integer(value)).otherwise(number.isNotNull())
-    bounded = bounded & kind.isin("integer", "number")
+    bounded = filled & F.when(kind == "integer", typed.is_integer(value)).when(kind == "number", number.isNotNull())
     low, high = _bound("min", ignore_zero_bounds), _bound("max", ignore_zero_bounds)
     under = F.when(F.col("min_exclusive"), _below(number, low, True)).otherwise(_below(number, low, False))
     over = F.when(F.col("max_exclusive"), _below(high, number, True)).otherwise(_below(high, number, False))
     known = kind.isin(*KNOWN_TYPES)
-    faults = {
-        "M009": fault("M009", kind.isNull() | ~known, F.col("prop"), value, prefix(), F.col("prop"), kind),
-        "M031": fault("M031", is_pattern & usable & ~F.when(usable, F.rlike(value, anchored)).otherwise(F.lit(True)),
-                      F.col("prop"), value, prefix(), value, F.col("prop")),
-        "M032": fault("M032", is_pattern & ~usable, F.col("prop"), F.col("pattern"), prefix(), F.col("pattern"),
-                      F.col("prop")),
-        "M027": fault("M027", known & ~is_pattern & F.col("cde_missing"), F.col("prop"), value, prefix(),
-                      F.col("prop")),
-        "M004": fault("M004", (kind == "integer") & ~typed.is_integer(value), F.col("prop"), value, prefix(),
-                      F.col("prop"), value),
-        "M005": fault("M005", (kind == "number") & number.isNull(), F.col("prop"), value, prefix(), F.col("prop"),
+    odd_date = kind.isin("date", "datetime") & typed.as_moment(value, layouts).isNull()
+    return {
+        "M009": fault("M009", filled & (kind.isNull() | ~known), prop, value, prefix(), prop, kind),
+        "M031": fault("M031", is_pattern & ~fits, prop, value, prefix(), value, prop),
+        "M032": fault("M032", is_pattern & ~usable, prop, F.col("pattern"), prefix(), F.col("pattern"), prop),
+        "M027": fault("M027", filled & known & (kind != "pattern") & F.col("cde_missing"), prop, value, prefix(), prop),
+        "M004": fault("M004", filled & (kind == "integer") & ~typed.is_integer(value), prop, value, prefix(), prop,
                       value),
-        "M011": fault("M011", bounded & under, F.col("prop"), shown, prefix(), F.col("prop"), shown),
-        "M012": fault("M012", bounded & over, F.col("prop"), shown, prefix(), F.col("prop"), shown),
-        "M007": fault("M007", kind.isin("date", "datetime") & typed.as_moment(value, layouts).isNull(), F.col("prop"),
-                      value, prefix(), F.col("prop"), value),
-        "M008": fault("M008", (kind == "boolean") & typed.as_flag(value).isNull(), F.col("prop"), value, prefix(),
-                      F.col("prop"), value),
+        "M005": fault("M005", filled & (kind == "number") & number.isNull(), prop, value, prefix(), prop, value),
+        "M011": fault("M011", bounded & under, prop, shown, prefix(), prop, shown),
+        "M012": fault("M012", bounded & over, prop, shown, prefix(), prop, shown),
+        "M007": fault("M007", filled & odd_date, prop, value, prefix(), prop, value),
+        "M008": fault("M008", filled & (kind == "boolean") & typed.as_flag(value).isNull(), prop, value, prefix(),
+                      prop, value),
     }
-    return emit(cells, selected(faults, codes))
 
 
 def _bound(name: str, ignore_zero: bool) -> Column:
@@ -244,25 +238,45 @@ def _below(left: Column, right: Column, or_equal: bool) -> Column:
 # --- D11, D12, D18: vocabulary -----------------------------------------------------------------
 
 
-def single_terms(cells: DataFrame, index: DataFrame) -> DataFrame:
-    """String, integer and number cells that have a vocabulary, with their match.
+def with_terms(cells: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds the vocabulary match of string, integer and number cells.
 
-    ``entry`` is null for a value that is not in the vocabulary.
+    ``looked_up`` says that the cell has a vocabulary and a text to look up; ``entry`` is then null
+    for a value outside the vocabulary. Cells without a vocabulary have no key; should the index be
+    too large to broadcast, a salt spreads them over the shuffle.
     """
     kind, value = F.col("type"), F.col("value")
     number = F.regexp_replace(typed.as_number(value).cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    shown = (
+    shown = F.when(
+        has_value() & F.col("vocab_id").isNotNull(),
         F.when(kind == "string", strip(value))
         .when(kind == "integer", typed.as_integer(value).cast("string"))
-        .when(kind == "number", number)
+        .when(kind == "number", number),
     )
-    rows = cells.filter(F.col("vocab_id").isNotNull() & kind.isin("string", "integer", "number"))
-    rows = rows.withColumn("shown", shown).filter(F.col("shown").isNotNull()).withColumn("term", F.lower("shown"))
-    return rows.join(index, ["vocab_id", "term"], "left").withColumn(
-        "corrected",
-        F.when(F.col("entry").isNull() | (kind != "string"), value)
-        .when(F.array_contains("spellings", F.col("shown")), F.col("shown"))
-        .otherwise(F.col("entry")),
+    rows = cells.withColumn("shown", shown).withColumn("_key", F.lower("shown"))
+    rows = rows.withColumn(
+        "_salt", F.when(F.col("_key").isNull(), 1 + F.pmod(F.xxhash64("record_id", "prop"), F.lit(SPREAD))).otherwise(0)
+    )
+    terms = index.withColumnsRenamed({"vocab_id": "_vocab", "term": "_term"}).withColumn("_zero", F.lit(0))
+    joined = rows.join(
+        terms,
+        (F.col("vocab_id") == F.col("_vocab")) & (F.col("_key") == F.col("_term")) & (F.col("_salt") == F.col("_zero")),
+        "left",
+    )
+    return joined.drop("_key", "_salt", "_vocab", "_term", "_zero").withColumn(
+        "looked_up", F.col("shown").isNotNull()
+    )
+
+
+def single_corrected() -> Column:
+    """What a string cell is rewritten to: trimmed, and in the vocabulary's own case."""
+    kind, value, shown = F.col("type"), F.col("value"), F.col("shown")
+    return (
+        F.when(kind != "string", value)
+        .when(~F.col("looked_up"), strip(value))
+        .when(F.col("entry").isNull(), value)
+        .when(F.array_contains("spellings", shown), shown)
+        .otherwise(F.col("entry"))
     )
 
 
@@ -275,7 +289,7 @@ def list_terms(cells: DataFrame, index: DataFrame, delimiter: str = "|") -> Data
     ``items`` holds (pos, shown, entry, advice) of the items; ``corrected`` is the joined list when
     every item is in the vocabulary.
     """
-    rows = cells.filter(F.col("vocab_id").isNotNull() & F.col("type").isin(*LIST_TYPES))
+    rows = cells.filter(has_value() & F.col("vocab_id").isNotNull() & F.col("type").isin(*LIST_TYPES))
     distinct = counted(rows, LIST_KEY)
     pieces = distinct.select(
         *LIST_KEY, F.posexplode(split_plain(F.col("value"), F.lit(delimiter))).alias("pos", "item")
@@ -305,58 +319,46 @@ def _m010(shown: Column, advice: Column) -> Column:
     return F.concat(base, F.when(advice.isNotNull(), hint).otherwise(F.lit("")))
 
 
-def vocabulary_issues(singles: DataFrame, lists: DataFrame) -> DataFrame:
-    """M010, one row per value or list item outside its vocabulary, with the advice of D12."""
-    one = emit(
-        singles,
-        [fault("M010", F.col("entry").isNull(), F.col("prop"), F.col("shown"),
-               description=_m010(F.col("shown"), F.col("advice")))],
-        keep=(*ISSUE_KEYS, "advice"),
-    )
+def vocabulary_faults() -> dict[str, Column]:
+    """D11 (M010) with the advice of D12, on cells that went through with_terms."""
+    shown = F.col("shown")
+    return {
+        "M010": fault("M010", F.col("looked_up") & F.col("entry").isNull(), F.col("prop"), shown,
+                      description=_m010(shown, F.col("advice")))
+    }
+
+
+def list_issues(lists: DataFrame) -> DataFrame:
+    """D18 (M010): one row per list item outside the vocabulary."""
     bad = lists.select(
         *ISSUE_KEYS, "file_name", "line_number", "prop",
         F.inline(F.filter("items", lambda i: i["entry"].isNull())),
     )
-    many = emit(
-        bad,
-        [fault("M010", F.lit(True), F.col("prop"), F.col("shown"),
-               description=_m010(F.col("shown"), F.col("advice")))],
-        keep=(*ISSUE_KEYS, "advice"),
-    )
-    return one.unionByName(many)
+    text = _m010(F.col("shown"), F.col("advice"))
+    return emit(bad, [fault("M010", F.lit(True), F.col("prop"), F.col("shown"), description=text)])
 
 
 # --- corrections -------------------------------------------------------------------------------
 
 
-def corrections(named: DataFrame, singles: DataFrame, lists: DataFrame) -> DataFrame:
+def corrections(matched: DataFrame, lists: DataFrame) -> DataFrame:
     """(record_id, prop, new_value) of every value the checks rewrite; unchanged values are left out.
 
-    ``singles`` and ``lists`` must have been made from ``named`` cells whose value already carries
-    the registered spelling (see respelled).
+    ``matched``: all cells after named_cells and with_terms; ``lists``: list_terms of the same cells.
     """
     keep = ("submission_id", "record_id", "prop", "original")
     kind, value = F.col("type"), F.col("value")
-    matched = F.col("vocab_id").isNotNull() & kind.isin("string", "integer", "number", *LIST_TYPES)
-    simple = typed_cells(named).filter(~matched).select(
+    listed = F.col("vocab_id").isNotNull() & kind.isin(*LIST_TYPES)
+    simple = matched.filter(has_value() & ~listed).select(
         *keep,
-        F.when(kind == "string", strip(value))
-        .when(kind == "boolean", F.coalesce(typed.as_flag(value), value))
-        .otherwise(value).alias("new_value"),
+        F.when(kind == "boolean", F.coalesce(typed.as_flag(value), value))
+        .otherwise(single_corrected()).alias("new_value"),
     )
-    single = singles.select(*keep, F.col("corrected").alias("new_value"))
     # A list whose vocabulary element is missing is never rewritten.
     multi = lists.filter(F.col("corrected").isNotNull() & ~F.col("cde_missing")).select(
         *keep, F.col("corrected").alias("new_value")
     )
-    return simple.unionByName(single).unionByName(multi).filter(~F.col("new_value").eqNullSafe(F.col("original")))
-
-
-def respelled(named: DataFrame) -> DataFrame:
-    """Cells as the value checks see them: registered names already put in; ``original`` kept."""
-    return named.withColumn("original", F.col("value")).withColumn(
-        "value", F.coalesce(registered_spelling(), F.col("value"))
-    )
+    return simple.unionByName(multi).filter(~F.col("new_value").eqNullSafe(F.col("original")))
 
 
 def corrected_records(records: DataFrame, changes: DataFrame) -> DataFrame:
@@ -385,7 +387,7 @@ def concept_codes_of(cells: DataFrame, codes: DataFrame, delimiter: str = "|") -
     """
     key = ["concept_cde", "value"]
     rows = cells.filter(
-        F.col("concept_cde").isNotNull() & F.col("value").isNotNull() & (F.col("type") != "pattern")
+        has_value() & F.col("concept_cde").isNotNull() & (F.col("type") != "pattern")
     )
     distinct = counted(rows, key)
     pieces = distinct.select(
@@ -416,17 +418,11 @@ def with_generated(records: DataFrame, generated: DataFrame) -> DataFrame:
 # --- all together ------------------------------------------------------------------------------
 
 
-def property_issues(records, rules, index, facts, names, program_prop: str, study_prop: str) -> DataFrame:
-    """All coded issues of the property checks."""
-    long = cells(records, rules, facts)
-    named = named_cells(long, names, program_prop, study_prop)
-    seen = respelled(named)
-    valued = typed_cells(seen)
-    return (
-        record_issues(records, facts)
-        .unionByName(duplicate_issues(records, facts).drop("n_copies"))
-        .unionByName(required_issues(long))
-        .unionByName(name_issues(named))
-        .unionByName(type_issues(valued))
-        .unionByName(vocabulary_issues(single_terms(valued, index), list_terms(valued, index)).drop("advice"))
-    )
+def property_issue_parts(records, facts, matched: DataFrame, lists: DataFrame) -> list[DataFrame]:
+    """All coded issues of the property checks; the narrow ones share one pass over the cells."""
+    return [
+        record_issues(records, facts),
+        duplicate_issues(records, facts).drop("n_copies"),
+        cell_issues(matched, required_faults(), name_faults(), type_faults(), vocabulary_faults()),
+        list_issues(lists),
+    ]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tabgate.functions.faults import ISSUE_KEYS, emit, fault, prefix
 from tabgate.functions.text import is_blank
 from tabgate.operators.frontier import walk
-from tabgate.operators.lookup import LISTED, attach, counted, short_lists
+from tabgate.operators.lookup import LISTED, attach, counted
 from tabgate.operators.properties import PLACE
+from tabgate.session import stage
 
 EDGE = ("parent_type", "parent_id_prop", "parent_id_value")
 MODEL = ("data_commons", "model_version")
@@ -132,7 +133,7 @@ def present_parents(keys: DataFrame, records: DataFrame, releases: DataFrame) ->
     )
     return here.join(
         released.withColumn("before", F.lit(True)), ["data_commons", "parent_type", "parent_id_value"], "left"
-    ).select(*PARENT_KEY, "n_edges", F.coalesce("here", "before", F.lit(False)).alias("present"))
+    ).select(*keys.columns, F.coalesce("here", "before", F.lit(False)).alias("present"))
 
 
 def sound_edges(judged: DataFrame) -> DataFrame:
@@ -159,9 +160,9 @@ CHILD_KEY = ["submission_id", "data_commons", *EDGE, "node_type"]
 RELEASED_CHILD_KEY = ["data_commons", *EDGE, "node_type"]
 
 
-def children(judged: DataFrame, records: DataFrame) -> DataFrame:
+def children(records: DataFrame) -> DataFrame:
     """Distinct current children of every parent key; the complete group, one row per child."""
-    return edges(records).select(*CHILD_KEY, "node_id").distinct()
+    return counted(edges(records), [*CHILD_KEY, "node_id"], name="n_edges")
 
 
 def released_children(releases: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def child_counts(current: DataFrame, released: DataFrame) -> DataFrame:
     Only counts and one membership flag meet; no child list is built or crossed with another.
     """
     now = current.groupBy(*CHILD_KEY).agg(
-        F.count(F.lit(1)).alias("n_now"), F.min("node_id").alias("node_id")
+        F.count(F.lit(1)).alias("n_now"), F.min("node_id").alias("node_id"), F.sum("n_edges").alias("n_edges")
     )
     before = released.groupBy(*RELEASED_CHILD_KEY).agg(F.count(F.lit(1)).alias("n_before"))
     joined = now.join(before, RELEASED_CHILD_KEY, "left").join(
@@ -185,34 +186,36 @@ def child_counts(current: DataFrame, released: DataFrame) -> DataFrame:
     )
     total = F.col("n_now") + F.coalesce("n_before", F.lit(0)) - F.when(F.col("only_child_released"), 1).otherwise(0)
     return joined.select(
-        *CHILD_KEY, "n_now", F.when(F.col("n_now") > 1, F.col("n_now")).otherwise(total).alias("n_children")
+        *CHILD_KEY, "n_now", "n_edges", F.when(F.col("n_now") > 1, F.col("n_now")).otherwise(total).alias("n_children")
     )
 
 
 def one_to_one_issues(
-    sound: DataFrame, records: DataFrame, releases: DataFrame, listed: int = LISTED
+    sound: DataFrame, records: DataFrame, releases: DataFrame, model_rels: DataFrame, listed: int = LISTED
 ) -> DataFrame:
     """E5 (M024): a parent that exists and has more than one child of this type.
 
     The text lists the children of groups of up to ``listed``; ``children`` and
     ``released_children`` hold every group whole.
     """
-    single = sound.filter(F.col("multiplicity") == "one_to_one")
-    keys = present_parents(parent_keys(single), records, releases).filter(F.col("present"))
-    types = single.select("data_commons", "parent_type", "node_type").distinct()
-    current = children(sound, records).join(types, ["data_commons", "parent_type", "node_type"], "left_semi")
-    released = released_children(releases).join(types, ["data_commons", "parent_type", "node_type"], "left_semi")
-    crowded = child_counts(current, released).filter(F.col("n_children") > 1)
-    crowded = crowded.join(keys.select(*PARENT_KEY), PARENT_KEY, "left_semi")
-    weights = counted(single, CHILD_KEY, name="n_edges")
+    single_kinds = model_rels.filter(F.col("multiplicity") == "one_to_one").select(
+        "data_commons", "node_type", "parent_type"
+    ).distinct()
+    on = ["data_commons", "node_type", "parent_type"]
+    current = children(records).join(single_kinds, on, "left_semi")
+    released = released_children(releases).join(single_kinds, on, "left_semi")
+    full = child_counts(current, released).filter(F.col("n_children") > 1)
+    crowded = stage(present_parents(full, records, releases).filter(F.col("present")).drop("present"), "crowded")
     short = crowded.filter(F.col("n_children") <= listed)
     before = short.filter(F.col("n_now") <= 1).select(*CHILD_KEY).join(released, RELEASED_CHILD_KEY)
+    ids = [*CHILD_KEY, "node_id"]
     members = (
-        current.join(short.select(*CHILD_KEY), CHILD_KEY, "left_semi")
-        .unionByName(before.select(*current.columns)).distinct()
+        current.select(*ids).join(short.select(*CHILD_KEY), CHILD_KEY, "left_semi")
+        .unionByName(before.select(*ids)).distinct()
     )
-    lists = short_lists(members, short, CHILD_KEY, "n_children", F.col("node_id"), "ids", listed)
-    facts = crowded.join(weights, CHILD_KEY).join(lists, CHILD_KEY, "left")
+    lists = members.groupBy(*CHILD_KEY).agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
+    facts = crowded.join(lists, CHILD_KEY, "left")
+    single = sound.filter(F.col("multiplicity") == "one_to_one")
     hit = attach(single, facts, CHILD_KEY, "n_edges", spread_by=["record_id", "pos"]).filter(
         F.col("n_children").isNotNull()
     )
@@ -352,21 +355,15 @@ def consent_issues(records: DataFrame, coded: DataFrame) -> DataFrame:
     return emit(rows, [fault("M036", F.lit(True), F.col("node_type"), F.col("node_id"), prefix())])
 
 
-def relation_issues(records, releases, model_nodes, model_props, model_rels) -> DataFrame:
-    """E1-E5 together."""
+def relation_issue_parts(records, releases, model_nodes, model_props, model_rels) -> list[DataFrame]:
+    """E1-E5, one DataFrame per check."""
     judged = judged_edges(records, model_nodes, model_props, model_rels)
     sound = sound_edges(judged)
     related = relation_rules(model_nodes, model_props, model_rels)[0]
-    parts = [
+    return [
         missing_parents(records, related),
         edge_rule_issues(judged),
         several_parents(records, model_nodes, model_props, model_rels),
         absent_parent_issues(sound, records, releases),
-        one_to_one_issues(sound, records, releases),
+        one_to_one_issues(sound, records, releases, model_rels),
     ]
-    flat = [p.select(*ISSUE_KEYS, "code", "severity", "title", "offending_property", "offending_value", "description")
-            for p in parts]
-    whole = flat[0]
-    for part in flat[1:]:
-        whole = whole.unionByName(part)
-    return whole

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgate.schema import EDGES, MODEL_NODES, MODEL_PROPS, MODEL_RELS, local_table
+from tabgate.session import stage
 
 DATA_COMMONS, MODEL_VERSION = "DC", "1"
 
@@ -170,7 +171,10 @@ NODES: dict[str, Node] = {
     "lineitem": Node(
         label="lineitem", source="lineitem",
         record_id="'line:' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '_' || "
-                  "CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING)",
+                  "CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) || '_' || "
+                  "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) || '_' || "
+                  "CAST(CAST(l_discount * 100 AS INT) * 100 + CAST(l_tax * 100 AS INT) AS STRING) || '_' || "
+                  "CAST(CAST(l_shipdate AS DATE) AS STRING)",
         submission="o_custkey % 8", node_type="'lineitem'",
         node_id="CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING)", id_prop="lineitem_id",
         file_name="'lineitem_' || CAST(l_partkey % 16 AS STRING) || '.tsv'", line="CAST(l_suppkey AS INT) + 2",
@@ -465,3 +469,18 @@ def releases(spark: SparkSession, sf_dir: str, labels=("region", "nation", "supp
         F.concat(F.lit("G:"), "node_type", F.lit(":"), "node_id").alias("global_id"),
         props.alias("props"), "parents", "entity_type",
     )
+
+
+# --- stored tables -----------------------------------------------------------------------------
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``records`` or ``releases`` as a stored table: written once per session and folder, then scanned
+    like the stored records of a running service."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        rows = records(spark, sf_dir) if name == "records" else releases(spark, sf_dir)
+        _STORED[key] = stage(rows, name)
+    return _STORED[key]

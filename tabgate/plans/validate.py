@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabgate.functions.faults import ISSUE_KEYS
 from tabgate.operators import properties, relations, release_checks, rules
 from tabgate.operators.release_checks import DELETE
+from tabgate.session import stage, stage_all
 
 ISSUE_COLUMNS = (*ISSUE_KEYS, "code", "severity", "title", "offending_property", "offending_value", "description")
 
@@ -40,33 +41,54 @@ def by_intention(records: DataFrame, submissions: DataFrame) -> tuple[DataFrame,
     )
 
 
-def metadata_issues(records: DataFrame, ctx: Context) -> DataFrame:
-    """All issues of a metadata check, after the rules of intention and release."""
-    checked, deleting = by_intention(records, ctx.submissions)
-    rule_rows = rules.effective_rules(rules.with_pattern_state(ctx.model_props), ctx.cde)
-    index = rules.term_index(rule_rows, ctx.synonyms)
-    facts = properties.node_facts(ctx.model_nodes, ctx.model_props)
-    names = properties.submission_names(ctx.submissions, ctx.studies, ctx.organizations)
-    issues = (
-        properties.property_issues(checked, rule_rows, index, facts, names, ctx.program_prop, ctx.study_prop)
-        .unionByName(
-            relations.relation_issues(checked, ctx.releases, ctx.model_nodes, ctx.model_props, ctx.model_rels)
-        )
-        .unionByName(properties.file_name_issues(deleting, facts))
-    )
-    kept = release_checks.without_pardoned(issues, records, ctx.releases, ctx.submissions)
-    compared = corrected(checked, ctx, rule_rows, index, facts, names).unionByName(deleting)
-    return kept.select(*ISSUE_COLUMNS).unionByName(
-        release_checks.release_issues(compared, ctx.releases, ctx.submissions, facts).select(*ISSUE_COLUMNS)
+@dataclass
+class Prepared:
+    """Rule tables of one run, computed once and stored: effective rules and the term index."""
+
+    rules: DataFrame
+    index: DataFrame
+    facts: DataFrame
+    names: DataFrame
+
+
+def prepare(ctx: Context) -> Prepared:
+    rule_rows = stage(rules.effective_rules(rules.with_pattern_state(ctx.model_props), ctx.cde), "rules")
+    return Prepared(
+        rules=rule_rows,
+        index=stage(rules.term_index(rule_rows, ctx.synonyms), "terms"),
+        facts=stage(properties.node_facts(ctx.model_nodes, ctx.model_props), "nodes"),
+        names=stage(properties.submission_names(ctx.submissions, ctx.studies, ctx.organizations), "names"),
     )
 
 
-def corrected(records, ctx: Context, rule_rows, index, facts, names) -> DataFrame:
+def matched_cells(records: DataFrame, ctx: Context, ready: Prepared) -> tuple[DataFrame, DataFrame]:
+    """All cells with rule, registered name and vocabulary match; and the list cells."""
+    long = properties.cells(records, ready.rules, ready.facts)
+    named = properties.named_cells(long, ready.names, ctx.program_prop, ctx.study_prop)
+    return properties.with_terms(named, ready.index), properties.list_terms(named, ready.index)
+
+
+def metadata_issues(records: DataFrame, ctx: Context, ready: Prepared | None = None) -> DataFrame:
+    """All issues of a metadata check, after the rules of intention and release.
+
+    The checks run one after the other into one stored issue table, so that no plan grows with the
+    number of checks and a lost executor costs one check at most.
+    """
+    ready = ready or prepare(ctx)
+    checked, deleting = by_intention(records, ctx.submissions)
+    matched, lists = matched_cells(checked, ctx, ready)
+    parts = [
+        *properties.property_issue_parts(checked, ready.facts, matched, lists),
+        *relations.relation_issue_parts(checked, ctx.releases, ctx.model_nodes, ctx.model_props, ctx.model_rels),
+        properties.file_name_issues(deleting, ready.facts),
+    ]
+    raised = stage_all([part.select(*ISSUE_COLUMNS) for part in parts], "issues")
+    kept = release_checks.without_pardoned(raised, records, ctx.releases, ctx.submissions)
+    compared = corrected_records(checked, matched, lists).unionByName(deleting)
+    changed = release_checks.release_issues(compared, ctx.releases, ctx.submissions, ready.facts)
+    return stage_all([kept.select(*ISSUE_COLUMNS), changed.select(*ISSUE_COLUMNS)], "issues")
+
+
+def corrected_records(records: DataFrame, matched: DataFrame, lists: DataFrame) -> DataFrame:
     """Records with every rewritten value in place."""
-    long = properties.cells(records, rule_rows, facts)
-    seen = properties.respelled(properties.named_cells(long, names, ctx.program_prop, ctx.study_prop))
-    valued = properties.typed_cells(seen)
-    changes = properties.corrections(
-        seen, properties.single_terms(valued, index), properties.list_terms(valued, index)
-    )
-    return properties.corrected_records(records, changes)
+    return properties.corrected_records(records, properties.corrections(matched, lists))

@@ -53,3 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: computed once, whoever reads them.
+
+    Later plans see a plain scan with known size, column pruning and pushed filters.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_all(parts: list[DataFrame], label: str) -> DataFrame:
+    """Several DataFrames of one shape, computed one after the other into one staged table."""
+    spark, shape = parts[0].sparkSession, parts[0].schema
+    path = scratch_path(spark, label)
+    for at, part in enumerate(parts):
+        part.select(*shape.names).write.parquet(f"{path}/part={at}")
+    return spark.read.schema(shape).parquet(*[f"{path}/part={at}" for at in range(len(parts))])
