@@ -147,11 +147,11 @@ cte("reach", """
   JOIN links l ON l.submission_id = c.submission_id AND l.node_type = c.node_type AND l.node_id = c.node_id
   WHERE r.node_type = 'lineitem' AND l.up_type = 'nation'""")
 cte("coded", """
-  SELECT submission_id, record_id, list_sort(list(code)) AS codes,
-         count(*) > 1 AND list_contains(list(code), '-1') AND count_if(code <> '-1') > 0 AS conflict
+  SELECT submission_id, record_id, coalesce(list_sort(list(code) FILTER (code IS NOT NULL)), []) AS codes,
+         coalesce(count_if(code = '-1') > 0 AND count_if(code <> '-1') > 0, FALSE) AS conflict
   FROM (SELECT submission_id, record_id, CASE WHEN group_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation)
-          THEN CAST(CAST(group_id AS BIGINT) % 6 - 1 AS VARCHAR) END AS code FROM reach) WHERE code IS NOT NULL
-  GROUP BY ALL""")
+          THEN CAST(CAST(group_id AS BIGINT) % 6 - 1 AS VARCHAR) END AS code FROM reach)
+  GROUP BY submission_id, record_id""")
 E7 = """SELECT record_id, 'M036' AS code, 'lineitem' AS offending_property, node_id AS offending_value
         FROM recs JOIN coded USING (record_id) WHERE conflict"""
 
