@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.base import cte, sql
+from tabgate.plans import file_tables
 
 cte("crows", """SELECT *, c_custkey // 50 AS f, CAST(c_custkey % 50 AS INTEGER) AS i, (c_custkey // 50) % 20 AS t,
                 'C' || CAST((c_custkey // 50) % 4 AS VARCHAR) AS batch_id,
@@ -89,5 +90,114 @@ ORACLE = {
 }
 
 
+
+# --- loading -----------------------------------------------------------------------------------
+V = file_tables.LOAD_VALUES
+cte("lrows", f"""
+  SELECT *, {V['batch_id']} AS batch_id, {V['file_name']} AS file_name, CAST({V['line_number']} AS BIGINT) AS line_number,
+         {V['part_cell']} AS part_cell, {V['supplier_cell']} AS supplier_cell, {V['scan_cell']} AS scan_cell,
+         {V['inner_cell']} AS inner_cell, {V['size_cell']} AS size_cell,
+         CASE WHEN l_partkey % 10 = 0 THEN 'dg.4DFC/ab-' ELSE '' END || CAST(l_orderkey AS VARCHAR) || '_' ||
+         CAST(l_linenumber AS VARCHAR) AS node_id
+  FROM lineitem""")
+cte("ledges", """
+  SELECT batch_id, file_name, line_number, node_id, 0 AS col, 0 AS nth, 'order' AS parent_type, 'order_id' AS parent_id_prop,
+         CAST(l_orderkey AS VARCHAR) AS parent_id_value FROM lrows
+  UNION ALL SELECT batch_id, file_name, line_number, node_id, 1, k, 'part', 'part_id', trim(string_split(part_cell, '|')[k])
+  FROM (SELECT *, unnest(range(1, len(string_split(part_cell, '|')) + 1)) AS k FROM lrows)
+  UNION ALL SELECT batch_id, file_name, line_number, node_id, 2, 0, 'supplier', 'supplier_id', supplier_cell FROM lrows
+  WHERE supplier_cell IS NOT NULL""")
+cte("lfirst", """SELECT batch_id, file_name, node_id, min(line_number) AS line_number, arg_min(l_orderkey, line_number) AS okey
+                 FROM lrows GROUP BY ALL""")
+cte("ldistinct", """SELECT DISTINCT batch_id, file_name, node_id, parent_type, parent_id_prop, parent_id_value FROM ledges""")
+
+
+def uuid5(namespace: str, name: str) -> str:
+    """SQL for the version 5 UUID of a name."""
+    h = f"sha1(unhex(replace({namespace}, '-', '')) || encode({name}))"
+    variant = f"lower(to_hex(('0x' || substr({h}, 17, 2))::INTEGER & 63 | 128))"
+    return (f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} ||"
+            f" substr({h}, 19, 2) || '-' || substr({h}, 21, 12))")
+
+
+cte("one_lines", """SELECT 'S' || CAST(okey % 8 AS VARCHAR) AS submission_id, node_id, arg_max(batch_id, file_name) AS batch_id
+                    FROM lfirst GROUP BY ALL""")
+cte("old_lines", """SELECT 'S' || CAST(l_orderkey % 8 AS VARCHAR) AS submission_id,
+  CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS node_id,
+  min('old:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey) AS record_id
+  FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL""")
+cte("kept_ids", """SELECT record_id, node_type, node_id, study_id, entity_type, submission_id,
+  CASE WHEN try_cast(node_id AS BIGINT) % 5 = 0 THEN 'R:' || record_id END AS global_id FROM recs""")
+cte("docrows", """SELECT doc_id, 'doc:' || CAST(doc_id AS VARCHAR) AS record_id, 'T' || CAST(doc_id % 2 AS VARCHAR) AS study_id,
+  source || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 6 <> 0""")
+NEW_LINE = uuid5("'6ba7b812-9dad-11d1-80b4-00c04fd430c8'", "(submission_id || '|lineitem|' || node_id)")
+URL = "'6ba7b811-9dad-11d1-80b4-00c04fd430c8'"
+SITE_ID = uuid5(URL, f"'{file_tables.SITE}'")
+cte("study_ids", f"""SELECT study_id, {uuid5('site', 'study_id')} AS space
+                     FROM (SELECT study_id, {SITE_ID} AS site FROM (SELECT DISTINCT study_id FROM docrows))""")
+
+VERSION = """'order:' || CAST(o_orderkey AS VARCHAR) AS record_id"""
+ORACLE |= {
+    "c01_c02_node_ids": "SELECT file_name, line_number, node_id FROM lrows",
+    "c03_parents": """
+      SELECT file_name, line_number, CAST(row_number() OVER (PARTITION BY batch_id, file_name, line_number, node_id,
+             l ORDER BY col, nth) - 1 AS INTEGER) AS pos, parent_type, parent_id_prop, parent_id_value
+      FROM (SELECT *, 0 AS l FROM ledges)""",
+    "c04_properties": """
+      SELECT file_name, line_number, 'lineitem_id' AS prop, node_id AS value FROM lrows
+      UNION ALL SELECT file_name, line_number, 'orderkey', CAST(l_orderkey AS VARCHAR) FROM lrows
+      UNION ALL SELECT file_name, line_number, 'linenumber', CAST(l_linenumber AS VARCHAR) FROM lrows
+      UNION ALL SELECT file_name, line_number, 'scan', scan_cell FROM lrows
+      UNION ALL SELECT file_name, line_number, 'quantity', size_cell FROM lrows
+      UNION ALL SELECT file_name, line_number, 'returnflag', l_returnflag FROM lrows""",
+    "c05_merged_rows": """
+      SELECT f.batch_id, f.file_name, f.node_id, f.line_number,
+             (SELECT string_agg(parent_type || '=' || parent_id_value, ',' ORDER BY parent_type || '=' || parent_id_value)
+              FROM ldistinct e WHERE e.batch_id = f.batch_id AND e.file_name = f.file_name AND e.node_id = f.node_id) AS parents
+      FROM lfirst f""",
+    "c05_merged_edges": "SELECT * FROM ldistinct",
+    "c06_stored_merge": f"""
+      SELECT n.submission_id, n.node_id, o.record_id IS NOT NULL AS was_stored, coalesce(o.record_id, fresh) AS record_id,
+             CASE WHEN o.record_id IS NULL THEN batch_id ELSE 'L9,' || batch_id END AS batch_ids,
+             CASE WHEN o.record_id IS NULL THEN '2024-05-06' ELSE '2020-01-02' END AS created
+      FROM (SELECT *, {NEW_LINE} AS fresh FROM one_lines) n
+      LEFT JOIN old_lines o ON o.submission_id = n.submission_id AND o.node_id = n.node_id""",
+    "c07_global_ids": """
+      SELECT r.record_id,
+        CASE WHEN CAST(r.node_id AS BIGINT) % 4 = 0 THEN 'stored' WHEN l.global_id IS NOT NULL THEN 'release'
+             WHEN o.global_id IS NOT NULL THEN 'record' WHEN k.global_id IS NOT NULL THEN 'study' ELSE 'new' END AS id_source,
+        CASE WHEN CAST(r.node_id AS BIGINT) % 4 = 0 THEN 'mine:' || r.node_id
+             ELSE coalesce(l.global_id, o.global_id, k.global_id) END AS global_id
+      FROM recs r
+      LEFT JOIN (SELECT node_type, node_id, global_id FROM rel_recs WHERE status IS DISTINCT FROM 'Deleted') l
+        ON l.node_type = r.node_type AND l.node_id = r.node_id
+      LEFT JOIN (SELECT node_type, node_id, min(global_id) AS global_id FROM kept_ids GROUP BY ALL) o
+        ON o.node_type = r.node_type AND o.node_id = r.node_id
+      LEFT JOIN (SELECT study_id, entity_type, node_id, min(global_id) AS global_id FROM kept_ids
+                 WHERE entity_type IS NOT NULL GROUP BY ALL) k
+        ON k.study_id = r.study_id AND k.entity_type = r.entity_type AND k.node_id = r.node_id
+      WHERE r.node_type = 'customer' AND r.record_id LIKE 'customer:%'""",
+    "c08_file_info": """SELECT file_name, line_number, coalesce(inner_cell, scan_cell) AS data_file,
+                        CAST(size_cell AS BIGINT) AS size, l_returnflag AS md5 FROM lrows""",
+    "c09_stable_file_ids": f"""SELECT record_id, 'dg.4DFC/' || {uuid5('space', 'path')} AS right_id
+                               FROM docrows JOIN study_ids USING (study_id)""",
+    "k01_upsert": f"""SELECT {VERSION}, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM orders
+                      WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
+    "k02_update_fields": f"""SELECT {VERSION}, 'old' AS version, CASE WHEN o_orderkey % 3 <> 0 THEN 'before'
+                             WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 2 = 0""",
+    "k03_replace_issues": f"""SELECT {VERSION}, 'old' AS version FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0
+                              UNION ALL SELECT {VERSION}, 'new' FROM orders WHERE o_orderkey % 15 = 0""",
+    "k04_delete_records": f"""SELECT {VERSION}, what FROM orders, (VALUES ('record'), ('issue')) w(what)
+                              WHERE o_orderkey % 5 <> 0""",
+    "k05_insert_absent": """
+      SELECT DISTINCT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS submission_id,
+             CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders
+      EXCEPT SELECT 'S' || CAST(o_custkey % 8 AS VARCHAR), CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END FROM orders
+      WHERE o_orderkey % 5 = 0 AND o_orderstatus <> 'F'""",
+    "k06_ids_except": """SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS node_id FROM orders
+                         WHERE o_custkey % 8 = 3 AND o_orderkey % 4 <> 0""",
+}
+
+
 def oracle() -> dict[str, str]:
     return {name: sql(body) for name, body in ORACLE.items()}

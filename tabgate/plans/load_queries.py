@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabgate.functions import ids
+from tabgate.operators import load as C
 from tabgate.operators import structure as B
-from tabgate.plans import sheet_tables, star
+from tabgate.operators import upkeep as K
+from tabgate.plans import file_tables, sheet_tables, star
 from tabgate.session import scratch_path
 from tabgate.sources import listing, tsv
 
@@ -100,3 +103,160 @@ QUERIES = {
     "b17_capped_report": capped,
     "structure_issues": lambda s, d: structure(s, d).select("batch_id", "file_name", "kind", "line_number", "what", "text"),
 }
+
+
+# --- loading -----------------------------------------------------------------------------------
+
+
+def candidates(s, d):
+    return C.row_records(file_tables.load_rows(s, d))
+
+
+def merged_records(s, d):
+    return C.merged(candidates(s, d))
+
+
+def node_ids(s, d):
+    return candidates(s, d).select("file_name", F.col("line_number").cast("bigint").alias("line_number"), "node_id")
+
+
+def parents(s, d):
+    long = candidates(s, d).select("file_name", "line_number", F.posexplode("parents").alias("pos", "e"))
+    return long.select("file_name", F.col("line_number").cast("bigint").alias("line_number"), "pos", "e.*")
+
+
+def props(s, d):
+    return candidates(s, d).select(
+        "file_name", F.col("line_number").cast("bigint").alias("line_number"), F.explode("props").alias("prop", "value"))
+
+
+def merged_shape(s, d):
+    shown = F.array_join(F.transform("parents", lambda p: F.concat(p["parent_type"], F.lit("="), p["parent_id_value"])), ",")
+    return merged_records(s, d).select(
+        "batch_id", "file_name", "node_id", F.col("line_number").cast("bigint").alias("line_number"),
+        F.array_join(F.array_sort(F.split(shown, ",")), ",").alias("parents"))
+
+
+def merged_edges(s, d):
+    return C.merged_edges(candidates(s, d)).select("batch_id", "file_name", "node_id", "edge.*")
+
+
+def stored_lines(s, d):
+    """Line items of even orders, as stored before."""
+    star.tables(s, d, "lineitem")
+    return s.sql("""
+      SELECT 'S' || CAST(l_orderkey % 8 AS STRING) AS submission_id, 'lineitem' AS node_type,
+             CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS node_id,
+             'old:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(l_partkey AS STRING)
+               AS record_id,
+             CAST('2020-01-02' AS TIMESTAMP) AS created_at, CAST(NULL AS STRING) AS global_id, array('L9') AS batch_ids
+      FROM lineitem WHERE l_orderkey % 2 = 0""")
+
+
+def with_stored(s, d):
+    found = merged_records(s, d).withColumn(
+        "submission_id", F.concat(F.lit("S"), (F.col("raw_data")["orderkey"].cast("bigint") % 8).cast("string")))
+    one = C.one_per_node(found)
+    now = F.lit("2024-05-06").cast("timestamp")
+    return C.with_stored(one, stored_lines(s, d), now).select(
+        "submission_id", "node_id", "was_stored", "record_id", F.array_join("batch_ids", ",").alias("batch_ids"),
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
+def global_ids(s, d):
+    stored = star.stored(s, d, "records").withColumn(
+        "global_id", F.when(F.col("node_id").try_cast("bigint") % 5 == 0, F.concat(F.lit("R:"), "record_id")))
+    new = star.stored(s, d, "records").filter(
+        (F.col("node_type") == "customer") & F.col("record_id").startswith("customer:")
+    ).select(
+        "record_id", "submission_id", "data_commons", "study_id", "node_type", "node_id", "entity_type",
+        (F.col("node_id").cast("bigint") % 4 == 0).alias("was_stored"),
+        F.concat(F.lit("mine:"), "node_id").alias("stored_global_id"), F.lit(True).alias("is_main"),
+        F.lit(False).alias("is_file"))
+    releases = star.stored(s, d, "releases")
+    found = C.with_global_id(new, stored, releases, star.submissions(s, d))
+    known = F.when(F.col("id_source") != "new", F.col("global_id"))
+    return found.select("record_id", "id_source", known.alias("global_id"))
+
+
+def file_infos(s, d):
+    return candidates(s, d).select(
+        "file_name", F.col("line_number").cast("bigint").alias("line_number"), F.col("file_info.file_name").alias("data_file"),
+        F.col("file_info.size").alias("size"), F.col("file_info.md5").alias("md5"))
+
+
+def stable_ids(s, d):
+    star.tables(s, d, "documents")
+    rows = s.sql("""SELECT 'doc:' || CAST(doc_id AS STRING) AS record_id, 'T' || CAST(doc_id % 2 AS STRING) AS study_id,
+                    source || '/' || CAST(doc_id AS STRING) AS file_name, doc_id FROM documents""")
+    right = ids.stable_file_id(file_tables.SITE, F.col("study_id"), F.col("file_name"))
+    rows = rows.withColumns({
+        "node_id": F.when(F.col("doc_id") % 3 == 0, right).otherwise("wrong"),
+        "file_id": F.when(F.col("doc_id") % 3 == 0, right).otherwise("wrong"),
+        "global_id": F.when(F.col("doc_id") % 6 == 0, right).otherwise("wrong")})
+    return C.file_id_report(rows, file_tables.SITE).select("record_id", "right_id")
+
+
+# --- upkeep ------------------------------------------------------------------------------------
+
+
+def versions(s, d, rest, version):
+    star.tables(s, d, "orders")
+    return s.sql(f"""SELECT 'order:' || CAST(o_orderkey AS STRING) AS record_id,
+                     'S' || CAST(o_custkey % 8 AS STRING) AS submission_id, 'order' AS node_type,
+                     CAST(o_orderkey AS STRING) AS node_id, '{version}' AS version,
+                     CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status
+                     FROM orders WHERE {rest}""")
+
+
+def upserted(s, d):
+    old, new = versions(s, d, "o_orderkey % 2 = 0", "old"), versions(s, d, "o_orderkey % 3 = 0", "new")
+    return K.upsert(old, new, ["record_id"]).select("record_id", "version")
+
+
+def updated(s, d):
+    old = versions(s, d, "o_orderkey % 2 = 0", "old").withColumn("status", F.lit("before"))
+    return K.update_fields(old, versions(s, d, "o_orderkey % 3 = 0", "new"), ["record_id"], ["status"]).select(
+        "record_id", "version", "status")
+
+
+def replaced_issues(s, d):
+    old = versions(s, d, "o_orderkey % 2 = 0", "old").select("record_id", "version")
+    found = versions(s, d, "o_orderkey % 15 = 0", "new").select("record_id", "version")
+    return K.replace_issues(old, versions(s, d, "o_orderkey % 3 = 0", "x"), found)
+
+
+def deleted_with_issues(s, d):
+    rows = versions(s, d, "TRUE", "old")
+    left, issues = K.delete_records(rows, rows.select("record_id"), versions(s, d, "o_orderkey % 5 = 0", "x"))
+    return left.select("record_id", F.lit("record").alias("what")).unionByName(
+        issues.select("record_id", F.lit("issue").alias("what")))
+
+
+def inserted_absent(s, d):
+    fields = ["submission_id", "status"]
+    return K.insert_absent(versions(s, d, "o_orderkey % 5 = 0 AND o_orderstatus <> 'F'", "a"),
+                           versions(s, d, "TRUE", "b"), fields)
+
+
+def ids_except(s, d):
+    return K.ids_except(star.stored(s, d, "records"), "S3", "order", versions(s, d, "o_orderkey % 4 = 0", "x"))
+
+
+QUERIES |= {
+    "c01_c02_node_ids": node_ids,
+    "c03_parents": parents,
+    "c04_properties": props,
+    "c05_merged_rows": merged_shape,
+    "c05_merged_edges": merged_edges,
+    "c06_stored_merge": with_stored,
+    "c07_global_ids": global_ids,
+    "c08_file_info": file_infos,
+    "c09_stable_file_ids": stable_ids,
+    "k01_upsert": upserted,
+    "k02_update_fields": updated,
+    "k03_replace_issues": replaced_issues,
+    "k04_delete_records": deleted_with_issues,
+    "k05_insert_absent": inserted_absent,
+    "k06_ids_except": ids_except,
+}
