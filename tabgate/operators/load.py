@@ -20,20 +20,52 @@ FILE_KEY = ["batch_id", "file_name", "node_id"]
 NODE_KEY = ["submission_id", "node_type", "node_id"]
 
 
-def is_relation(name: Column) -> Column:
-    return name.contains(".")
+LAYOUT = ("prop_names", "prop_at", "raw_names", "raw_at", "relations", "inner_at", "name_at", "size_at", "md5_at")
 
 
-def entries() -> Column:
-    """(name, value) of every named column; of columns with one name, the first."""
-    cells = F.transform("header", lambda h, at: F.struct(h.alias("name"), F.get("cells", at).alias("value"), at.alias("at")))
-    return F.filter(
-        cells, lambda e: (e["name"] != "") & (F.array_position("header", e["name"]) == e["at"] + 1)
+def with_layout(files: DataFrame) -> DataFrame:
+    """Where everything stands in the rows of a file, worked out once per file from its header.
+
+    Of columns with one name the first counts. Names with a dot are relationships.
+    """
+    named = F.filter(
+        F.transform("header", lambda h, at: F.struct(h.alias("name"), at.alias("at"))),
+        lambda e: (e["name"] != "") & (F.array_position("header", e["name"]) == e["at"] + 1),
+    )
+    files = files.withColumn("_named", named)
+    plain = F.filter(
+        "_named", lambda e: ~e["name"].contains(".") & (e["name"] != "type") & (e["name"] != INTERNAL_NAME)
+        & ~(e["name"].eqNullSafe(F.when(_id_written(), F.col("id_prop"))))
     )
+    relations = F.transform(
+        F.filter("_named", lambda e: e["name"].contains(".")),
+        lambda e: F.struct(
+            F.get(F.split(e["name"], r"\."), F.lit(0)).alias("parent_type"),
+            F.get(F.split(e["name"], r"\."), F.lit(1)).alias("parent_id_prop"), e["at"].alias("at"),
+        ),
+    )
+
+    def place(name: Column) -> Column:
+        at = F.array_position("header", name)
+        return F.when(at > 0, (at - 1).cast("int"))
+
+    return files.withColumns(
+        {
+            "prop_names": F.transform(plain, lambda e: e["name"]), "prop_at": F.transform(plain, lambda e: e["at"]),
+            "raw_names": F.transform("_named", lambda e: e["name"]), "raw_at": F.transform("_named", lambda e: e["at"]),
+            "relations": relations, "inner_at": place(F.lit(INTERNAL_NAME)), "name_at": place(F.col("name_field")),
+            "size_at": place(F.col("size_field")), "md5_at": place(F.col("md5_field")),
+        }
+    ).drop("_named")
 
 
-def as_map(items: Column) -> Column:
-    return F.map_from_entries(F.transform(items, lambda e: F.struct(e["name"], e["value"])))
+def _id_written() -> Column:
+    """The id goes back into the key property of file nodes and of rows whose id may be composed."""
+    return F.coalesce("is_file", F.lit(False)) | F.coalesce(F.size("comp_key") > 0, F.lit(False))
+
+
+def values_at(places: Column) -> Column:
+    return F.transform(places, lambda at: F.get("cells", at))
 
 
 def node_id() -> Column:
@@ -46,54 +78,49 @@ def node_id() -> Column:
 
 
 def parents_of_row() -> Column:
-    """One edge per item of every relationship cell, in column order."""
+    """One edge per item of every filled relationship cell, in column order."""
 
-    def of_cell(e: Column) -> Column:
-        names = F.split(e["name"], r"\.")
-        items = F.when(
-            e["value"].contains("|"), F.transform(F.split(e["value"], r"\|"), strip)
-        ).otherwise(F.array(e["value"]))
+    def of_cell(r: Column) -> Column:
+        value = F.get("cells", r["at"])
+        items = F.when(value.contains("|"), F.transform(F.split(value, r"\|"), strip)).otherwise(F.array(value))
         return F.transform(
             items,
             lambda v: F.struct(
-                F.get(names, F.lit(0)).alias("parent_type"), F.get(names, F.lit(1)).alias("parent_id_prop"),
+                r["parent_type"].alias("parent_type"), r["parent_id_prop"].alias("parent_id_prop"),
                 v.alias("parent_id_value"),
             ),
         )
 
-    filled = F.filter("entries", lambda e: is_relation(e["name"]) & F.coalesce(e["value"] != "", F.lit(False)))
+    filled = F.filter("relations", lambda r: F.coalesce(F.get("cells", r["at"]) != "", F.lit(False)))
     return F.flatten(F.transform(filled, of_cell)).cast(f"array<{EDGE}>")
 
 
 def row_records(rows: DataFrame) -> DataFrame:
-    """One candidate record per sheet row; no shuffle."""
-    base = rows.withColumn("entries", entries()).withColumn("node_id", node_id())
-    plain = F.filter(
-        "entries", lambda e: ~is_relation(e["name"]) & (e["name"] != "type") & (e["name"] != INTERNAL_NAME)
-    )
-    # The id goes back into the key property of file nodes and of rows whose id was composed.
-    written = F.coalesce("is_file", F.lit(False)) | (F.coalesce(F.size("comp_key") > 0, F.lit(False)))
+    """One candidate record per sheet row; no shuffle.
+
+    ``rows``: batch_id, file_name, line_number, cells, header, the model facts of the file's type and
+    its layout (see with_layout).
+    """
+    base = rows.withColumn("node_id", node_id())
+    plain = F.map_from_arrays("prop_names", values_at(F.col("prop_at")))
     props = F.when(
-        written,
-        F.map_concat(
-            F.map_filter(as_map(plain), lambda k, v: k != F.col("id_prop")),
-            F.map_from_arrays(F.array("id_prop"), F.array("node_id")),
-        ),
-    ).otherwise(as_map(plain))
+        _id_written(), F.map_concat(plain, F.map_from_arrays(F.array("id_prop"), F.array("node_id")))
+    ).otherwise(plain)
     return base.select(
         "batch_id", "file_name", "line_number", "node_type", "node_id", "id_prop", props.alias("props"),
-        parents_of_row().alias("parents"), as_map(F.col("entries")).alias("raw_data"), file_info().alias("file_info"),
+        parents_of_row().alias("parents"),
+        F.map_from_arrays("raw_names", values_at(F.col("raw_at"))).alias("raw_data"), file_info().alias("file_info"),
     )
 
 
 def file_info() -> Column:
     """Name from the internal name column when it is filled, else from the model's name field."""
-    name = F.coalesce(F.nullif(cell(F.lit(INTERNAL_NAME)), F.lit("")), cell(F.col("name_field")))
-    size = cell(F.col("size_field")).try_cast("bigint")
+    name = F.coalesce(F.nullif(F.get("cells", F.col("inner_at")), F.lit("")), F.get("cells", F.col("name_at")))
     return F.when(
         F.coalesce("is_file", F.lit(False)),
         F.struct(
-            name.alias("file_name"), size.alias("size"), cell(F.col("md5_field")).alias("md5"), F.lit(NEW).alias("status")
+            name.alias("file_name"), F.get("cells", F.col("size_at")).try_cast("bigint").alias("size"),
+            F.get("cells", F.col("md5_at")).alias("md5"), F.lit(NEW).alias("status"),
         ),
     )
 

@@ -117,35 +117,32 @@ def sheet(lines: DataFrame, batches: DataFrame, model_nodes: DataFrame) -> tuple
         F.min_by("cells", "line_number").alias("header"), F.min("line_number").alias("header_line"),
         F.count(F.lit(1)).alias("n_lines"),
     ).withColumn("header", F.transform("header", lambda h: F.coalesce(h, F.lit(""))))
-    body = stage(
-        attach(lines, heads, FILE, "n_lines", spread_by=["line_number"]).filter(
-            F.col("line_number") > F.col("header_line")
-        ).withColumn("empty", F.forall("cells", lambda c: c.isNull())),
-        "sheet",
+    void = F.forall("cells", lambda c: c.isNull())
+    body = attach(lines, heads, FILE, "n_lines", spread_by=["line_number"]).filter(
+        F.col("line_number") > F.col("header_line")
     )
     per_file = body.groupBy(*FILE).agg(
-        F.max(F.when(~F.col("empty"), F.col("line_number"))).alias("last_line"),
+        F.max(F.when(~void, F.col("line_number"))).alias("last_line"),
         F.min(F.struct("line_number", cell(F.lit("type")).alias("type"))).alias("first_row"),
     )
-    files = (
+    files = stage(
         heads.join(per_file, FILE, "left")
-        .withColumn("node_type", F.col("first_row.type"))
+        .withColumn("node_type", F.col("first_row.type")).drop("first_row")
         .join(batches, "batch_id")
         .join(
             model_nodes.select(
-                *MODEL, "node_type", "id_prop", "comp_key", "is_file", "name_field", F.lit(True).alias("known")
+                *MODEL, "node_type", "id_prop", "comp_key", "is_file", "name_field", "size_field", "md5_field",
+                F.lit(True).alias("known")
             ),
             [*MODEL, "node_type"], "left",
-        )
-    )
-    facts = files.select(
-        *FILE, "n_lines", "last_line", "node_type", "id_prop", "comp_key", "is_file", "name_field", "known",
-        "intention", "omit_prefix",
+        ),
+        "files",
     )
-    rows = attach(body.drop("n_lines"), facts, FILE, "n_lines", spread_by=["line_number"]).filter(
-        F.col("line_number") <= F.col("last_line")
+    facts = files.drop(*MODEL, "submission_id")
+    rows = attach(lines, facts, FILE, "n_lines", spread_by=["line_number"]).filter(
+        (F.col("line_number") > F.col("header_line")) & (F.col("line_number") <= F.col("last_line"))
     )
-    return files, rows
+    return files, stage(rows.withColumn("empty", void), "sheet")
 
 
 def _issue(kind: str, when: Column, line: Column | None = None, what=None, other=None, order=0) -> Column:
@@ -350,16 +347,18 @@ def repeat_checks(rows: DataFrame, bad_relations: DataFrame) -> DataFrame:
         F.min(F.when(~F.col("is_rel") & (F.col("n_values") > 1), F.col("at"))).alias("conflict_at"),
     )
     # An id comes up where its second row stands; the first plain duplicate ends the file's report.
-    first_lines = linked.groupBy(*key).agg(F.min("line_number").alias("first_line"), F.max("n_copies").alias("n_copies"))
+    first_lines = linked.groupBy(*key).agg(
+        F.min("line_number").alias("first_line"), F.max("n_copies").alias("n_copies")
+    )
     second = (
         attach(linked.select(*key, "line_number"), first_lines, key, "n_copies", spread_by=["line_number"])
         .filter(F.col("line_number") > F.col("first_line"))
         .groupBy(*key).agg(F.min("line_number").alias("turn"))
     )
-    judged = verdict.join(second, key)
+    judged = stage(verdict.join(second, key).join(first_lines, key), "judged")
     ends = judged.filter(~F.col("is_m2m")).groupBy(*FILE).agg(F.min("turn").alias("end"))
     reported = judged.join(ends, FILE, "left").filter(F.col("end").isNull() | (F.col("turn") <= F.col("end")))
-    copies = reported.filter(~F.col("is_m2m")).join(first_lines, key)
+    copies = reported.filter(~F.col("is_m2m"))
     duplicate_rows = _emit(
         attach(linked.select(*key, "line_number"), copies.select(*key, "n_copies", "turn"), key, "n_copies",
                spread_by=["line_number"]).filter(F.col("turn").isNotNull()),
@@ -381,7 +380,7 @@ def structure_issues(
 ) -> DataFrame:
     """batch_id, file_name, kind, line_number, what, other, text."""
     files, rows = sheet(lines, batches, model_nodes)
-    columns = column_checks(files, model_props, model_rels, model_nodes)
+    columns = stage(column_checks(files, model_props, model_rels, model_nodes), "columns")
     bad_relations = columns.filter(F.col("rank") == RANKS["unknown_parent"][0])
     parts = [
         file_checks(files), blank_columns(files, rows), row_checks(rows), columns, repeat_checks(rows, bad_relations),

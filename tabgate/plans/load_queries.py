@@ -13,7 +13,7 @@ from tabgate.plans import file_tables, sheet_tables, star
 from tabgate.session import scratch_path
 from tabgate.sources import listing, tsv
 
-_STRUCTURE: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def scanned(s, d):
@@ -59,16 +59,10 @@ def batch_gate(s, d):
 
 
 def structure(s, d):
-    key = (s.sparkContext.applicationId, d)
-    if key not in _STRUCTURE:
-        _STRUCTURE[key] = B.stage(
-            B.structure_issues(
-                sheet_tables.lines(s, d), sheet_tables.batches(s), star.model_nodes(s), star.model_props(s),
-                star.model_rels(s), file_limit=None, batch_limit=None,
-            ),
-            "structure",
-        )
-    return _STRUCTURE[key]
+    return _once(s, d, "structure", lambda: B.structure_issues(
+        sheet_tables.lines(s, d), sheet_tables.batches(s), star.model_nodes(s), star.model_props(s),
+        star.model_rels(s), file_limit=None, batch_limit=None,
+    ))
 
 
 def _kinds(*kinds):
@@ -108,12 +102,26 @@ QUERIES = {
 # --- loading -----------------------------------------------------------------------------------
 
 
+def _once(s, d, name, make):
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = B.stage(make(), name)
+    return _STORED[key]
+
+
 def candidates(s, d):
-    return C.row_records(file_tables.load_rows(s, d))
+    return _once(s, d, "candidates", lambda: _candidates(s, d))
+
+
+def _candidates(s, d):
+    rows = file_tables.load_rows(s, d)
+    about = ("header", "node_type", "id_prop", "comp_key", "is_file", "name_field", "size_field", "md5_field")
+    files = rows.groupBy(*B.FILE).agg(*[F.first(c).alias(c) for c in about], F.count(F.lit(1)).alias("n_lines"))
+    return C.row_records(B.attach(rows.drop(*about), C.with_layout(files), B.FILE, "n_lines", spread_by=["line_number"]))
 
 
 def merged_records(s, d):
-    return C.merged(candidates(s, d))
+    return _once(s, d, "merged", lambda: C.merged(candidates(s, d)))
 
 
 def node_ids(s, d):
