@@ -297,6 +297,23 @@ ORACLE = {
                        WHEN o_orderkey % 4 IN (0, 1) THEN '2.0' ELSE '1.0' END AS version FROM okeys""",
 }
 
+cte("arrived", """SELECT c_custkey // 500 AS b, c_custkey % 700 = 99 AS bad FROM customer""")
+ORACLE |= {
+    "s01_arrived_batches": """
+      SELECT 'C' || CAST(b % 4 AS VARCHAR) || '_' || CAST(b AS VARCHAR) AS batch,
+        CASE WHEN count_if(bad) > 0 THEN 'Failed' ELSE 'Uploaded' END AS status,
+        CASE WHEN count_if(bad) > 0 THEN 0 ELSE count(*) END AS n_records, count_if(bad) AS n_issues FROM arrived GROUP BY b""",
+    "s02_validate_new": """
+      SELECT c.record_id, 'M003' AS code, prop AS offending_property, original AS offending_value FROM cells c
+      JOIN recs r ON r.record_id = c.record_id
+      WHERE r.status = 'New' AND required AND (original IS NULL OR trim(original) = '')""",
+    "s03_running_status": """
+      SELECT 'U' || CAST(user_id AS VARCHAR) AS submission_id,
+        max(CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) AS rank,
+        count_if(event_type = 'error') AS n_errors, count_if(event_type = 'click') AS n_warnings
+      FROM events GROUP BY user_id""",
+}
+
 
 def oracle() -> dict[str, str]:
     return {name: sql(body) for name, body in ORACLE.items()}

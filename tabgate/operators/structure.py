@@ -380,6 +380,13 @@ def structure_issues(
 ) -> DataFrame:
     """batch_id, file_name, kind, line_number, what, other, text."""
     files, rows = sheet(lines, batches, model_nodes)
+    return capped(issues_of(files, rows, model_nodes, model_props, model_rels), file_limit, batch_limit)
+
+
+def issues_of(
+    files: DataFrame, rows: DataFrame, model_nodes: DataFrame, model_props: DataFrame, model_rels: DataFrame
+) -> DataFrame:
+    """All issues of a sheet up to the first stopping rank of each file."""
     columns = stage(column_checks(files, model_props, model_rels, model_nodes), "columns")
     bad_relations = columns.filter(F.col("rank") == RANKS["unknown_parent"][0])
     parts = [
@@ -392,7 +399,7 @@ def structure_issues(
     kept = attach(found, ends, FILE, "n_issues", spread_by=["line_number", "kind"]).filter(
         F.col("end").isNull() | (F.col("rank") <= F.col("end"))
     ).drop("end", "n_issues")
-    return capped(kept.withColumn("text", _text()), file_limit, batch_limit)
+    return kept.withColumn("text", _text())
 
 
 def _text() -> Column:

@@ -162,7 +162,7 @@ def file_urls(s, d):
 
 def below_deleted(s, d):
     rel = check_queries.context(s, d)[0].releases
-    gone = rel.filter((F.col("node_type") == "nation") & (F.col("node_id").cast("bigint") % 5 == 0))
+    gone = rel.filter((F.col("node_type") == "nation") & (F.col("node_id").try_cast("bigint") % 5 == 0))
     return J.below_deleted(rel, gone, star.NODE_TYPES).select("node_type", "node_id")
 
 
