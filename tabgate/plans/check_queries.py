@@ -50,7 +50,8 @@ def _required(code):
 
 
 def _typed(*codes):
-    return lambda s, d: P.cell_issues(cells(s, d).filter(P.has_value()), P.type_faults(), codes=codes).select(*ISSUE)
+    return lambda s, d: P.cell_issues(
+        P.with_parsed(cells(s, d).filter(P.has_value())), P.type_faults(), codes=codes).select(*ISSUE)
 
 
 def duplicate_ids(s, d):

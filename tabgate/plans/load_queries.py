@@ -114,7 +114,7 @@ def candidates(s, d):
 
 
 def _candidates(s, d):
-    rows = file_tables.load_rows(s, d)
+    rows = file_tables.load_rows(s, d).repartition(2 * s.sparkContext.defaultParallelism, "l_orderkey")
     about = ("header", "node_type", "id_prop", "comp_key", "is_file", "name_field", "size_field", "md5_field")
     files = rows.groupBy(*B.FILE).agg(*[F.first(c).alias(c) for c in about], F.count(F.lit(1)).alias("n_lines"))
     return C.row_records(B.attach(rows.drop(*about), C.with_layout(files), B.FILE, "n_lines", spread_by=["line_number"]))

@@ -482,5 +482,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         rows = records(spark, sf_dir) if name == "records" else releases(spark, sf_dir)
-        _STORED[key] = stage(rows, name)
+        # The source files are small, so their rows would end up in a few large pieces.
+        ident = "record_id" if name == "records" else "release_id"
+        _STORED[key] = stage(rows.repartition(2 * spark.sparkContext.defaultParallelism, ident), name)
     return _STORED[key]

@@ -42,9 +42,9 @@ def ready(spark):
 
 def cells(spark, ready, **props):
     rules, index, facts = ready
-    return P.with_terms(
+    return P.with_parsed(P.with_terms(
         P.cells(records(spark, record(props={"sample_id": "a", "kind": "x", **props})), rules, facts), index
-    )
+    ))
 
 
 def test_records_without_content_or_with_unknown_type(spark, ready):
@@ -90,7 +90,7 @@ def test_values(spark, ready):
     given = [
         record(str(n), props={"sample_id": str(n), "kind": "x", name: value}) for n, (name, value, _) in enumerate(CASES)
     ]
-    df = P.with_terms(P.cells(records(spark, *given), rules, facts), index)
+    df = P.with_parsed(P.with_terms(P.cells(records(spark, *given), rules, facts), index))
     found = rows(P.cell_issues(df, P.type_faults(), P.vocabulary_faults()), "record_id", "code")
     for n, (name, value, codes) in enumerate(CASES):
         assert sorted(code for ident, code in found if ident == str(n)) == codes, (name, value)
