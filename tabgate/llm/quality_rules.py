@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import TextBlock, mixed, shingle_hashes, text_blocks
-from tabgate.llm.tables import row_key, stage
+from tabgate.llm.tables import NO_ID, row_key, stage
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -159,7 +159,7 @@ def quality_verdicts(
     lost_words = F.coalesce("lost", F.lit(0).cast("long"))
     depleted = 1000 * (F.col("n_words") - lost_words) < limits.least_left_per_mille * F.col("n_words")
     return judged.select(
-        "doc_id", F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), lost_words.alias("n_removed_words"),
     )
 

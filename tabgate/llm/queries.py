@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgate.llm import quality_rules
+from tabgate.llm import quality_rules, simhash_dedup
 from tabgate.llm.tables import table
 
 
@@ -15,7 +15,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("_id", "_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_quality_rules": op8_quality_rules}
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
 
 OP8_SQL = r"""
 WITH d AS (

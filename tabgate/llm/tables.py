@@ -10,10 +10,14 @@ from tabgate.session import stage
 __all__ = ["stage", "table", "row_key"]
 
 
+#: Stands for a null id in keys.
+NO_ID = -(1 << 63)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]:
     """Two columns that are equal only for rows with the same id and text; such rows get the same results."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(F.col(text)).alias("_key")
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_key")
