@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgate.llm import quality_rules, simhash_dedup
+from tabgate.llm import quality_rules, simhash_dedup, suffix_dedup
 from tabgate.llm.tables import table
 
 
@@ -19,8 +19,13 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
