@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgate.llm import quality_rules, simhash_dedup, suffix_dedup
+from tabgate.llm import decontaminate, quality_rules, simhash_dedup, suffix_dedup
 from tabgate.llm.tables import table
 
 
@@ -15,6 +15,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("_id", "_key")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_id", "_key")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -24,6 +29,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
