@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabgate.llm import decontaminate, quality_rules, simhash_dedup, suffix_dedup
+from tabgate.llm import decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup
 from tabgate.llm.tables import table
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=1024)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return verdicts.drop("_id", "_key")
 
 
+#: The vocabulary file of the queries; it lies in the same place on every executor.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("_id", "_key")
@@ -32,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
