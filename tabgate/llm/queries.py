@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgate.llm import decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup
+from tabgate.llm import decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup, token_files
 from tabgate.llm.tables import table
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, folder = token_files.write_files(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_files.read_files(files, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=1024)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
 }
