@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgate.llm import decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup, token_files
+from tabgate.llm import (
+    decontaminate, language_id, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup, token_files,
+)
 from tabgate.llm.tables import table
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, folder = token_files.write_files(table(spark, sf_dir, "documents"), TOKENIZER)
     return token_files.read_files(files, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -44,13 +50,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), length=200)
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_quality_model": op10_quality_model,
 }
 
 OP8_SQL = r"""
