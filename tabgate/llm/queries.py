@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgate.llm import (
-    decontaminate, language_id, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup, token_files,
+    chat, decontaminate, extract, language_id, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup, token_files,
 )
 from tabgate.llm.tables import table
 
@@ -42,6 +42,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_id", "_key")
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_windows(turns.unionByName(more), TOKENIZER))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -50,18 +57,24 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), length=200)
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_chat_windows": op2_chat_windows,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_page_text": op9_page_text,
     "op10_quality_model": op10_quality_model,
 }
 
