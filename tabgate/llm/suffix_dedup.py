@@ -326,7 +326,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     rows = docs.select(ident, key, F.col(text).alias("text"))
     found = stage(rows.mapInArrow(lambda b: _segment_rows(b, length), SEGMENTS), "segments")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    twice = anchors.filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
+    # Stored first: the join then deals both sides anew, and the planner may split an anchor with very many segments.
+    twice = stage(anchors.filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike")), "shared-anchors")
     seen = stage(found.join(twice, "anchor"), "shared-segments")
     # Equal segments are one row, with their number and the place of one of them.
     kinds = stage(
