@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +23,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: An id after each document.
 END = 0
 #: So many different words are kept by a worker; then it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
 #: The pattern that byte-level tokenizers of this kind cut a text by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words of these characters alone are cut by PIECES here; all others are left to the tokenizer.
-PLAIN = re.compile(r" ?[\x21-\x7eÀ-ſ]+")
+PLAIN = re.compile(r" ?[\n\x21-\x7eÀ-ſ]+")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = r"(^ )|( $)|( \s)|(\s )|[\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -52,10 +53,8 @@ class Encoder:
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._empty()
-
-    def _empty(self) -> None:
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(specials) or r"(?!)")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -63,23 +62,25 @@ class Encoder:
         ids = self.pieces.get(piece)
         if ids is None:
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = self.pieces[piece] = np.array([t.id for t in tokens], np.int32).tobytes()
+            ids = self.pieces[piece] = array("i", [t.id for t in tokens]).tobytes()
         return ids
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as 32-bit numbers."""
-        if len(self.words) > KEPT_WORDS:
-            self._empty()
+        for kept in (self.words, self.pieces):
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
         found = [self.words.get(w) for w in words]
         strange = []
         for i, ids in enumerate(found):
             if ids is None:
                 word = words[i]
-                if PLAIN.fullmatch(word) and not any(s in word for s in self.specials):
-                    pieces = (word,) if word[1:].isalpha() and word[0] == " " else PIECES.findall(word)
-                    found[i] = self.words[word] = b"".join([self._piece(p) for p in pieces])
-                else:
+                if not PLAIN.fullmatch(word) or self.special.search(word):
                     strange.append(i)
+                elif word[0] == " " and word[1:].isalpha():
+                    found[i] = self.words[word] = self._piece(word)
+                else:
+                    found[i] = self.words[word] = b"".join([self._piece(p) for p in PIECES.findall(word)])
         if strange:
             for i, e in zip(strange, self.tokenizer.encode_batch([words[i] for i in strange], add_special_tokens=False)):
                 found[i] = self.words[words[i]] = np.array(e.ids, np.int32).tobytes()
