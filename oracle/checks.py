@@ -92,19 +92,16 @@ cte("kids_before", "SELECT DISTINCT parent_type, parent_id_prop, parent_id_value
 cte("kid_groups", """
   SELECT submission_id, parent_type, parent_id_prop, parent_id_value, node_type, count(*) AS n_now
   FROM kids_now GROUP BY ALL""")
+cte("kid_members", """
+  SELECT submission_id, parent_type, parent_id_prop, parent_id_value, node_type, node_id FROM kids_now
+  UNION
+  SELECT g2.submission_id, b.* FROM kids_before b JOIN kid_groups g2
+    USING (parent_type, parent_id_prop, parent_id_value, node_type) WHERE g2.n_now <= 1""")
 cte("kid_all", """
-  SELECT g.submission_id, parent_type, parent_id_prop, parent_id_value, node_type,
-         count(DISTINCT k.node_id) AS n_children,
-         '[' || string_agg(DISTINCT '"' || k.node_id || '"', ',' ORDER BY '"' || k.node_id || '"') || ']' AS ids
-  FROM kid_groups g JOIN (
-    SELECT submission_id, parent_type, parent_id_prop, parent_id_value, node_type, node_id FROM kids_now
-    UNION ALL
-    SELECT g2.submission_id, b.* FROM kids_before b JOIN kid_groups g2
-      USING (parent_type, parent_id_prop, parent_id_value, node_type) WHERE g2.n_now <= 1) k
-    USING (submission_id, parent_type, parent_id_prop, parent_id_value, node_type)
-  GROUP BY ALL HAVING count(DISTINCT k.node_id) > 1""")
+  SELECT submission_id, parent_type, parent_id_prop, parent_id_value, node_type, count(*) AS n_children
+  FROM kid_members GROUP BY ALL HAVING count(*) > 1""")
 cte("one_to_one", """
-  SELECT e.record_id, e.node_type, e.node_id, e.pos, e.parent_type, e.parent_id_value, k.n_children, k.ids,
+  SELECT e.record_id, e.node_type, e.node_id, e.pos, e.parent_type, e.parent_id_value, k.n_children,
          e.file_name, e.line_number
   FROM present_edges e JOIN kid_all k USING (submission_id, parent_type, parent_id_prop, parent_id_value, node_type)
   WHERE e.present AND e.multiplicity = 'one_to_one'""")
@@ -228,11 +225,8 @@ ORACLE = {
     "d03_duplicate_ids": """
       SELECT d.record_id, CAST(d.n_copies AS BIGINT) AS n_copies, d.offending_value,
              '[' || d.file_name || ': line ' || d.line_number || '] Same ID also appears in ' ||
-             string_agg('"' || o.file_name || '" line ' || o.line_number, ',' ORDER BY o.file_name, o.line_number, o.record_id)
-             || '.' AS description
-      FROM dup_issues d JOIN recs o ON o.submission_id = d.submission_id AND o.node_type = d.node_type
-       AND o.node_id = d.node_id AND o.record_id <> d.record_id
-      GROUP BY d.record_id, d.n_copies, d.offending_value, d.file_name, d.line_number""",
+             CAST(d.n_copies - 1 AS VARCHAR) || ' other rows of ' || d.node_type || ' ' || d.node_id || '.' AS description
+      FROM dup_issues d""",
     "d03_duplicate_members": """SELECT submission_id, node_type, node_id, record_id, CAST(n_copies AS BIGINT) AS n_copies
                                 FROM recs JOIN copies USING (submission_id, node_type, node_id)""",
     "d04_undefined_properties": M017,
@@ -276,8 +270,14 @@ ORACLE = {
     "e05_one_to_one": """SELECT record_id, pos, parent_type, parent_id_value, CAST(n_children AS BIGINT) AS n_children,
       '"[' || file_name || ': line ' || line_number || ']": associated node “' || parent_type || '”: “' ||
       parent_id_value || '" has multiple nodes associated: ' ||
-      CASE WHEN n_children <= 100 THEN ids ELSE CAST(n_children AS VARCHAR) || ' nodes' END || '.' AS description
+      CAST(n_children AS VARCHAR) || ' nodes.' AS description
       FROM one_to_one""",
+    "e05_children": """
+      SELECT submission_id, parent_type, parent_id_prop, parent_id_value, node_type, k.node_id FROM kid_members k
+      JOIN kid_all USING (submission_id, parent_type, parent_id_prop, parent_id_value, node_type)
+      WHERE node_type IN (SELECT node_type FROM mrels WHERE multiplicity = 'one_to_one' AND mrels.parent_type = k.parent_type)
+        AND (parent_type, parent_id_prop, parent_id_value, submission_id) IN
+          (SELECT (parent_type, parent_id_prop, parent_id_value, submission_id) FROM present_edges WHERE present)""",
     "e06_consent_groups": "SELECT submission_id, record_id, group_id FROM reach",
     "e07_consent_codes": """SELECT record_id, conflict, CASE WHEN conflict THEN '' ELSE array_to_string(codes, ',') END AS codes
                             FROM coded""",
@@ -287,7 +287,7 @@ ORACLE = {
                                 AND record_id NOT IN (SELECT record_id FROM pardon)""",
     "f04_cross_submission": """
       SELECT r.record_id, CAST(g.n AS BIGINT) AS n_submissions,
-             string_agg(m.submission_id, ',' ORDER BY m.submission_id) AS others
+             CAST(count(m.submission_id) AS VARCHAR) || ' submissions' AS others
       FROM cross_rows r JOIN (SELECT study_id, node_type, node_id, count(*) AS n FROM cross_members GROUP BY ALL
                               HAVING count(*) > 1) g USING (study_id, node_type, node_id)
       JOIN cross_members m ON m.study_id = r.study_id AND m.node_type = r.node_type AND m.node_id = r.node_id

@@ -189,6 +189,9 @@ ORACLE |= {
                               UNION ALL SELECT {VERSION}, 'new' FROM orders WHERE o_orderkey % 15 = 0""",
     "k04_delete_records": f"""SELECT {VERSION}, what FROM orders, (VALUES ('record'), ('issue')) w(what)
                               WHERE o_orderkey % 5 <> 0""",
+    "k04_saved_deletion": """
+      SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS record_id, 'S' || CAST(o_custkey % 8 AS VARCHAR) AS submission_id
+      FROM orders WHERE NOT (o_custkey % 8 = 3 OR (o_custkey % 8 = 5 AND o_orderkey % 2 = 0))""",
     "k05_insert_absent": """
       SELECT DISTINCT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS submission_id,
              CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders

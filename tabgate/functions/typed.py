@@ -23,6 +23,28 @@ def as_integer(value: Column) -> Column:
     return F.when(is_integer(value), F.regexp_replace(text, "_", "").try_cast("decimal(38,0)"))
 
 
+def integer_text(value: Column) -> Column:
+    """The integer as text without sign +, underscores and leading zeros, however long it is."""
+    text = F.regexp_replace(strip(value), "_", "")
+    digits = F.regexp_replace(F.regexp_replace(text, "^[+-]", ""), r"^0+(?=\d)", "")
+    return F.when(is_integer(value), F.concat(F.when(text.startswith("-") & (digits != "0"), "-").otherwise(""), digits))
+
+
+def number_text(number: Column) -> Column:
+    """The shortest decimal text of a double, without a fraction of zero; very large, very small and not finite
+    numbers as 1e30, 1.5e-7, inf, -inf and nan."""
+    size, text = F.abs(number), F.lower(number.cast("string"))
+    wide = number.try_cast("decimal(38,10)").cast("string")
+    return (
+        F.when(F.isnan(number), F.lit("nan"))
+        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
+        .when(number == 0, F.lit("0"))
+        .when((size >= 1e-3) & (size < 1e7), F.regexp_replace(text, r"\.0$", ""))
+        .when((size >= 1e7) & (size < 1e16), F.regexp_replace(wide, r"\.?0+$", ""))
+        .otherwise(F.regexp_replace(text, r"\.0e", "e"))
+    )
+
+
 def is_integer(value: Column) -> Column:
     return strip(value).rlike(INTEGER_SHAPE)
 

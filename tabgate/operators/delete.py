@@ -24,7 +24,7 @@ def not_found(records: DataFrame, submission_id: str, node_type: str, ids: DataF
     return ids.select("node_id").distinct().join(rows.select("node_id").distinct(), "node_id", "left_anti")
 
 
-def cascade(records: DataFrame, start: DataFrame, depth: int, by: str = "type") -> DataFrame:
+def cascade(records: DataFrame, start: DataFrame, by: str = "type") -> DataFrame:
     """(record_id, node keys, action deleted | updated, parents left) of all records affected.
 
     Level by level: children of deleted nodes lose every parent whose type is among the types
@@ -43,7 +43,7 @@ def cascade(records: DataFrame, start: DataFrame, depth: int, by: str = "type")
     lost_key = ["record_id", "parent_type"] + (["parent_id"] if by == "id" else [])
     deleted = level = cut_lineage(start.select("record_id", *NODE))
     lost = None
-    for _ in range(depth + 1):
+    while True:
         nodes = level.select(
             "submission_id", F.col("node_type").alias("parent_type"), F.col("node_id").alias("parent_id")
         ).distinct()
@@ -66,8 +66,6 @@ def cascade(records: DataFrame, start: DataFrame, depth: int, by: str = "type")
             touched.select("record_id", *NODE).distinct().join(still, "record_id", "left_anti")
         )
         deleted = deleted.unionByName(level)
-    else:
-        raise RuntimeError(f"records hang deeper than {depth} levels")
     gone = records.join(deleted.select("record_id").distinct(), "record_id", "left_semi").select(
         "record_id", *NODE, F.lit("deleted").alias("action"), F.lit(None).cast("bigint").alias("n_parents_left"),
         F.lit(None).cast(dict(records.dtypes)["parents"]).alias("parents"),

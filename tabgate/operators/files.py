@@ -74,12 +74,9 @@ def file_issues(files: DataFrame, listing: DataFrame) -> DataFrame:
     return emit(rows, [first], keep=KEEP)
 
 
-def before_logs(listing: DataFrame) -> DataFrame:
-    """The listing up to the first path with a log folder in it."""
-    first = listing.filter(F.col("path").contains("/log")).groupBy("submission_id").agg(F.min("path").alias("_log"))
-    return listing.join(first, "submission_id", "left").filter(
-        F.col("_log").isNull() | (F.col("path") < F.col("_log"))
-    ).drop("_log")
+def without_logs(listing: DataFrame) -> DataFrame:
+    """The listing without paths in a log folder."""
+    return listing.filter(~F.col("path").contains("/log"))
 
 
 def orphans(listing: DataFrame, files: DataFrame, batches: DataFrame) -> DataFrame:
@@ -90,7 +87,7 @@ def orphans(listing: DataFrame, files: DataFrame, batches: DataFrame) -> DataFra
     """
     described = files.filter(F.col("has_info"))
     bare = (
-        before_logs(listing)
+        without_logs(listing)
         .join(described.select("submission_id").distinct(), "submission_id", "left_semi")
         .join(described.select(*NAME).distinct(), NAME, "left_anti")
     )

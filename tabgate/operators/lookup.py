@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from tabgate.session import stage
 
-# At most this many keys take the broadcast path. What is left after taking out the 256 heaviest
-# keys holds no key with more than 1/257 of the rows, so the shuffle below stays balanced.
-HEAVY_KEYS = 256
+# Keys with more than one row in HEAVY_SHARE take the broadcast path; there can't be more than HEAVY_SHARE of them.
+# No key that is left holds more, so the shuffle below stays balanced.
+HEAVY_SHARE = 2_000
 HEAVY_ROWS = 10_000
 SPREAD = 2048
-LISTED = 100
+# Rows from sources of this size fit one task even if they all share a key; they are joined as they are.
+SMALL_BYTES = 64 << 20
+
+
+def source_bytes(df: DataFrame) -> int:
+    """What the planner knows of the size of all tables that the rows come from."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes)
 
 
 def attach(
@@ -29,18 +37,21 @@ def attach(
     first: it is computed once, and its size is known to the planner. When some keys are heavy, the
     heaviest (a bounded number) are joined by broadcast and their rows travel through the shuffle
     under a salt, so that no task receives a whole heavy key; otherwise the join is left to the
-    planner. All other columns of ``facts`` are added.
+    planner. All other columns of ``facts`` are added. Small sources are joined without storing
+    anything first; the rows are the same either way.
     """
     values = [c for c in facts.columns if c not in keys]
+    if heavy_rows >= HEAVY_ROWS and source_bytes(rows) <= SMALL_BYTES:
+        packed = facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_fact"))
+        joined = rows.join(packed, _all_equal(keys), "left")
+        return joined.select(*rows.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
     packed = stage(
         facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_fact")), "facts"
     )
-    heavy = (
-        packed.filter(F.col(f"_fact.{weight}") >= heavy_rows)
-        .orderBy(F.col(f"_fact.{weight}").desc(), *[F.col(f"_k_{k}") for k in keys])
-        .limit(HEAVY_KEYS)
-        .withColumnRenamed("_fact", "_heavy")
-    )
+    total = packed.agg(F.sum(f"_fact.{weight}")).first()[0] or 0
+    heavy = packed.filter(
+        (F.col(f"_fact.{weight}") >= heavy_rows) & (F.col(f"_fact.{weight}") * HEAVY_SHARE > total)
+    ).withColumnRenamed("_fact", "_heavy")
     matches = _all_equal(keys)
     if heavy.isEmpty():
         joined = rows.join(packed, matches, "left")
@@ -68,19 +79,3 @@ def counted(rows: DataFrame, keys: list[str], at_least: int = 1, name: str = "n_
     """Rows per key; the partial counts are made before the shuffle."""
     per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     return per_key.filter(F.col(name) >= at_least) if at_least > 1 else per_key
-
-
-def short_lists(
-    members: DataFrame, sizes: DataFrame, keys: list[str], size: str, item: Column, name: str, limit: int = LISTED
-) -> DataFrame:
-    """Sorted member list of every key that has at most ``limit`` members.
-
-    Longer groups get no list here: their members are whole and complete in ``members`` itself,
-    which is the table to read for them. So no task ever holds an unbounded list.
-    """
-    small = sizes.filter(F.col(size) <= limit).select(*keys)
-    return (
-        members.join(small, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
-    )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tabgate.functions import typed
 from tabgate.functions.faults import ISSUE_KEYS, emit, fault, prefix, selected
 from tabgate.functions.text import DELETE_MARK, is_blank, split_plain, strip
-from tabgate.operators.lookup import LISTED, SPREAD, attach, counted, short_lists
-from tabgate.operators.rules import KNOWN_TYPES
+from tabgate.operators.lookup import SPREAD, attach, counted
+from tabgate.operators.rules import KNOWN_TYPES, anchored_pattern
 
 RULE_ON = ("data_commons", "model_version", "node_type", "prop")
 PLACE = (*ISSUE_KEYS, "file_name", "line_number", "data_commons", "model_version")
@@ -62,34 +62,22 @@ def duplicate_members(records: DataFrame) -> DataFrame:
     return marked.filter(F.col("n_copies").isNotNull())
 
 
-def duplicate_issues(records: DataFrame, facts: DataFrame, listed: int = LISTED) -> DataFrame:
-    """D3 (M016). Groups of up to ``listed`` rows name all other places in the text; the places of
-    larger groups are in duplicate_members, and the text names the group."""
+def duplicate_issues(records: DataFrame, facts: DataFrame) -> DataFrame:
+    """D3 (M016). The text tells how many other rows there are; duplicate_members has them all, one row each."""
     rows = on_nodes(records, facts)
     key = F.try_element_at("props", F.col("model_id_prop"))
     checked = rows.filter(
         ~empty_record() & F.col("known_node").isNotNull() & F.coalesce(strip(key) != "", F.lit(True))
     )
     groups = counted(records, DUPLICATE_KEY, at_least=2, name="n_copies")
-    members = duplicate_members(records)
-    place = F.struct(
-        F.coalesce("file_name", F.lit("")).alias("file"), F.col("line_number").alias("line"), "record_id"
-    )
-    lists = short_lists(members, groups, DUPLICATE_KEY, "n_copies", place, "places", listed)
-    known = groups.join(lists, DUPLICATE_KEY, "left")
     hit = attach(
         checked.select(*PLACE, F.col("model_id_prop"), key.alias("key_value")),
-        known, DUPLICATE_KEY, "n_copies", spread_by=["record_id"],
+        groups, DUPLICATE_KEY, "n_copies", spread_by=["record_id"],
     ).filter(F.col("n_copies").isNotNull())
-    others = F.filter("places", lambda p: p["record_id"] != F.col("record_id"))
-    named = F.array_join(
-        F.transform(others, lambda p: F.format_string('"%s" line %s', p["file"], p["line"])), ","
-    )
-    counted_text = F.format_string("%s other rows of %s %s", F.col("n_copies") - 1, F.col("node_type"), F.col("node_id"))
+    others = F.format_string("%s other rows of %s %s", F.col("n_copies") - 1, F.col("node_type"), F.col("node_id"))
     return emit(
         hit,
-        [fault("M016", F.lit(True), F.col("model_id_prop"), F.col("key_value"), prefix(),
-               F.coalesce(named, counted_text))],
+        [fault("M016", F.lit(True), F.col("model_id_prop"), F.col("key_value"), prefix(), others)],
         keep=(*ISSUE_KEYS, "n_copies"),
     )
 
@@ -209,12 +197,12 @@ def with_parsed(cells: DataFrame) -> DataFrame:
 def type_faults(layouts=typed.DATE_LAYOUTS, ignore_zero_bounds: bool = True) -> dict[str, Column]:
     """D8, D9, D13-D17 and the missing elements of D10, on cells that went through with_parsed."""
     prop, value, kind, filled = F.col("prop"), F.col("value"), F.col("type"), has_value()
-    anchored = F.concat(F.lit("^(?:"), F.replace(F.col("pattern"), F.lit("(?P<"), F.lit("(?<")), F.lit(")"))
+    anchored = anchored_pattern(F.col("pattern"))
     usable = F.coalesce(F.col("pattern") != "", F.lit(False)) & F.coalesce("pattern_ok", F.lit(False))
     is_pattern = filled & (kind == "pattern")
     fits = F.when(usable, F.rlike(value, anchored)).otherwise(F.lit(True))
     number, whole = F.col("number"), F.col("whole")
-    shown = F.when(kind == "integer", typed.as_integer(value).cast("string")).otherwise(strip(value))
+    shown = F.when(kind == "integer", typed.integer_text(value)).otherwise(strip(value))
     bounded = number.isNotNull() & F.coalesce(whole, F.lit(True))
     low, high = _bound("min", ignore_zero_bounds), _bound("max", ignore_zero_bounds)
     under = F.when(F.col("min_exclusive"), _below(number, low, True)).otherwise(_below(number, low, False))
@@ -257,12 +245,11 @@ def with_terms(cells: DataFrame, index: DataFrame) -> DataFrame:
     too large to broadcast, a salt spreads them over the shuffle.
     """
     kind, value = F.col("type"), F.col("value")
-    number = F.regexp_replace(typed.as_number(value).cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
     shown = F.when(
         has_value() & F.col("vocab_id").isNotNull(),
         F.when(kind == "string", strip(value))
-        .when(kind == "integer", typed.as_integer(value).cast("string"))
-        .when(kind == "number", number),
+        .when(kind == "integer", typed.integer_text(value))
+        .when(kind == "number", typed.number_text(typed.as_number(value))),
     )
     rows = cells.withColumn("shown", shown).withColumn("_key", F.lower("shown"))
     rows = rows.withColumn(

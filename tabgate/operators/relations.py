@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabgate.functions.faults import ISSUE_KEYS, emit, fault, prefix
 from tabgate.functions.text import is_blank
 from tabgate.operators.frontier import walk
-from tabgate.operators.lookup import LISTED, attach, counted
+from tabgate.operators.lookup import attach, counted
 from tabgate.operators.properties import PLACE
 from tabgate.session import stage
 
@@ -191,38 +191,20 @@ def child_counts(current: DataFrame, released: DataFrame) -> DataFrame:
 
 
 def one_to_one_issues(
-    sound: DataFrame, records: DataFrame, releases: DataFrame, model_rels: DataFrame, listed: int = LISTED
+    sound: DataFrame, records: DataFrame, releases: DataFrame, model_rels: DataFrame
 ) -> DataFrame:
     """E5 (M024): a parent that exists and has more than one child of this type.
 
-    The text lists the children of groups of up to ``listed``; ``children`` and
-    ``released_children`` hold every group whole.
+    The text tells how many there are; ``one_to_one_children`` has them all, one row each.
     """
-    single_kinds = model_rels.filter(F.col("multiplicity") == "one_to_one").select(
-        "data_commons", "node_type", "parent_type"
-    ).distinct()
-    on = ["data_commons", "node_type", "parent_type"]
-    current = children(records).join(single_kinds, on, "left_semi")
-    released = released_children(releases).join(single_kinds, on, "left_semi")
-    full = child_counts(current, released).filter(F.col("n_children") > 1)
-    crowded = stage(present_parents(full, records, releases).filter(F.col("present")).drop("present"), "crowded")
-    short = crowded.filter(F.col("n_children") <= listed)
-    before = short.filter(F.col("n_now") <= 1).select(*CHILD_KEY).join(released, RELEASED_CHILD_KEY)
-    ids = [*CHILD_KEY, "node_id"]
-    members = (
-        current.select(*ids).join(short.select(*CHILD_KEY), CHILD_KEY, "left_semi")
-        .unionByName(before.select(*ids)).distinct()
-    )
-    lists = members.groupBy(*CHILD_KEY).agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
-    facts = crowded.join(lists, CHILD_KEY, "left")
+    crowded, _, _ = crowded_parents(records, releases, model_rels)
     single = sound.filter(F.col("multiplicity") == "one_to_one")
-    hit = attach(single, facts, CHILD_KEY, "n_edges", spread_by=["record_id", "pos"]).filter(
+    hit = attach(single, crowded.drop("n_now"), CHILD_KEY, "n_edges", spread_by=["record_id", "pos"]).filter(
         F.col("n_children").isNotNull()
     )
-    who = F.coalesce(F.to_json("ids"), F.format_string("%s nodes", F.col("n_children")))
     text = F.format_string(
         '"%s": associated node “%s”: “%s" has multiple nodes associated: %s.', prefix(), F.col("parent_type"),
-        F.col("parent_id_value"), who,
+        F.col("parent_id_value"), F.format_string("%s nodes", F.col("n_children")),
     )
     return emit(
         hit, [fault("M024", F.lit(True), F.col("node_type"), F.col("node_id"), description=text)],
@@ -230,13 +212,37 @@ def one_to_one_issues(
     )
 
 
+def crowded_parents(
+    records: DataFrame, releases: DataFrame, model_rels: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parents with more than one child where the model allows one, children now, released children)."""
+    single_kinds = model_rels.filter(F.col("multiplicity") == "one_to_one").select(
+        "data_commons", "node_type", "parent_type"
+    ).distinct()
+    on = ["data_commons", "node_type", "parent_type"]
+    current = children(records).join(single_kinds, on, "left_semi")
+    released = released_children(releases).join(single_kinds, on, "left_semi")
+    full = child_counts(current, released).filter(F.col("n_children") > 1)
+    crowded = stage(present_parents(full, records, releases).filter(F.col("present")).drop("present"), "crowded")
+    return crowded, current, released
+
+
+def one_to_one_children(records: DataFrame, releases: DataFrame, model_rels: DataFrame) -> DataFrame:
+    """E5: every child of a crowded parent, one row each."""
+    crowded, current, released = crowded_parents(records, releases, model_rels)
+    before = crowded.filter(F.col("n_now") <= 1).select(*CHILD_KEY).join(released, RELEASED_CHILD_KEY)
+    ids = [*CHILD_KEY, "node_id"]
+    now = current.select(*ids).join(crowded.select(*CHILD_KEY), CHILD_KEY, "left_semi")
+    return now.unionByName(before.select(*ids)).distinct()
+
+
 # --- E6, E7 ------------------------------------------------------------------------------------
 
 NODE = ["submission_id", "data_commons", "parent_type", "parent_id_value"]
 
 
-def upward_links(records: DataFrame, releases: DataFrame, start: DataFrame) -> DataFrame:
-    """One step up for distinct nodes: the parents of the current record, else of the release."""
+def parent_links(records: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct links from a node to a parent in current records and in releases, stored for all rounds of a walk."""
     here = records.filter(F.size("parents") > 0).select(
         "submission_id", F.col("node_type").alias("parent_type"), F.col("node_id").alias("parent_id_value"),
         F.explode("parents").alias("up"),
@@ -245,15 +251,19 @@ def upward_links(records: DataFrame, releases: DataFrame, start: DataFrame) -> D
         "data_commons", F.col("node_type").alias("parent_type"), F.col("node_id").alias("parent_id_value"),
         F.explode("parents").alias("up"),
     ).distinct()
-    now = start.join(here, ["submission_id", "parent_type", "parent_id_value"]).select(*NODE, "up")
-    rest = start.join(
-        here.select("submission_id", "parent_type", "parent_id_value").distinct(),
-        ["submission_id", "parent_type", "parent_id_value"], "left_anti",
-    ).join(before, ["data_commons", "parent_type", "parent_id_value"]).select(*NODE, "up")
-    return now.unionByName(rest)
+    return stage(here, "links"), stage(before, "released-links")
 
 
-def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame, consent_type: str, depth: int):
+def upward_links(links: tuple[DataFrame, DataFrame], start: DataFrame) -> DataFrame:
+    """One step up for distinct nodes: the parents of the current record, else of the release."""
+    here, before = links
+    on = ["submission_id", "parent_type", "parent_id_value"]
+    now = start.join(here, on).select(*NODE, "up")
+    rest = start.join(here, on, "left_anti").join(before, ["data_commons", "parent_type", "parent_id_value"])
+    return now.unionByName(rest.select(*NODE, "up"))
+
+
+def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame, consent_type: str):
     """The parent links of file records, and all links met on the way up to consent groups.
 
     The walk runs over distinct nodes, not over records: every node on the way is asked once for
@@ -269,8 +279,10 @@ def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame
     )
     start = file_edges.select(*NODE).distinct()
 
+    stored = parent_links(records, releases)
+
     def climb(level: DataFrame) -> DataFrame:
-        links = upward_links(records, releases, level)
+        links = upward_links(stored, level)
         stops = links.groupBy(*NODE).agg(F.max(F.col("up.parent_type") == consent_type).alias("stops"))
         go = links.join(stops.filter(~F.col("stops")), NODE, "left_semi")
         return go.select(
@@ -278,16 +290,16 @@ def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame
             F.col("up.parent_id_value").alias("parent_id_value"),
         )
 
-    nodes = walk(start, climb, NODE, depth)
-    return file_edges, upward_links(records, releases, nodes)
+    nodes = walk(start, climb, NODE)
+    return file_edges, upward_links(stored, nodes)
 
 
-def consent_reach(records, releases, file_types, consent_type: str, depth: int) -> DataFrame:
+def consent_reach(records, releases, file_types, consent_type: str) -> DataFrame:
     """Distinct (submission, record, consent group id)."""
-    file_edges, links = climbed_links(records, releases, file_types, consent_type, depth)
-    flat = links.select(
+    file_edges, links = climbed_links(records, releases, file_types, consent_type)
+    flat = stage(links.select(
         *NODE, F.col("up.parent_type").alias("up_type"), F.col("up.parent_id_value").alias("up_id")
-    ).distinct()
+    ).distinct(), "climbed-links")
     stops = flat.groupBy(*NODE).agg(F.max(F.col("up_type") == consent_type).alias("stops"))
     # Groups seen from each node: its own, or those its parents see; bottom-up over distinct nodes.
     reach = flat.filter(F.col("up_type") == consent_type).select(*NODE, F.col("up_id").alias("group_id")).distinct()
@@ -303,7 +315,7 @@ def consent_reach(records, releases, file_types, consent_type: str, depth: int)
             F.col("low_id").alias("parent_id_value"), "group_id",
         )
 
-    seen = walk(reach, down, [*NODE, "group_id"], depth)
+    seen = walk(reach, down, [*NODE, "group_id"])
     # Groups per node are gathered (a node sees few) so that each file edge meets one row per node.
     gathered = seen.groupBy(*NODE).agg(F.collect_set("group_id").alias("groups"))
     weights = counted(file_edges, NODE, name="n_edges")

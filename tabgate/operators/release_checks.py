@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.functions.faults import ISSUE_KEYS, emit, fault, prefix
-from tabgate.operators.lookup import LISTED, attach, counted, short_lists
+from tabgate.operators.lookup import attach, counted
 from tabgate.operators.properties import on_nodes
 
 NODE_KEY = ["data_commons", "node_type", "node_id"]
@@ -99,25 +99,23 @@ def cross_members(records: DataFrame, submissions: DataFrame) -> DataFrame:
     return records.drop("study_id").join(live, "submission_id").select(*CROSS_KEY, "submission_id").distinct()
 
 
-def cross_submission_issues(records: DataFrame, submissions: DataFrame, listed: int = LISTED) -> DataFrame:
+def cross_submission_issues(records: DataFrame, submissions: DataFrame) -> DataFrame:
     """F4 (S001): the same node in another submission of the study.
 
-    Groups are counted, never paired. The other submissions are listed for groups of up to
-    ``listed``; cross_members has every group whole.
+    Groups are counted, never paired. The value tells how many others there are; cross_members has
+    them all, one row each.
     """
     members = cross_members(records, submissions)
     shared = counted(members, CROSS_KEY, at_least=2, name="n_submissions")
-    lists = short_lists(members, shared, CROSS_KEY, "n_submissions", F.col("submission_id"), "ids", listed)
     live = submissions.filter(F.col("status").isin(SUBMITTED, RELEASED)).select("submission_id", "study_id")
     rows = records.drop("study_id").join(live, "submission_id")
     weights = counted(rows, CROSS_KEY, name="n_rows")
-    facts = shared.join(weights, CROSS_KEY).join(lists, CROSS_KEY, "left")
+    facts = shared.join(weights, CROSS_KEY)
     hit = attach(rows, facts, CROSS_KEY, "n_rows", spread_by=["record_id"]).filter(F.col("n_submissions").isNotNull())
-    others = F.array_join(F.filter("ids", lambda i: i != F.col("submission_id")), ",")
     return emit(
         hit,
         [fault("S001", F.lit(True), "conflictingSubmissions",
-               F.coalesce(others, F.format_string("%s submissions", F.col("n_submissions") - 1)), prefix())],
+               F.format_string("%s submissions", F.col("n_submissions") - 1), prefix())],
         keep=(*ISSUE_KEYS, "n_submissions"),
     )
 

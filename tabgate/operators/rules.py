@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabgate.functions.text import DELETE_MARK, strip
 
@@ -15,28 +12,15 @@ RULE_KEY = ("data_commons", "model_version", "node_type", "prop")
 KNOWN_TYPES = ("string", "integer", "number", "datetime", "date", "boolean", "value-list", "array", "pattern")
 
 
-def with_pattern_state(model_props: DataFrame) -> DataFrame:
-    """Adds pattern_ok: does the pattern compile? Spark itself has no way to ask that.
-
-    The helper sees rule rows only; rules without a pattern never reach Python.
-    """
+def anchored_pattern(pattern: Column) -> Column:
+    """The pattern as it is matched: whole values, and named groups as the matching engine writes them."""
+    return F.concat(F.lit("^(?:"), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), F.lit(")"))
 
-    def compiles(patterns: pd.Series) -> pd.Series:
-        def ok(pattern) -> bool:
-            try:
-                re.compile(pattern)
-                return True
-            except (re.error, TypeError):
-                return False
 
-        return patterns.map(ok)
-
-    check = F.pandas_udf(compiles, T.BooleanType())
-    given = model_props.filter(F.col("pattern").isNotNull())
-    bare = model_props.filter(F.col("pattern").isNull())
-    return given.withColumn("pattern_ok", check("pattern")).unionByName(
-        bare.withColumn("pattern_ok", F.lit(False))
-    )
+def with_pattern_state(model_props: DataFrame) -> DataFrame:
+    """Adds pattern_ok: does the pattern compile in the engine that matches values later?"""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), anchored_pattern(F.col("pattern")))
+    return model_props.withColumn("pattern_ok", F.col("pattern").isNotNull() & compiled.isNotNull())
 
 
 def effective_rules(model_props: DataFrame, cde: DataFrame) -> DataFrame:

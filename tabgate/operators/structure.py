@@ -376,9 +376,9 @@ def repeat_checks(rows: DataFrame, bad_relations: DataFrame) -> DataFrame:
 
 def structure_issues(
     lines: DataFrame, batches: DataFrame, model_nodes: DataFrame, model_props: DataFrame, model_rels: DataFrame,
-    file_limit: int | None = FILE_LIMIT, batch_limit: int | None = BATCH_LIMIT,
+    file_limit: int | None = None, batch_limit: int | None = None,
 ) -> DataFrame:
-    """batch_id, file_name, kind, line_number, what, other, text."""
+    """batch_id, file_name, kind, line_number, what, other, text; all issues unless limits are given."""
     files, rows = sheet(lines, batches, model_nodes)
     return capped(issues_of(files, rows, model_nodes, model_props, model_rels), file_limit, batch_limit)
 
@@ -414,7 +414,7 @@ def _text() -> Column:
     return pick
 
 
-def capped(issues: DataFrame, file_limit: int | None, batch_limit: int | None) -> DataFrame:
+def capped(issues: DataFrame, file_limit: int | None = FILE_LIMIT, batch_limit: int | None = BATCH_LIMIT) -> DataFrame:
     """The report shows the first issues of a file and of a batch.
 
     Spark keeps at most the limit per group before it shuffles, so a file full of faults stays cheap.

@@ -143,7 +143,7 @@ def one_to_one(s, d):
 def reach(s, d):
     ctx, _ = context(s, d)
     files = ctx.model_nodes.filter("is_file").select("data_commons", "model_version", "node_type")
-    return R.consent_reach(records(s, d), ctx.releases, files, "nation", star.NODE_TYPES)
+    return R.consent_reach(records(s, d), ctx.releases, files, "nation")
 
 
 def consent(s, d):
@@ -241,6 +241,8 @@ QUERIES = {
     "e03_several_parents": several_parents,
     "e04_absent_parents": absent_parents,
     "e05_one_to_one": one_to_one,
+    "e05_children": lambda s, d: R.one_to_one_children(records(s, d), context(s, d)[0].releases, context(s, d)[0].model_rels).select(
+        "submission_id", "parent_type", "parent_id_prop", "parent_id_value", "node_type", "node_id"),
     "e06_consent_groups": lambda s, d: reach(s, d).select("submission_id", "record_id", "group_id"),
     "e07_consent_codes": consent,
     "f01_changed_releases": _release("M018"),

@@ -241,6 +241,19 @@ def deleted_with_issues(s, d):
         issues.select("record_id", F.lit("issue").alias("what")))
 
 
+def saved_deletion(s, d):
+    """A stored table after rows of some submissions went, one of them whole."""
+    folder = scratch_path(s, "saved")
+    rows = versions(s, d, "TRUE", "old")
+    K.save(rows, folder, "submission_id")
+    gone = versions(s, d, "o_custkey % 8 = 3 OR (o_custkey % 8 = 5 AND o_orderkey % 2 = 0)", "x")
+    stored = s.read.parquet(folder)
+    touched = gone.select("submission_id").distinct()
+    left = K.delete_records(stored, stored.select("record_id"), gone)[0].join(touched, "submission_id", "left_semi")
+    K.save(left, folder, "submission_id", touched)
+    return s.read.schema(stored.schema).parquet(folder).select("record_id", "submission_id")
+
+
 def inserted_absent(s, d):
     fields = ["submission_id", "status"]
     return K.insert_absent(versions(s, d, "o_orderkey % 5 = 0 AND o_orderstatus <> 'F'", "a"),
@@ -265,6 +278,7 @@ QUERIES |= {
     "k02_update_fields": updated,
     "k03_replace_issues": replaced_issues,
     "k04_delete_records": deleted_with_issues,
+    "k04_saved_deletion": saved_deletion,
     "k05_insert_absent": inserted_absent,
     "k06_ids_except": ids_except,
 }

@@ -72,7 +72,7 @@ def wanted_ids(s, d):
 def cascaded(s, d):
     rows = one_submission(s, d)
     start = I.chosen(rows, "S0", "nation", wanted_ids(s, d))
-    return I.cascade(rows, start, star.NODE_TYPES)
+    return I.cascade(rows, start)
 
 
 def cascade(s, d):
@@ -163,7 +163,7 @@ def file_urls(s, d):
 def below_deleted(s, d):
     rel = check_queries.context(s, d)[0].releases
     gone = rel.filter((F.col("node_type") == "nation") & (F.col("node_id").try_cast("bigint") % 5 == 0))
-    return J.below_deleted(rel, gone, star.NODE_TYPES).select("node_type", "node_id")
+    return J.below_deleted(rel, gone).select("node_type", "node_id")
 
 
 def retired(s, d):

@@ -353,9 +353,6 @@ _REL_ROWS = [
     ("lineitem", "supplier", "many_to_many"),
 ]
 
-# Depth of the model: no chain of parents is longer than the number of node types.
-NODE_TYPES = len(_NODE_ROWS)
-
 
 def model_node_rows() -> list[dict]:
     return [

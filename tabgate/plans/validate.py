@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,24 +42,33 @@ def by_intention(records: DataFrame, submissions: DataFrame) -> tuple[DataFrame,
     )
 
 
-@dataclass
 class Prepared:
-    """Rule tables of one run, computed once and stored: effective rules and the term index."""
+    """Rule tables of one run, each made when it is first asked for: effective rules and the term index are stored,
+    the facts of node types and the registered names are a few rows."""
+
+    def __init__(self, ctx: Context) -> None:
+        self._ctx = ctx
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return stage(rules.effective_rules(rules.with_pattern_state(self._ctx.model_props), self._ctx.cde), "rules")
 
-    rules: DataFrame
-    index: DataFrame
-    facts: DataFrame
-    names: DataFrame
+    @cached_property
+    def index(self) -> DataFrame:
+        return stage(rules.term_index(self.rules, self._ctx.synonyms), "terms")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return properties.node_facts(self._ctx.model_nodes, self._ctx.model_props)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        ctx = self._ctx
+        return properties.submission_names(ctx.submissions, ctx.studies, ctx.organizations)
 
 
 def prepare(ctx: Context) -> Prepared:
-    rule_rows = stage(rules.effective_rules(rules.with_pattern_state(ctx.model_props), ctx.cde), "rules")
-    return Prepared(
-        rules=rule_rows,
-        index=stage(rules.term_index(rule_rows, ctx.synonyms), "terms"),
-        facts=stage(properties.node_facts(ctx.model_nodes, ctx.model_props), "nodes"),
-        names=stage(properties.submission_names(ctx.submissions, ctx.studies, ctx.organizations), "names"),
-    )
+    return Prepared(ctx)
 
 
 def matched_cells(records: DataFrame, ctx: Context, ready: Prepared) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,10 @@ ONE_CELL = 256 * 1024 * 1024
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """A5: path, name, size and time of every file below a folder; contents are not read."""
+    """A5: path, name, size and time of every file with content below a folder; contents are not read.
+
+    Spark's reader passes over files of size 0; who asks whether such a file is there has the store's own listing.
+    """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))

@@ -64,27 +64,32 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.filter(F.length("value") > 0).withColumn("cells", cells(F.col("value")))
 
 
-def unreadable(parsed_lines: DataFrame, expected: DataFrame) -> DataFrame:
-    """(file_name, line_number, kind) of files that cannot be read.
-
-    ``expected``: file_name of the files a batch names. Missing files, the first line that is not
-    UTF-8, and the first line with more cells than the header.
+def unreadable(
+    parsed_lines: DataFrame, expected: DataFrame, stored: DataFrame | None = None, keys: tuple[str, ...] = ("file_name",)
+) -> DataFrame:
+    """(keys, line_number, kind) of files that cannot be read.
+
+    ``expected``: the files that batches name; ``stored``: those that are there, by default those
+    with any line (a file may be empty, then only the listing tells). ``keys`` stand for a file,
+    e.g. its batch and name. Missing files, the first line that is not UTF-8, and the first line
+    with more cells than the header.
     """
-    present = parsed_lines.select("file_name").distinct()
-    missing = expected.select("file_name").join(present, "file_name", "left_anti").select(
-        "file_name", F.lit(None).cast("int").alias("line_number"), F.lit("file not found").alias("kind")
+    key = list(keys)
+    present = (parsed_lines if stored is None else stored).select(*key).distinct()
+    missing = expected.select(*key).join(present, key, "left_anti").select(
+        *key, F.lit(None).cast("int").alias("line_number"), F.lit("file not found").alias("kind")
     )
-    coded = parsed_lines.filter(~F.is_valid_utf8("value")).groupBy("file_name").agg(
+    coded = parsed_lines.filter(~F.is_valid_utf8("value")).groupBy(*key).agg(
         F.min("line_number").alias("line_number")
     ).withColumn("kind", F.lit("non UTF-8 character(s) found"))
     widths = parsed_lines.withColumn("width", F.size("cells"))
-    head = widths.groupBy("file_name").agg(F.min_by("width", "line_number").alias("expected_width"))
+    head = widths.groupBy(*key).agg(F.min_by("width", "line_number").alias("expected_width"))
     wide = (
-        widths.join(head, "file_name").filter(F.col("width") > F.col("expected_width"))
-        .groupBy("file_name", "expected_width")
+        widths.join(head, key).filter(F.col("width") > F.col("expected_width"))
+        .groupBy(*key, "expected_width")
         .agg(F.min(F.struct("line_number", "width")).alias("first"))
         .select(
-            "file_name", F.col("first.line_number").alias("line_number"),
+            *key, F.col("first.line_number").alias("line_number"),
             F.format_string("Expected %s fields saw %s", "expected_width", "first.width").alias("kind"),
         )
     )

@@ -11,7 +11,7 @@ from tabgate.functions import ids, text
 from tabgate.operators import files as H
 from tabgate.operators import release as J
 from tabgate.operators import upkeep as K
-from tabgate.operators.lookup import attach, counted, short_lists
+from tabgate.operators.lookup import attach, counted
 from tabgate.schema import EDGES, local_table
 from tabgate.sources import listing, tsv
 
@@ -25,10 +25,42 @@ def test_attach_gives_the_plain_join_with_and_without_heavy_keys(spark):
         assert rows(attach(df, facts, ["k"], "n", ["id"], heavy_rows=heavy), "id", "n", "v") == want
 
 
-def test_short_lists_leave_out_long_groups_only(spark):
-    members = spark.range(40).select(F.when(F.col("id") < 30, "long").otherwise("short").alias("k"), "id")
-    sizes = counted(members, ["k"], name="n")
-    assert rows(short_lists(members, sizes, ["k"], "n", F.col("id"), "ids", 10), "k", "ids") == [("short", list(range(30, 40)))]
+def test_deeper_chains_than_the_model_has_types(spark):
+    from tabgate.operators.frontier import walk
+
+    links = spark.range(40).select(F.col("id").alias("n"), ((F.col("id") + 1) % 40).alias("up"))
+    found = walk(spark.range(1).select(F.col("id").alias("n")), lambda level: level.join(links, "n").select(F.col("up").alias("n")), ["n"])
+    assert found.count() == 40
+
+
+def test_saved_deletions_leave_no_partition_behind(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(9).select("id", F.concat(F.lit("s "), (F.col("id") % 3).cast("string")).alias("part"))
+    K.save(df, path, "part")
+    left = df.filter("part <> 's 1' AND NOT (part = 's 0' AND id > 3)")
+    touched = df.filter("part IN ('s 0', 's 1')").select("part").distinct()
+    K.save(left.filter("part = 's 0'"), path, "part", touched)
+    assert rows(spark.read.parquet(path), "id", "part") == rows(left, "id", "part")
+
+
+def test_numbers_and_integers_as_text(spark):
+    from tabgate.functions import typed
+
+    texts = ["1e30", "inf", "-Infinity", "nan", "0.12345678901", "12.50", "1_000", "1e-12", "-0.0", "100", "123456789.5", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [r[0] for r in df.select(typed.number_text(typed.as_number(F.col("t")))).collect()]
+    assert got == ["1e30", "inf", "-inf", "nan", "0.12345678901", "12.5", "1000", "1e-12", "0", "100", "123456789.5", None]
+    long = "9" * 40
+    df = spark.createDataFrame([(t,) for t in (long, "-00" + long, "+007", "1_0", "-0", "x")], "t STRING")
+    assert [r[0] for r in df.select(typed.integer_text(F.col("t"))).collect()] == [long, "-" + long, "7", "10", "0", None]
+
+
+def test_patterns_are_judged_by_the_engine_that_matches(spark):
+    from tabgate.operators.rules import with_pattern_state
+
+    patterns = ["[A-Z]+", "(un(closed", "[[]a", "(a)(?(1)b|c)", "(?P<n>x)", None]
+    df = spark.createDataFrame([(p,) for p in patterns], "pattern STRING")
+    assert [r["pattern_ok"] for r in with_pattern_state(df).collect()] == [True, False, False, False, True, False]
 
 
 def test_lines_are_numbered_across_splits(spark, tmp_path):
@@ -59,7 +91,12 @@ def test_unreadable_files(spark, tmp_path):
     (tmp_path / "wide.tsv").write_text("a\tb\n1\t2\n\n1\t2\t3\n")
     (tmp_path / "odd.tsv").write_bytes(b"a\tb\n1\t\xff\xfe\n")
     lines = tsv.parsed(tsv.numbered(tsv.text_lines(spark, str(tmp_path))))
-    expected = spark.createDataFrame([("good.tsv",), ("wide.tsv",), ("odd.tsv",), ("none.tsv",)], "file_name STRING")
+    (tmp_path / "void.tsv").write_text("")
+    expected = spark.createDataFrame(
+        [("good.tsv",), ("wide.tsv",), ("odd.tsv",), ("none.tsv",), ("void.tsv",)], "file_name STRING")
+    stored = spark.createDataFrame([(p.name,) for p in tmp_path.iterdir()], "file_name STRING")
+    assert rows(tsv.unreadable(lines, expected, stored).filter("kind = 'file not found'"), "file_name") == [("none.tsv",)]
+    expected = expected.filter("file_name <> 'void.tsv'")
     assert rows(tsv.unreadable(lines, expected), "file_name", "line_number", "kind") == [
         ("none.tsv", None, "file not found"), ("odd.tsv", 2, "non UTF-8 character(s) found"),
         ("wide.tsv", 4, "Expected 2 fields saw 3")]
