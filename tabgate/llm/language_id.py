@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from tabgate.llm.arrow_text import text_blocks
 
 PIECE = 96
-HIDDEN = 16
+HIDDEN = 12
 PER_LANGUAGE = 400
 SAMPLE_PIECES = 8
 STEPS = 260
 BATCH = 192
 #: Pieces that are run through the network at a time.
-PIECES_AT_ONCE = 2048
+PIECES_AT_ONCE = 4096
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,14 +144,62 @@ class Network:
         place = np.arange(PIECE)
         for at in range(0, len(starts), PIECES_AT_ONCE):
             some = slice(at, at + PIECES_AT_ONCE)
-            real = (place < lengths[some, None]).astype(np.float32)
-            x = padded[starts[some, None] + place]
-            f, _ = states(x, real, w["in_f"], w["state_f"], range(PIECE), False)
-            b, _ = states(x, real, w["in_b"], w["state_b"], range(PIECE - 1, -1, -1), False)
-            np.add.at(total, text_of[some], (probabilities(f, b, w) * real.T[:, :, None]).sum(axis=0))
+            real = (place[:, None] < lengths[some]).astype(np.float32)
+            np.add.at(total, text_of[some], _summed(padded[starts[some] + place[:, None]], real, w).T)
         return total / np.maximum(sizes, 1)[:, None]
 
 
+class _Cell:
+    """A recurrent unit over many pieces at once, features by pieces, with its buffers: what `states` does, faster."""
+
+    def __init__(self, table: np.ndarray, u: np.ndarray, n: int) -> None:
+        self.hidden = u.shape[0]
+        half = np.repeat(np.float32([0.5, 1]), [2 * self.hidden, self.hidden])  # sigmoid(x) is 0.5 + 0.5 tanh(x / 2)
+        self.table, self.u = np.ascontiguousarray((table * half).T), np.ascontiguousarray((u * half).T)
+        self.a, self.g = (np.empty((3 * self.hidden, n), np.float32) for _ in range(2))
+        self.h = np.zeros((self.hidden, n), np.float32)
+
+    def step(self, x: np.ndarray, real: np.ndarray | None) -> np.ndarray:
+        k, a, g, h = self.hidden, self.a, self.g, self.h
+        np.take(self.table, x, axis=1, out=a, mode="clip")
+        np.matmul(self.u, h, out=g)
+        zr, c = a[: 2 * k], a[2 * k :]
+        zr += g[: 2 * k]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        g[2 * k :] *= zr[k:]
+        c += g[2 * k :]
+        np.tanh(c, out=c)
+        h -= c
+        h *= zr[:k]
+        h += c
+        if real is not None:
+            h *= real
+        return h
+
+
+def _summed(x: np.ndarray, real: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """For pieces x (positions by pieces) the sums over real positions of each language's probability."""
+    n_places, n = x.shape
+    whole = real.all(axis=1)
+    hidden = w["state_f"].shape[0]
+    forward = np.empty((n_places, hidden, n), np.float32)
+    cell = _Cell(w["in_f"], w["state_f"], n)
+    for t in range(n_places):
+        forward[t] = cell.step(x[t], None if whole[t] else real[t])
+    cell = _Cell(w["in_b"], w["state_b"], n)
+    out_f, out_b = np.ascontiguousarray(w["out"][:hidden].T), np.ascontiguousarray(w["out"][hidden:].T)
+    total = np.zeros((len(out_f), n), np.float32)
+    for t in range(n_places - 1, -1, -1):
+        y = out_f @ forward[t] + out_b @ cell.step(x[t], None if whole[t] else real[t]) + w["bias"][:, None]
+        y -= y.max(axis=0)
+        np.exp(y, out=y)
+        y *= real[t] / y.sum(axis=0)
+        total += y
+    return total
+
+
 def fit(samples: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7) -> Network:
     """From (language, text) pairs; each batch draws languages evenly."""
     languages = sorted({lang for lang, _ in samples})
