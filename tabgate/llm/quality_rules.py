@@ -5,7 +5,8 @@ and line the documents that hold it are counted by their *contexts*: the smalles
 lines. Copies of a document, near ones too, share their context and so count about once, while a notice pasted into
 unlike documents is counted for each. A line is removed when it stands in more than ``min_contexts`` contexts, in more
 than ``host_per_mille`` of the host's documents, and at least every second of its documents brings a context of its own.
-A document is rejected when the lines left hold less than ``least_left_per_mille`` of its words.
+Lines of more than ``max_line_words`` words are passages of their own and left to the
+removal of copies. A document is rejected when the lines left hold less than ``least_left_per_mille`` of its words.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows
 are documents each; further columns of the input are not read.
@@ -42,6 +43,7 @@ class Limits:
     repeat_percent: int = 20
     min_contexts: int = 20
     host_per_mille: int = 2
+    max_line_words: int = 50
     least_left_per_mille: int = 300
 
 
@@ -103,17 +105,22 @@ def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
             for text in block.texts():
                 seen: set[bytes] = set()
                 hashes: dict[int, int] = {}  # with the words of all lines of that hash
+                long: set[int] = set()
                 n_lines = 0
                 for line in text.split(b"\n"):
                     if h := line_hash(line):
                         n_lines += 1
                         seen.add(line)
-                        hashes[h] = hashes.get(h, 0) + len(line.split())
+                        size = len(line.split())
+                        hashes[h] = hashes.get(h, 0) + size
+                        if size > limits.max_line_words:
+                            long.add(h)
                 doubled.append(n_lines - len(seen))
                 low = sorted(hashes)[:2]
-                lines.append(list(hashes))
-                words.append(list(hashes.values()))
-                contexts.append([0 if len(low) < 2 else low[h == low[0]] for h in hashes])
+                short = [h for h in hashes if h not in long]
+                lines.append(short)
+                words.append([hashes[h] for h in short])
+                contexts.append([0 if len(low) < 2 else low[h == low[0]] for h in short])
             columns = {
                 "_row": np.arange(row, row + n), "doc_id": block.batch["doc_id"], "_key": block.batch["_key"],
                 "host": block.batch["host"], **base, "n_dup_lines": doubled, "lines": pa.array(lines, pa.list_(pa.int64())),

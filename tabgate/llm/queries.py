@@ -100,13 +100,13 @@ WITH d AS (
 ), doubled AS (
     SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid
 ), u AS (
-    SELECT DISTINCT rid, host, h FROM l
+    SELECT DISTINCT rid, host, h, n <= 50 AS short FROM l
 ), low AS (
     SELECT rid, list_sort(list(h)) AS hs FROM u GROUP BY rid
 ), counted AS (
     SELECT host, h, count(*) AS n,
            count(DISTINCT CASE WHEN len(hs) < 2 THEN '' WHEN h = hs[1] THEN hs[2] ELSE hs[1] END) AS contexts
-    FROM u JOIN low USING (rid) GROUP BY host, h
+    FROM u JOIN low USING (rid) WHERE short GROUP BY host, h
 ), removed AS (
     SELECT c.host, h FROM counted c
     JOIN (SELECT host, count(*) AS n_host FROM d GROUP BY host) s ON s.host IS NOT DISTINCT FROM c.host
