@@ -7,7 +7,8 @@ from tabgate.llm.queries import OP8_SQL
 
 
 def case() -> list[tuple]:
-    make = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(abs(i))) + "n" * (i < 0)
+    make = lambda i, n: " ".join(f"w{letters(i)}x{letters(k)}" for k in range(n))  # digits are all alike to the rules
     rows: list[tuple] = [(1, None, "s"), (2, "", "s"), (3, " \n\t ", "s"), (4, "too few words", "s"), (5, "one two three four five six seven eight nine ten", None)]
     rows += [(6, "a b c d e " * 8, "s"), (7, "É é #*$ x|y <z> &% " + make(7, 9), "s"), (7, "É é #*$ x|y <z> &% " + make(7, 9), "s")]
     rows += [(8, "same line here\nsame line here\nsame line here \n\n" + make(8, 12), "s"), (None, make(9, 15), "s"), (10, make(10, 9000), "s")]
