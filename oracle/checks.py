@@ -191,7 +191,7 @@ D5B = """SELECT r.record_id, 'M003' AS code, 'scan' AS offending_property, coale
          WHERE r.node_type = 'lineitem' AND r.submission_id IN (SELECT submission_id FROM subs WHERE intention = 'Delete')
            AND (p.value IS NULL OR trim(p.value) = '')"""
 CHECKED = [M021, M035, M022, M016, M003, M033, M017, D7, D9, M009, M027, M004, M005, D15, M007, M008, M010_ONE,
-           M010_LIST, E1, E2, E3, E4, E5]
+           M010_LIST, E1, E2, E3, E4, E5, E7]
 cte("not_deleting", """SELECT record_id FROM recs WHERE submission_id NOT IN
                        (SELECT submission_id FROM subs WHERE intention = 'Delete')""")
 cte("all_issues", f"""

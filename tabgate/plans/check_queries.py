@@ -25,7 +25,7 @@ def context(spark: SparkSession, sf_dir: str) -> tuple[validate.Context, validat
             organizations=star.organizations(spark, sf_dir), model_nodes=star.model_nodes(spark),
             model_props=star.model_props(spark), model_rels=star.model_rels(spark), cde=star.cde(spark, sf_dir),
             synonyms=star.synonyms(spark, sf_dir), releases=star.stored(spark, sf_dir, "releases"),
-            program_prop="name", study_prop="name",
+            program_prop="name", study_prop="name", consent_type="nation",
         )
         _READY[key] = (ctx, validate.prepare(ctx))
     return _READY[key]

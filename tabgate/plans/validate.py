@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ class Context:
     releases: DataFrame
     program_prop: str = "program_name"
     study_prop: str = "study_name"
+    consent_type: str | None = None  # node type of consent groups, and its property with their number
+    consent_prop: str = "consent_group_number"
 
 
 def by_intention(records: DataFrame, submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,21 +80,30 @@ def matched_cells(records: DataFrame, ctx: Context, ready: Prepared) -> tuple[Da
     return properties.with_parsed(properties.with_terms(named, ready.index)), properties.list_terms(named, ready.index)
 
 
+def consent_codes(records: DataFrame, ctx: Context) -> DataFrame:
+    """The consent codes of file records, and whether they contradict each other."""
+    files = ctx.model_nodes.filter("is_file").select("data_commons", "model_version", "node_type")
+    reach = relations.consent_reach(records, ctx.releases, files, ctx.consent_type)
+    return relations.consent_codes(reach, records, ctx.releases, ctx.consent_type, ctx.consent_prop)
+
+
 def metadata_issues(records: DataFrame, ctx: Context, ready: Prepared | None = None) -> DataFrame:
     """All issues of a metadata check, after the rules of intention and release.
 
-    The checks run one after the other into one stored issue table, so that no plan grows with the
-    number of checks and a lost executor costs one check at most.
+    The matched cells are stored once, for the checks on cells and for the corrections. All checks
+    then go into one stored issue table in one job, so small ones don't wait for each other.
     """
     ready = ready or prepare(ctx)
     checked, deleting = by_intention(records, ctx.submissions)
-    matched, lists = matched_cells(checked, ctx, ready)
+    matched, lists = (stage(rows, name) for rows, name in zip(matched_cells(checked, ctx, ready), ("cells", "list-cells")))
     parts = [
         *properties.property_issue_parts(checked, ready.facts, matched, lists),
         *relations.relation_issue_parts(checked, ctx.releases, ctx.model_nodes, ctx.model_props, ctx.model_rels),
         properties.file_name_issues(deleting, ready.facts),
     ]
-    raised = stage_all([part.select(*ISSUE_COLUMNS) for part in parts], "issues")
+    if ctx.consent_type:
+        parts.append(relations.consent_issues(checked, consent_codes(checked, ctx)))
+    raised = stage(reduce(DataFrame.unionByName, [part.select(*ISSUE_COLUMNS) for part in parts]), "issues")
     kept = release_checks.without_pardoned(raised, records, ctx.releases, ctx.submissions)
     compared = corrected_records(checked, matched, lists).unionByName(deleting)
     changed = release_checks.release_issues(compared, ctx.releases, ctx.submissions, ready.facts)
