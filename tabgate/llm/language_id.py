@@ -228,9 +228,21 @@ def fit(samples: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEPS
     return Network(languages, w)
 
 
+def rank_limit(n: int, wanted: int) -> int:
+    """Of n 64-bit hashes about `wanted` lie up to this one (all of fewer)."""
+    return (1 << 63) - 1 if n <= wanted else -(1 << 63) + (wanted << 64) // n
+
+
 def sample_pieces(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
     """At most PER_LANGUAGE * SAMPLE_PIECES short pieces of each language, for the driver."""
     own = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    # One row for each language. Ranks above what holds four times the sample are left out before the rows are ranked,
+    # so that not every task sends its own first ones.
+    counts = own.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
+    if not counts:
+        return []
+    enough = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, rank_limit(r["count"], 4 * PER_LANGUAGE))])
+    own = own.filter(F.xxhash64(F.col(doc_id)) <= enough[F.col(lang).cast("string")])
     first = Window.partitionBy("lang").orderBy("_rank", "_key")
     chosen = (
         own.select(

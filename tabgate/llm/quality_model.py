@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import TextBlock, text_blocks
-from tabgate.llm.language_id import fold
+from tabgate.llm.language_id import fold, rank_limit
 from tabgate.llm.quality_rules import SYMBOLS, repeated_words
 
 WORD_BITS = 13
@@ -175,6 +175,8 @@ def training_rows(
 ) -> tuple[Features, np.ndarray]:
     """Features and labels of at most SAMPLE labelled rows, made on the executors and gathered on the driver."""
     known = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("_labelled"), F.col(label).cast("int").alias("_label"))
+    # Ranks above what holds four times the sample are left out before the rows are ranked.
+    known = known.filter(F.xxhash64("_labelled") <= rank_limit(known.count(), 4 * SAMPLE))
     chosen = known.orderBy(F.xxhash64("_labelled"), "_labelled", "_label").limit(SAMPLE)
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_labelled"))  # SAMPLE rows of two numbers
     inputs = _inputs(rows, text, numbers, [F.col(doc_id).cast("long").alias("id"), F.col("_label").alias("label")])
