@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.llm.tables import stage
+from tabgate.llm.tables import bounded_batches, stage
 from tabgate.llm.tokens import encoder
 
 BUDGET = 1024
@@ -162,6 +162,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], path: str, budget: int) -> I
 def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET) -> DataFrame:
     """conv_id, segment, window (from 0), text, n_repeated (leading turns that an earlier window has), n_turns, n_tokens,
     loss (from, to, ... in code points of the text) and over_budget, for (conv_id, turn, role, text) rows."""
+    bounded_batches(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import LOWER, TextBlock, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
 from tabgate.llm.quality_rules import without
-from tabgate.llm.tables import row_key
+from tabgate.llm.tables import bounded_batches, row_key
 
 WIDTH = 5
 RADIUS = 23
@@ -184,6 +184,7 @@ def leaks(
     item_text: str = "text", item_id: str = "item_id",
 ) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each document and item it holds, at its most similar window."""
+    bounded_batches(docs.sparkSession)
     ident, key = row_key(text, doc_id)
     rows = docs.select(ident, key, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabgate.llm.tables import bounded_batches
+
 COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading")
 
 #: Labelled blocks: the features in the order of COLUMNS (links: share of words that are link text), then 1 to keep.
@@ -309,6 +311,7 @@ def _extract_rows(batches: Iterator[pa.RecordBatch], tree: tuple) -> Iterator[pa
 
 def extract(pages: DataFrame, html_column: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, url, text and n_chars of each page."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html_column).alias("html"))
     tree = default_tree()
     texts = rows.mapInArrow(lambda batches: _extract_rows(batches, tree), "page_id long, url string, text string")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import text_blocks
+from tabgate.llm.tables import bounded_batches
 
 PIECE = 96
 HIDDEN = 12
@@ -282,6 +283,7 @@ def _predict_rows(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[p
 
 def predict(docs: DataFrame, net: Network, carried: list[Column], text: str = "text") -> DataFrame:
     """The carried columns of each row, lang_pred and score. The network goes to the executors: some 100 kB."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*carried).alias("_row"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     shape = f"_row {dict(rows.dtypes)['_row']}, lang_pred string, score double"

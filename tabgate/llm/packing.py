@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import text_blocks
-from tabgate.llm.tokens import encoder
+from tabgate.llm.tables import bounded_batches
+from tabgate.llm.tokens import ENCODED_BYTES, encoder
 
 #: 512 windows: half a window of padding in each is 0.1 %.
 GROUP_WINDOWS = 512
@@ -135,7 +136,7 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> I
         )
 
     for batch in batches:
-        for block in text_blocks(batch, "text"):
+        for block in text_blocks(batch, "text", ENCODED_BYTES):
             ids, offsets = encoder(path).encode(block.batch["text"])
             ids = ids.astype("<u4")
             out: list[tuple] = []
@@ -163,5 +164,6 @@ def pack(
     """One row per piece: doc_id, start in its document, length, doc_tokens, its sequence and place there, and its ids
     as little-endian unsigned 32-bit numbers. A sequence has at most `capacity` ids; `tokenizer` names the vocabulary
     file, which every executor has."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(lambda batches: _pack_rows(batches, tokenizer, capacity), PIECES)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tabgate.llm.arrow_text import TextBlock, text_blocks
 from tabgate.llm.language_id import fold, rank_limit
 from tabgate.llm.quality_rules import SYMBOLS, repeated_words
+from tabgate.llm.tables import bounded_batches
 
 WORD_BITS = 13
 FACTORS = 6
@@ -166,6 +167,7 @@ def _metadata(block: TextBlock, n: int) -> np.ndarray:
 
 
 def _inputs(docs: DataFrame, text: str, numbers: tuple[str, ...], carried: list[Column]) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     meta = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_m{i}") for i, c in enumerate(numbers)]
     return docs.select(F.struct(*carried).alias("_row"), F.col(text).alias("text"), *meta)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import TextBlock, mixed, shingle_hashes, text_blocks
-from tabgate.llm.tables import NO_ID, row_key, stage
+from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -138,6 +138,7 @@ def quality_verdicts(
 
     `_id` and `_key` (see `row_key`) stand for the row; equal rows are told alike.
     """
+    bounded_batches(docs.sparkSession)
     key = row_key(text, doc_id)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), key[1], F.coalesce(F.col(host).cast("string"), F.lit("\0null")).alias("host"),

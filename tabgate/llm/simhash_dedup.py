@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tabgate.llm.arrow_text import LOWER, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
 from tabgate.llm.components import components
 from tabgate.llm.quality_rules import without
-from tabgate.llm.tables import NO_ID, row_key, stage
+from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
 
 N_PIVOTS = 24
 PIVOTS = mixed(np.arange(1, N_PIVOTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, width: int = 4, word_sets: bool = False, text:
                 fps = [_signed(word_set_fingerprint(t) if word_sets else text_fingerprint(t, width)) for t in block.texts()]
                 yield pa.RecordBatch.from_arrays([block.batch["doc_id"], block.batch["_key"], pa.array(fps, pa.int64())], ["doc_id", "_key", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id)[1], F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, _key long, fp long")
 

@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import BASE_INVERSE, mixed, powers, prefix_sums, span_hashes, text_blocks
-from tabgate.llm.tables import row_key, stage
+from tabgate.llm.tables import bounded_batches, row_key, stage
 
 LENGTH = 200
 #: Bytes of the pieces that anchors are chosen among. Longer: fewer false partners, but more and so shorter segments.
 GRAM = 48
 #: Windows of a long text are looked at in runs of this many.
-RUN = 1 << 21
+RUN = 1 << 20
 #: A suffix array is built over about this many bytes of segments at a time.
 BATCH_BYTES = 1 << 21
 HOT_SEGMENTS = 20_000
@@ -322,6 +322,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(_id, _key, spans): for each text that loses bytes, from, to, from, to ... of maximal runs; and the packed texts."""
+    bounded_batches(docs.sparkSession)
     ident, key = row_key(text, doc_id)
     rows = docs.select(ident, key, F.col(text).alias("text"))
     found = stage(rows.mapInArrow(lambda b: _segment_rows(b, length), SEGMENTS), "segments")

@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from tabgate.session import stage
 
-__all__ = ["stage", "table", "row_key"]
+__all__ = ["bounded_batches", "row_key", "stage", "table"]
 
 
 #: Stands for a null id in keys.
 NO_ID = -(1 << 63)
 
 
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows reach Python in batches of BATCH_ROWS at most: with whole texts, Spark's default of 10,000 rows fills
+    hundreds of MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import text_blocks
-from tabgate.llm.tables import stage
-from tabgate.llm.tokens import encoder
+from tabgate.llm.tables import bounded_batches, stage
+from tabgate.llm.tokens import ENCODED_BYTES, encoder
 from tabgate.session import scratch_path
 
 MAGIC = b"PFORIDS1"
@@ -119,7 +119,7 @@ def _write_rows(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> It
         out.write(b"".join(pieces))
 
     for batch in batches:
-        for block in text_blocks(batch, "text"):
+        for block in text_blocks(batch, "text", ENCODED_BYTES):
             if out is None:
                 store, root = _place(folder)
                 out = store.open_output_stream(f"{root}/{name}")
@@ -162,6 +162,7 @@ def write_files(
         folder = "file://" + folder.removeprefix("file:")
     store, root = _place(folder)
     store.create_dir(root, recursive=True)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_key"))
     ordered = rows.repartitionByRange("doc_id", "_key").sortWithinPartitions("doc_id", "_key").select("doc_id", "text")
     files = stage(ordered.mapInArrow(lambda batches: _write_rows(batches, folder, tokenizer), MANIFEST), "manifest")

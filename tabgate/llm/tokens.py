@@ -22,8 +22,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: An id after each document.
 END = 0
+#: Texts are encoded in blocks of about this many bytes: each different word of a block is looked up once.
+ENCODED_BYTES = 4 << 20
 #: So many different words are kept by a worker; then it starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 350_000
 #: The pattern that byte-level tokenizers of this kind cut a text by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words of these characters alone are cut by PIECES here; all others are left to the tokenizer.
