@@ -29,13 +29,13 @@ def build_session(app: str = "tabgate", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by spark.checkpoint.dir.
 
-    Only a local session may fall back to a temporary folder of its own; on a cluster a
-    machine-local path would lose data with the machine, so that is an error.
+    Only a session of one process may fall back to a temporary folder of its own; with executors of
+    their own a machine-local path would lose data with the machine, so that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="tabgate-")
         spark.conf.set("spark.checkpoint.dir", folder)
