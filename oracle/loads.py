@@ -82,6 +82,33 @@ ORACLE = {
     "b07_type_given": B07, "b08_type_known_and_single": B08, "b09_key_given": B09, "b10_composite_key": B10,
     "b11_file_ids": B11, "b12_required_columns": B12, "b13_relationship_columns": B13, "b14_b15_repeated_ids": B14,
     "b16_delete_file_names": B16,
+    "structure_issues": "SELECT batch_id, file_name, kind, line_number, what FROM bissues",
+    "structure_texts": """
+      SELECT batch_id, file_name, kind, line_number, CASE kind
+        WHEN 'no_rows' THEN '“' || file_name || '": no metadata in the file.'
+        WHEN 'extra_cells' THEN '“' || file_name || ': line ' || line_number || '": extra columns/cells found.'
+        WHEN 'empty_column' THEN '“' || file_name || '": empty column(s) found.'
+        WHEN 'repeated_header' THEN '“' || file_name || '": multiple columns with the same header ("' || what || '") is not allowed.'
+        WHEN 'empty_row' THEN '“' || file_name || ': line ' || line_number || '": empty row found.'
+        WHEN 'no_type_column' THEN '“' || file_name || '”: “type” column is required.'
+        WHEN 'no_type' THEN '“' || file_name || ': line ' || line_number || '": “type” value is required.'
+        WHEN 'unknown_type' THEN '“' || file_name || ': ' || line_number || '": Node type “' || what || '” is not defined.'
+        WHEN 'no_key_column' THEN '“' || file_name || '”: Key property “' || what || '” is required.'
+        WHEN 'no_component_column' THEN '“' || file_name || '”: Column "' || what || '" is required to generate composite ID.'
+        WHEN 'no_components' THEN '“' || file_name || ':' || line_number || '”: all properties (' || what ||
+          ') needed for composite ID are missing.'
+        WHEN 'no_key' THEN '“' || file_name || ':' || line_number || '”:  Key property “' || what || '” value is required.'
+        WHEN 'required_column' THEN '“' || file_name || '”: ' || what || ' required.'
+        WHEN 'relationships_missing' THEN '“' || file_name || '”: All relationship columns are missing. ' ||
+          'Please ensure at least one relationship column is included.'
+        WHEN 'unknown_parent' THEN '“' || file_name || '”: Related node "' || what || '" is not defined.'
+        WHEN 'undefined_relationship' THEN '“' || file_name || '”: Relationship to "' || what || '" node is not defined.'
+        WHEN 'duplicate' THEN '“' || file_name || ':' || line_number || '”: duplicated data detected: “' ||
+          'customer_id”: ' || what || '.'
+        WHEN 'no_file_name_column' THEN '“' || file_name || '”: Property "' || what || '" is required.'
+        WHEN 'no_file_name' THEN '“' || file_name || ':' || line_number || '”:  file name property “' || what || '” value is required.'
+      END AS text
+      FROM bissues WHERE kind NOT IN ('other_type', 'bad_file_id', 'no_relationships', 'wrong_parent_key', 'conflict')""",
     "b17_capped_report": f"""
       SELECT batch_id, file_name, kind, line_number, what FROM (
         SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY file_name, rank, line_number, kind, what) AS nb FROM (

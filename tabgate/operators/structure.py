@@ -56,7 +56,7 @@ TEXTS = {
     "unknown_parent": '“%1$s”: Related node "%3$s" is not defined.',
     "undefined_relationship": '“%1$s”: Relationship to "%3$s" node is not defined.',
     "wrong_parent_key": '“%1$s”: "%3$s" is not Key property of "%4$s", please use the key property instead.',
-    "duplicate": '“%1$s:%2$s”: duplicated data detected: "%3$s".',
+    "duplicate": "“%1$s:%2$s”: duplicated data detected: “%4$s”: %3$s.",
     "conflict": '“%1$s: %2$s”: conflict data detected: “%3$s”: "%4$s".',
     "no_file_name_column": '“%1$s”: Property "%3$s" is required.',
     "no_file_name": "“%1$s:%2$s”:  file name property “%3$s” value is required.",
@@ -328,7 +328,8 @@ def repeat_checks(rows: DataFrame, bad_relations: DataFrame) -> DataFrame:
     )
     plain = F.coalesce("flawed", F.lit(False)) | (F.size("rel_columns") == 0)
     all_rows = _emit(
-        repeats.filter(plain), _issue("duplicate", F.lit(True), F.col("line_number"), F.col("row_id"))
+        repeats.filter(plain),
+        _issue("duplicate", F.lit(True), F.col("line_number"), F.col("row_id"), F.col("id_prop")),
     )
     linked = repeats.filter(~plain)
     long = linked.select(
@@ -360,9 +361,9 @@ def repeat_checks(rows: DataFrame, bad_relations: DataFrame) -> DataFrame:
     reported = judged.join(ends, FILE, "left").filter(F.col("end").isNull() | (F.col("turn") <= F.col("end")))
     copies = reported.filter(~F.col("is_m2m"))
     duplicate_rows = _emit(
-        attach(linked.select(*key, "line_number"), copies.select(*key, "n_copies", "turn"), key, "n_copies",
+        attach(linked.select(*key, "line_number", "id_prop"), copies.select(*key, "n_copies", "turn"), key, "n_copies",
                spread_by=["line_number"]).filter(F.col("turn").isNotNull()),
-        _issue("duplicate", F.lit(True), F.col("line_number"), F.col("row_id")),
+        _issue("duplicate", F.lit(True), F.col("line_number"), F.col("row_id"), F.col("id_prop")),
     )
     clashes = distinct_values.join(
         reported.filter(F.col("is_m2m") & F.col("conflict_at").isNotNull()).select(*key, F.col("conflict_at").alias("at")),

@@ -71,6 +71,10 @@ def _kinds(*kinds):
     )
 
 
+# Kinds whose text names a second value, which the issue rows compared here don't carry.
+TWO_VALUES = ("other_type", "bad_file_id", "no_relationships", "wrong_parent_key", "conflict")
+
+
 def capped(s, d):
     return B.capped(structure(s, d), 10, 60).select("batch_id", "file_name", "kind", "line_number", "what")
 
@@ -95,7 +99,9 @@ QUERIES = {
     "b14_b15_repeated_ids": _kinds("duplicate", "conflict"),
     "b16_delete_file_names": _kinds("no_file_name_column", "no_file_name"),
     "b17_capped_report": capped,
-    "structure_issues": lambda s, d: structure(s, d).select("batch_id", "file_name", "kind", "line_number", "what", "text"),
+    "structure_issues": lambda s, d: structure(s, d).select("batch_id", "file_name", "kind", "line_number", "what"),
+    "structure_texts": lambda s, d: structure(s, d).filter(~F.col("kind").isin(*TWO_VALUES)).select(
+        "batch_id", "file_name", "kind", "line_number", "text"),
 }
 
 
