@@ -6,9 +6,9 @@ gives the same words. A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,20 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def frees_memory(rows: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """For functions over a task's batches: workers outlive tasks, so what they keep between blocks goes at the end."""
+
+    @wraps(rows)
+    def run(*args, **named) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(*args, **named)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64, kept for the next call."""
     have = _powers.get(base)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.llm.arrow_text import LOWER, TextBlock, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
+from tabgate.llm.arrow_text import LOWER, TextBlock, frees_memory, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
 from tabgate.llm.quality_rules import without
 from tabgate.llm.tables import bounded_batches, row_key
 
@@ -157,6 +157,7 @@ def _matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, i
 LEAKS = "_id long, _key long, doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
+@frees_memory
 def _leak_rows(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in text_blocks(batch, "text"):

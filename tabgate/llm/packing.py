@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.llm.arrow_text import text_blocks
+from tabgate.llm.arrow_text import frees_memory, text_blocks
 from tabgate.llm.tables import bounded_batches
 from tabgate.llm.tokens import ENCODED_BYTES, encoder
 
@@ -109,6 +109,7 @@ def pack_group(sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, in
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+@frees_memory
 def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     sequence, groups = task << 36, 0
@@ -156,6 +157,7 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> I
                 yield batch_of(out)
     if held:
         yield batch_of(grouped())
+    encoder(path).forget()
 
 
 def pack(

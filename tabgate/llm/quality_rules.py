@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.llm.arrow_text import TextBlock, mixed, shingle_hashes, text_blocks
+from tabgate.llm.arrow_text import TextBlock, frees_memory, mixed, shingle_hashes, text_blocks
 from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
 
 SYMBOLS = np.zeros(256, bool)
@@ -96,6 +96,7 @@ FACTS = (
 )
 
 
+@frees_memory
 def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.llm.arrow_text import LOWER, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
+from tabgate.llm.arrow_text import LOWER, frees_memory, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
 from tabgate.llm.components import components
 from tabgate.llm.quality_rules import without
 from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
@@ -218,6 +218,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 SETS = "component long, node long, _key long, shingles binary"
 
 
+@frees_memory
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in text_blocks(batch, "text"):
@@ -231,8 +232,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 def _like_leader(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         far = [
-            similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) < least
-            for x, y in zip(batch["shingles"].to_pylist(), batch["led"].to_pylist())
+            similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) < least
+            for x, y in zip(batch["shingles"], batch["led"])
         ]
         yield batch.filter(pa.array(far, pa.bool_())).select(["component", "node", "_key", "shingles"])
 
@@ -242,10 +243,10 @@ def _leaders(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
     component, kept = None, []
     for batch in batches:
         out = []
-        for c, node, key, raw in zip(*[batch[x].to_pylist() for x in ("component", "node", "_key", "shingles")]):
+        for c, node, key, raw in zip(*[batch[x].to_pylist() for x in ("component", "node", "_key")], batch["shingles"]):
             if c != component:
                 component, kept = c, []
-            own = np.frombuffer(raw, np.uint64)
+            own = np.frombuffer(raw.as_py(), np.uint64)
             if all(similarity(own, other) < least for other in kept):
                 kept.append(own)
                 out.append((c, node, key))

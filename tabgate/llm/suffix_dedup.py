@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.llm.arrow_text import BASE_INVERSE, mixed, powers, prefix_sums, span_hashes, text_blocks
+from tabgate.llm.arrow_text import BASE_INVERSE, frees_memory, mixed, powers, prefix_sums, span_hashes, text_blocks
 from tabgate.llm.tables import bounded_batches, row_key, stage
 
 LENGTH = 200
@@ -40,7 +40,7 @@ GRAM = 48
 #: Windows of a long text are looked at in runs of this many.
 RUN = 1 << 20
 #: A suffix array is built over about this many bytes of segments at a time.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 HOT_SEGMENTS = 20_000
 #: Stands between segments; UTF-8 has no such byte.
 BREAK = 0xFF
@@ -234,6 +234,7 @@ TEXTS = "anchor long, content long, n long, n_windows int, piece binary"
 RUNS = "anchor long, content long, runs array<int>"
 
 
+@frees_memory
 def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in text_blocks(batch, "text"):
@@ -257,6 +258,7 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.decompress(packed) if packed else b""
 
 
+@frees_memory
 def _piece_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Packed texts with the segments wanted of them -> the segments' bytes."""
     for batch in batches:
@@ -274,6 +276,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
                 )
 
 
+@frees_memory
 def _array_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Segments sorted by anchor -> for those with repeated windows, the runs of these."""
     held: list[tuple] = []
@@ -384,6 +387,7 @@ def _cut(text: bytes, spans: np.ndarray) -> bytes:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+@frees_memory
 def _digest_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -412,6 +416,7 @@ def repeat_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.select("doc_id", "text", "found").mapInArrow(lambda b: _digest_rows(b, length), RESULT)
 
 
+@frees_memory
 def _cut_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # A cut may part the bytes of a character; the pieces of it go too.

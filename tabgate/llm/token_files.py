@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabgate.llm.arrow_text import text_blocks
+from tabgate.llm.arrow_text import frees_memory, text_blocks
 from tabgate.llm.tables import bounded_batches, stage
 from tabgate.llm.tokens import ENCODED_BYTES, encoder
 from tabgate.session import scratch_path
@@ -103,6 +103,7 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
+@frees_memory
 def _write_rows(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
     """Rows of a task in order -> one file, one row about it."""
     task = TaskContext.get()
@@ -133,6 +134,7 @@ def _write_rows(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> It
             for a in range(0, whole, BLOCKS_AT_ONCE * BLOCK):
                 write(encode_blocks(held[a : min(whole, a + BLOCKS_AT_ONCE * BLOCK)]))
             held = held[whole:]
+    encoder(path).forget()
     if out is None:
         return
     write(encode_blocks(held))

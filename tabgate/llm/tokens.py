@@ -25,7 +25,7 @@ END = 0
 #: Texts are encoded in blocks of about this many bytes: each different word of a block is looked up once.
 ENCODED_BYTES = 4 << 20
 #: So many different words are kept by a worker; then it starts anew.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 250_000
 #: The pattern that byte-level tokenizers of this kind cut a text by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words of these characters alone are cut by PIECES here; all others are left to the tokenizer.
@@ -60,6 +60,11 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """At the end of a task: its worker may stand idle beside others from now on."""
+        self.words.clear()
+        self.pieces.clear()
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
