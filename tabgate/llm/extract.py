@@ -132,7 +132,7 @@ BLOCK_TAGS = frozenset(
     " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section"
     " select summary table tbody tfoot thead tr ul".split()
 )
-SPACE_TAGS = frozenset("br td th wbr img input".split()) - {"wbr"}
+SPACE_TAGS = frozenset("br td th img input".split())
 RAW_TAGS = frozenset("script style title textarea template noscript iframe svg math object canvas audio video noembed noframes xmp".split())
 CONTAINERS = frozenset(
     "article aside blockquote body button center details dialog div dl fieldset figure footer form header label main menu nav ol"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgate.session import stage
+from tabgate.session import stage  # noqa: F401
 
 __all__ = ["bounded_batches", "row_key", "stage", "table"]
 
