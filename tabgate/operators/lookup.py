@@ -37,17 +37,16 @@ def attach(
     first: it is computed once, and its size is known to the planner. When some keys are heavy, the
     heaviest (a bounded number) are joined by broadcast and their rows travel through the shuffle
     under a salt, so that no task receives a whole heavy key; otherwise the join is left to the
-    planner. All other columns of ``facts`` are added. Small sources are joined without storing
-    anything first; the rows are the same either way.
+    planner. All other columns of ``facts`` are added. Rows from small sources are joined without a
+    look for heavy keys; the result is the same either way.
     """
     values = [c for c in facts.columns if c not in keys]
-    if heavy_rows >= HEAVY_ROWS and source_bytes(rows) <= SMALL_BYTES:
-        packed = facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_fact"))
-        joined = rows.join(packed, _all_equal(keys), "left")
-        return joined.select(*rows.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
     packed = stage(
         facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_fact")), "facts"
     )
+    if heavy_rows >= HEAVY_ROWS and source_bytes(rows) <= SMALL_BYTES:
+        joined = rows.join(packed, _all_equal(keys), "left")
+        return joined.select(*rows.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
     total = packed.agg(F.sum(f"_fact.{weight}")).first()[0] or 0
     heavy = packed.filter(
         (F.col(f"_fact.{weight}") >= heavy_rows) & (F.col(f"_fact.{weight}") * HEAVY_SHARE > total)
