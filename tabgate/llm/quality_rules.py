@@ -31,7 +31,7 @@ from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 DIGITS = re.compile(rb"[0-9]+")
-#: A set of rejected rows is sent to all executors only up to this many rows of two numbers each.
+#: Keys of documents are sent to all executors only up to this many rows of two to four numbers each.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -173,14 +173,18 @@ def quality_verdicts(
     )
 
 
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """Stored rows of a few numbers, for a join with whole texts: sent to all executors if there are few of them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def without(docs: DataFrame, rejected: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose (`_id`, `_key`) is not among the rejected ones.
 
     The rejected keys go to all executors only when they are counted to be few; otherwise both sides are shuffled.
     """
     rejected = stage(rejected.select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key")), "rejected")
-    if rejected.count() <= BROADCAST_ROWS:
-        rejected = F.broadcast(rejected)
+    rejected = sent_if_few(rejected)
     ident, key = row_key(text, doc_id)
     return docs.join(rejected, (ident == F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti")
 

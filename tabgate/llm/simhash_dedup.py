@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import LOWER, frees_memory, mixed, prefix_sums, shingle_hashes, span_hashes, text_blocks
 from tabgate.llm.components import components
-from tabgate.llm.quality_rules import without
+from tabgate.llm.quality_rules import sent_if_few, without
 from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
 
 N_PIVOTS = 24
@@ -281,7 +281,7 @@ def keep_one(
     members = stage(named.join(shared, "component"), "members")
     ident, key = row_key(text, doc_id)
     with_text = docs.select(ident, key, F.col(text).alias("text")).join(
-        members.select(F.col("node").alias("_id"), "_key", "component", "node"), ["_id", "_key"]
+        sent_if_few(members.select(F.col("node").alias("_id"), "_key", "component", "node")), ["_id", "_key"]
     )
     rest = stage(
         with_text.select("component", "node", "_key", "text").mapInArrow(lambda b: _sets(b, width), SETS).dropDuplicates(["node", "_key"]),
