@@ -1,12 +1,16 @@
 """Quality rules over documents: rules within a text, and lines that too many documents of a host share.
 
 A line is normalised (words in lower case A-Z, runs of digits as one 0, joined by one space) and hashed. For each host
-and line the documents that hold it are counted by their *contexts*: the smallest hash among the document's other
-lines. Copies of a document, near ones too, share their context and so count about once, while a notice pasted into
-unlike documents is counted for each. A line is removed when it stands in more than ``min_contexts`` contexts, in more
-than ``host_per_mille`` of the host's documents, and at least every second of its documents brings a context of its own.
-Lines of more than ``max_line_words`` words are passages of their own and left to the
-removal of copies. A document is rejected when the lines left hold less than ``least_left_per_mille`` of its words.
+and line the distinct documents that hold it are counted, a group of copies once; a line is removed when the count is
+above ``min_contexts`` and above ``host_per_mille`` of the host's documents. A document is rejected when the lines left
+hold less than ``least_left_per_mille`` of its words.
+
+Copies are told in two steps. Documents with the same lines are one. The lines that stand in enough of these are set
+apart, and what a document holds besides them tells near copies: documents of a host are one group if two min-hashes
+of the five-word shingles of their other lines agree in any of N_BANDS bands. So notices that stand together can't make
+documents alike, and an edited copy is still like the others in the line that was edited. Documents of nothing but
+lines set apart are one only if these are the same. Lines of more than ``max_line_words`` words are passages of their
+own and left to the removal of copies.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows
 are documents each; further columns of the input are not read.
@@ -31,6 +35,9 @@ from tabgate.llm.tables import NO_ID, bounded_batches, row_key, stage
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 DIGITS = re.compile(rb"[0-9]+")
+#: Bands of two min-hashes of 32 bits for each line.
+N_BANDS = 8
+FACTORS = mixed(np.arange(1, 2 * N_BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Keys of documents are sent to all executors only up to this many rows of two to four numbers each.
 BROADCAST_ROWS = 1_000_000
 
@@ -92,20 +99,39 @@ def _base(block: TextBlock, limits: Limits) -> dict[str, np.ndarray]:
 
 FACTS = (
     "_row long, doc_id long, _key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-    " n_repeat_words long, base_failed boolean, lines array<long>, contexts array<long>, line_words array<int>"
+    " n_repeat_words long, base_failed boolean, lines array<long>, line_words array<int>, marks binary"
 )
 
 
+def line_marks(block: TextBlock, sizes: list[int], hashes: list[int], width: int = 5) -> np.ndarray:
+    """For each line the min-hashes of its shingles; `sizes` are the words of all lines with words, in order."""
+    n = np.array(sizes, np.int64)
+    starts = np.cumsum(n) - n
+    marks = (np.array(hashes, np.uint64)[:, None] * FACTORS >> np.uint64(32)).astype(np.uint32)
+    long = np.flatnonzero(n >= width)
+    if len(long):
+        counts = n[long] - width + 1
+        firsts = np.cumsum(counts) - counts
+        grams = shingle_hashes(block.word_hashes(lower=True), width)
+        grams = grams[np.repeat(starts[long] - firsts, counts) + np.arange(counts.sum())]
+        for k, factor in enumerate(FACTORS):
+            marks[long, k] = np.minimum.reduceat((grams * factor >> np.uint64(32)).astype(np.uint32), firsts)
+    return marks
+
+
 @frees_memory
 def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         for block in text_blocks(batch, "text"):
             n, base = len(block), _base(block, limits)
-            lines, contexts, words, doubled = [], [], [], []
+            lines, words, doubled, firsts = [], [], [], []
+            all_sizes: list[int] = []
+            all_hashes: list[int] = []
             for text in block.texts():
                 seen: set[bytes] = set()
                 hashes: dict[int, int] = {}  # with the words of all lines of that hash
+                first: list[int] = []  # places of these lines in the block
                 long: set[int] = set()
                 n_lines = 0
                 for line in text.split(b"\n"):
@@ -113,25 +139,78 @@ def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
                         n_lines += 1
                         seen.add(line)
                         size = len(line.split())
+                        if h not in hashes:
+                            first.append(len(all_sizes))
                         hashes[h] = hashes.get(h, 0) + size
+                        all_sizes.append(size)
+                        all_hashes.append(h)
                         if size > limits.max_line_words:
                             long.add(h)
                 doubled.append(n_lines - len(seen))
-                low = sorted(hashes)[:2]
                 short = [h for h in hashes if h not in long]
                 lines.append(short)
                 words.append([hashes[h] for h in short])
-                contexts.append([0 if len(low) < 2 else low[h == low[0]] for h in short])
+                firsts.append([x for h, x in zip(hashes, first) if h not in long])
+            marks = line_marks(block, all_sizes, all_hashes)
             columns = {
                 "_row": np.arange(row, row + n), "doc_id": block.batch["doc_id"], "_key": block.batch["_key"],
                 "host": block.batch["host"], **base, "n_dup_lines": doubled, "lines": pa.array(lines, pa.list_(pa.int64())),
-                "contexts": pa.array(contexts, pa.list_(pa.int64())), "line_words": pa.array(words, pa.list_(pa.int32())),
+                "line_words": pa.array(words, pa.list_(pa.int32())), "marks": pa.array([marks[x].tobytes() for x in firsts], pa.binary()),
             }
             row += n
             names = [x.split()[0] for x in FACTS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names)
 
 
+@frees_memory
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with lines set apart: what tells near copies by their other lines."""
+    turns = np.arange(1, N_BANDS + 1, dtype=np.uint64)
+    for batch in batches:
+        bands = []
+        for whole, lines, common, raw in zip(*[batch[c].to_pylist() for c in ("whole", "lines", "common", "marks")]):
+            common = set(common)
+            other = [i for i, h in enumerate(lines) if h not in common]
+            if other:
+                least = np.frombuffer(raw, np.uint32).reshape(-1, 2 * N_BANDS)[other].min(axis=0)
+                bands.append(mixed(mixed(least.view(np.uint64)) + turns).view(np.int64).tolist())
+            else:
+                bands.append([whole])
+        yield pa.RecordBatch.from_arrays(
+            [batch["host"], batch["whole"], batch["common"], pa.array(bands, pa.list_(pa.int64()))], ["host", "whole", "common", "bands"]
+        )
+
+
+def _enough(counted: DataFrame, sizes: DataFrame, limits: Limits) -> DataFrame:
+    """(host, line, n) -> the lines that stand in enough documents."""
+    return (
+        counted.filter(F.col("n") > limits.min_contexts).join(sizes, "host")
+        .filter(1000 * F.col("n") > limits.host_per_mille * F.col("n_host")).select("host", "line")
+    )
+
+
+def removed_lines(facts: DataFrame, limits: Limits) -> DataFrame:
+    """(host, line) of the lines that too many documents of a host share, a group of copies counted once."""
+    sizes = facts.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    whole = F.xxhash64(F.array_sort("lines")).alias("whole")
+    texts = facts.filter(F.size("lines") > 0).select("host", whole, "lines", "marks").dropDuplicates(["host", "whole"])
+    texts = stage(texts, "distinct-lines")
+    each = texts.select("host", "whole", F.explode("lines").alias("line"))
+    common = stage(_enough(each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")), sizes, limits), "common-lines")
+    held = each.join(common, ["host", "line"]).groupBy("host", "whole").agg(F.collect_list("line").alias("common"))
+    banded = texts.join(held, ["host", "whole"]).select("host", "whole", "lines", "marks", "common")
+    banded = stage(banded.mapInArrow(_bands, "host string, whole long, common array<long>, bands array<long>"), "line-bands")
+    meets = banded.select("host", "whole", F.explode("bands").alias("band"))
+    least = meets.groupBy("host", "band").agg(F.min("whole").alias("group"))
+    groups = meets.join(least, ["host", "band"]).groupBy("host", "whole").agg(F.min("group").alias("group"))
+    counted = (
+        banded.select("host", "whole", "common").join(groups, ["host", "whole"])
+        .select("host", "group", F.explode("common").alias("line")).distinct()
+        .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    )
+    return stage(_enough(counted, sizes, limits), "removed-lines")
+
+
 def quality_verdicts(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
@@ -146,25 +225,15 @@ def quality_verdicts(
         F.col(text).alias("text"),
     )
     facts = stage(rows.mapInArrow(lambda batches: _facts(batches, limits), FACTS), "line-facts")
-    shared = facts.select("host", F.explode(F.arrays_zip("lines", "contexts")).alias("x")).select(
-        "host", F.col("x.lines").alias("line"), F.col("x.contexts").alias("context")
-    )
-    counted = shared.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("context").alias("contexts"))
-    sizes = facts.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    removed = (
-        counted.filter((F.col("contexts") > limits.min_contexts) & (2 * F.col("contexts") >= F.col("n")))
-        .join(sizes, "host")
-        .filter(1000 * F.col("contexts") > limits.host_per_mille * F.col("n_host"))
-        .select("host", "line")
-    )
+    removed = removed_lines(facts, limits)
     lost = (
         facts.select("_row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
         .select("_row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-        .join(stage(removed, "removed-lines"), ["host", "line"])
+        .join(removed, ["host", "line"])
         .groupBy("_row")
         .agg(F.sum("words").cast("long").alias("lost"))
     )
-    judged = facts.drop("lines", "contexts", "line_words").join(lost, "_row", "left")
+    judged = facts.drop("lines", "line_words", "marks").join(lost, "_row", "left")
     lost_words = F.coalesce("lost", F.lit(0).cast("long"))
     depleted = 1000 * (F.col("n_words") - lost_words) < limits.least_left_per_mille * F.col("n_words")
     return judged.select(

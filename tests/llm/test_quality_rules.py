@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 from tabgate.llm import quality_rules as Q
 from tabgate.llm.queries import OP8_SQL
@@ -48,3 +49,39 @@ def test_shuffled_rejection_gives_the_same(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert Q.quality_verdicts(docs).collect() == [] == Q.keep_good(docs).collect()
+
+
+def name(i: int) -> str:
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def prose(i: int, n: int) -> str:
+    return " ".join(f"w{name(i)}x{name(k)}" for k in range(n))
+
+
+@pytest.mark.parametrize("k, m", [(3, 1), (5, 2), (8, 1), (8, 2)])
+def test_notices_that_stand_together_are_removed(spark, k, m):
+    notices = [prose(90000 + i, 6 + i) for i in range(k)]
+    rows = [(d, "\n".join([*notices, *(prose(1000 + 10 * d + i, 5) for i in range(m))]), "s") for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sum(6 + i for i in range(k))
+    assert {r.n_removed_words for r in Q.quality_verdicts(docs).collect()} == {want}
+
+
+def test_a_notice_inside_a_group_of_copies_is_removed(spark):
+    notice, text = "Read the terms of this house first", prose(7, 40)
+    rows = [(d, notice + "\n" + text + "\n" + prose(8, 30), "s") for d in range(300)]
+    rows += [(1000 + d, notice + "\n" + prose(2000 + d, 30), "s") for d in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.n_removed_words for r in Q.quality_verdicts(docs).collect()} == {7}
+
+
+def test_near_copies_count_once(spark):
+    base = [prose(i, 80).split() for i in range(3)]
+    rows = []
+    for d in range(240):
+        lines = [list(x) for x in base]
+        lines[d % 3][d // 3] = "edited" + name(d)
+        rows.append((d, "\n".join(map(" ".join, lines)), "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.n_removed_words, r.kept) for r in Q.quality_verdicts(docs).collect()} == {(0, True)}
