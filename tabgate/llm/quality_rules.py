@@ -9,8 +9,7 @@ Copies are told in two steps. Documents with the same lines are one. The lines t
 apart, and what a document holds besides them tells near copies: documents of a host are one group if two min-hashes
 of the five-word shingles of their other lines agree in any of N_BANDS bands. So notices that stand together can't make
 documents alike, and an edited copy is still like the others in the line that was edited. Documents of nothing but
-lines set apart are one only if these are the same. Lines of more than ``max_line_words`` words are passages of their
-own and left to the removal of copies.
+lines set apart are one only if these are the same.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows
 are documents each; further columns of the input are not read.
@@ -50,7 +49,6 @@ class Limits:
     repeat_percent: int = 20
     min_contexts: int = 20
     host_per_mille: int = 2
-    max_line_words: int = 50
     least_left_per_mille: int = 300
 
 
@@ -132,7 +130,6 @@ def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
                 seen: set[bytes] = set()
                 hashes: dict[int, int] = {}  # with the words of all lines of that hash
                 first: list[int] = []  # places of these lines in the block
-                long: set[int] = set()
                 n_lines = 0
                 for line in text.split(b"\n"):
                     if h := line_hash(line):
@@ -144,13 +141,10 @@ def _facts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
                         hashes[h] = hashes.get(h, 0) + size
                         all_sizes.append(size)
                         all_hashes.append(h)
-                        if size > limits.max_line_words:
-                            long.add(h)
                 doubled.append(n_lines - len(seen))
-                short = [h for h in hashes if h not in long]
-                lines.append(short)
-                words.append([hashes[h] for h in short])
-                firsts.append([x for h, x in zip(hashes, first) if h not in long])
+                lines.append(list(hashes))
+                words.append(list(hashes.values()))
+                firsts.append(first)
             marks = line_marks(block, all_sizes, all_hashes)
             columns = {
                 "_row": np.arange(row, row + n), "doc_id": block.batch["doc_id"], "_key": block.batch["_key"],

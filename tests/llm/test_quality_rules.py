@@ -85,3 +85,11 @@ def test_near_copies_count_once(spark):
         rows.append((d, "\n".join(map(" ".join, lines)), "s"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {(r.n_removed_words, r.kept) for r in Q.quality_verdicts(docs).collect()} == {(0, True)}
+
+
+def test_a_notice_on_one_long_line_is_removed(spark):
+    licence = prose(5, 120)
+    rows = [(d, licence + "\n" + prose(1000 + d, 20 if d % 2 else 90), "s") for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in Q.quality_verdicts(docs).collect()}
+    assert got == {d: (120, d % 2 == 0) for d in range(60)}
