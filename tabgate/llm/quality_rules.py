@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.llm.arrow_text import TextBlock, frees_memory, mixed, shingle_hashes, text_blocks
@@ -205,35 +205,41 @@ def removed_lines(facts: DataFrame, limits: Limits) -> DataFrame:
     return stage(_enough(counted, sizes, limits), "removed-lines")
 
 
-def quality_verdicts(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", limits: Limits = Limits()
-) -> DataFrame:
-    """One row per document: what the base rules count, the words in removed lines, and the verdict `kept`.
-
-    `_id` and `_key` (see `row_key`) stand for the row; equal rows are told alike.
-    """
+def _judged(docs: DataFrame, text: str, doc_id: str, host: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """One row per document, with `host` and `kept`; and (_row, host, line, words) of the lines removed from each."""
     bounded_batches(docs.sparkSession)
-    key = row_key(text, doc_id)
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), key[1], F.coalesce(F.col(host).cast("string"), F.lit("\0null")).alias("host"),
-        F.col(text).alias("text"),
+        F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id)[1], host_name(host).alias("host"), F.col(text).alias("text"),
     )
     facts = stage(rows.mapInArrow(lambda batches: _facts(batches, limits), FACTS), "line-facts")
-    removed = removed_lines(facts, limits)
-    lost = (
+    cut = (
         facts.select("_row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
         .select("_row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-        .join(removed, ["host", "line"])
-        .groupBy("_row")
-        .agg(F.sum("words").cast("long").alias("lost"))
+        .join(removed_lines(facts, limits), ["host", "line"])
     )
+    lost = cut.groupBy("_row").agg(F.sum("words").cast("long").alias("lost"))
     judged = facts.drop("lines", "line_words", "marks").join(lost, "_row", "left")
     lost_words = F.coalesce("lost", F.lit(0).cast("long"))
     depleted = 1000 * (F.col("n_words") - lost_words) < limits.least_left_per_mille * F.col("n_words")
-    return judged.select(
-        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), lost_words.alias("n_removed_words"),
+    verdicts = judged.select(
+        "_row", "host", "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_key", "n_words", "word_chars", "n_symbols",
+        "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), lost_words.alias("n_removed_words"),
     )
+    return verdicts, cut
+
+
+def host_name(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit("\0null"))
+
+
+def quality_verdicts(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", limits: Limits = Limits()
+) -> DataFrame:
+    """One row per document: what the base rules count, the words in removed lines, and the verdict `kept`.
+
+    `_id` and `_key` (see `row_key`) stand for the row; equal rows are told alike.
+    """
+    return _judged(docs, text, doc_id, host, limits)[0].drop("_row", "host")
 
 
 def sent_if_few(keys: DataFrame) -> DataFrame:
@@ -256,3 +262,39 @@ def keep_good(docs: DataFrame, **names: str) -> DataFrame:
     """The documents that pass, with all their columns."""
     verdicts = quality_verdicts(docs, **names)
     return without(docs, verdicts.filter(~F.col("kept")), names.get("text", "text"), names.get("doc_id", "doc_id"))
+
+
+@frees_memory
+def _without_lines(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, texts = batch.schema.get_field_index(text), []
+        for block in text_blocks(batch, text):
+            for whole, cut in zip(block.texts(), block.batch["_cut"].to_pylist()):
+                gone = set(cut)
+                texts.append(b"\n".join(x for x in whole.split(b"\n") if line_hash(x) not in gone).decode())
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["_cut"])
+
+
+def clean(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", limits: Limits = Limits()
+) -> DataFrame:
+    """The documents that pass, with all their columns, their removed lines cut out of the text.
+
+    The lines left stand in their order, byte for byte. Documents that lose none don't go through Python. Rows equal in
+    id, text and host get the same result; in rows equal but for the host, that of each host.
+    """
+    verdicts, cut = _judged(docs, text, doc_id, host, limits)
+    verdicts = stage(verdicts.select("_row", "_id", "_key", "host", "kept", "n_removed_words"), "verdicts")
+    ident, key = row_key(text, doc_id)
+    same = lambda x: (ident == x["_gone_id"]) & (key.eqNullSafe(x["_gone_key"])) & (host_name(host) == x["_gone_host"])
+    renamed = [F.col(c).alias(f"_gone{c if c[0] == '_' else '_' + c}") for c in ("_id", "_key", "host")]
+    # Equal rows have equal cuts: one of them stands for all.
+    losing = verdicts.filter("kept AND n_removed_words > 0").groupBy("_id", "_key", "host").agg(F.min("_row").alias("_row"))
+    cuts = (
+        cut.select("_row", "line").join(losing, "_row").groupBy(*renamed).agg(F.collect_set("line").alias("_cut"))
+    )
+    cuts = stage(cuts, "cuts")
+    other = stage(verdicts.filter("NOT kept OR n_removed_words > 0").select(*renamed).distinct(), "rejected-or-cut")
+    whole = docs.join(sent_if_few(other), same(other), "left_anti")
+    shortened = docs.join(cuts, same(cuts)).select(*[docs[c] for c in docs.columns], "_cut")
+    return whole.unionByName(shortened.mapInArrow(lambda b: _without_lines(b, text), docs.schema))

@@ -93,3 +93,35 @@ def test_a_notice_on_one_long_line_is_removed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.n_removed_words, r.kept) for r in Q.quality_verdicts(docs).collect()}
     assert got == {d: (120, d % 2 == 0) for d in range(60)}
+
+
+def slow_clean(rows: list[tuple], removed: dict[str | None, set[int]], kept: set) -> list[tuple]:
+    out = []
+    for d, text, host in rows:
+        if (d, text, host) in kept:
+            out.append((d, "\n".join(x for x in text.split("\n") if Q.line_hash(x.encode()) not in removed.get(host, ())), host))
+    return sorted(map(repr, out))
+
+
+def test_cleaned_texts_equal_brute_force(spark, monkeypatch):
+    licence = prose(5, 60)
+    rows = case()
+    rows += [(3000 + d, f" Bonjour  été {d}\n\n" + prose(3000 + d, 70) + f"\n{licence}\nbonjour été 7\nend {name(d)}\n", "u") for d in range(40)]
+    rows += [(3000, rows[-40][1], "v"), rows[-1], (None, "bonjour été 1\n" + prose(4, 20), "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {
+        "s": {Q.line_hash(b"Subscribe to Letter 1 of our house today")},
+        "u": {Q.line_hash("bonjour été 1".encode()), Q.line_hash(licence.encode())},
+    }
+    good = set()
+    for d, text, host in rows:
+        words = (text or "").split()
+        left = [w for x in (text or "").split("\n") if Q.line_hash(x.encode()) not in removed.get(host, ()) for w in x.split()]
+        if len(words) >= 10 and d not in (6, 8) and 1000 * len(left) >= 300 * len(words):
+            good.add((d, text, host))
+    got = Q.clean(docs)
+    assert got.schema == docs.schema
+    want = slow_clean(rows, removed, good)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == want
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", -1)
+    assert sorted(map(repr, (tuple(r) for r in Q.clean(docs).collect()))) == want
