@@ -3,8 +3,11 @@
 Texts are cut at marks and line ends into pieces, pieces into words. Every word leads one window of the longest phrase
 length, padded with nulls where its piece ends, and only these windows are counted. A phrase is a prefix of exactly those
 windows that start where it starts, so ROLLUP over the window's columns sums the windows' counts to those of all shorter
-phrases, down to the number of words. Windows that come too seldom to be phrases themselves are first merged under
-their prefix; they only count towards that.
+phrases, down to the number of words.
+
+Windows are counted in blocks of BLOCK_BYTES of text first, so a window that is everywhere is a row a block, and leave a
+block in order, which halves what is shuffled. They are dealt by all columns but the last. Before the rollup a word that
+no phrase reaches is taken out of its window, which then only counts towards shorter phrases.
 
 Every lookup of a part's count is split: parts that many phrases share go to the phrases (there are at most HEAVY_SHARE of
 them), the others are joined by key. The best phrases of a language are ranked within SALTS shares of it first.
@@ -16,16 +19,29 @@ Counts are exact below 10**16.
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabgate.llm.tables import stage
+from tabgate.llm.arrow_text import LOWER, TextBlock, frees_memory, text_blocks
+from tabgate.llm.tables import bounded_batches, stage
 
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
-GAP = r"[\x20\x09]+"
 NO_LANGUAGE = "und"
+#: Bytes that end a piece: . , ; : ! ? and x0A to x0D. Words end at these and at blanks and tabs.
+MARK = np.zeros(256, bool)
+MARK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+BETWEEN = MARK.copy()
+BETWEEN[[0x20, 0x09]] = True
+
+#: Windows are counted in blocks of about this many bytes of text before they leave their task.
+BLOCK_BYTES = 4 << 20
+#: Rows of a batch handed to the shuffle.
+BATCH_ROWS = 1 << 16
 
 #: Parts used by more than one in this many lookups are sent to the phrases; there can't be more of them than this.
 HEAVY_SHARE = 2_000
@@ -35,35 +51,105 @@ FEWEST_USES = 1_000
 SALTS = 256
 
 
+def _words(block: TextBlock) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The block's words in lower case, the text of each, and whether the next word follows it in its piece."""
+    inside = np.zeros(len(block.buf) + 2, bool)
+    inside[1:-1] = ~BETWEEN[block.buf]
+    cut = np.zeros(len(block.buf) + 1, bool)  # a word ends where its text ends
+    cut[block.offsets] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    letters = LOWER[block.buf[inside[1:-1]]]
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    text = np.searchsorted(block.offsets, starts, "right") - 1
+    marks = np.zeros(len(block.buf) + 1, np.int64)
+    np.cumsum(MARK[block.buf], out=marks[1:])
+    follows = np.zeros(len(starts), bool)
+    follows[:-1] = (marks[starts[1:]] == marks[ends[:-1]]) & (text[1:] == text[:-1])
+    return words, text, follows
+
+
+def _counted_windows(block: TextBlock, longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, w0, ..., f) of a block's distinct windows, in order."""
+    words, text, follows = _words(block)
+    if not len(words):
+        return
+    languages = block.batch["lang"].dictionary_encode()
+    coded = words.dictionary_encode()
+    # Numbers of words in the order of their bytes, from 1; 0 stands for a null.
+    by_bytes = pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()
+    number = np.empty(len(by_bytes), np.int64)
+    number[by_bytes] = np.arange(1, len(by_bytes) + 1)
+    columns = [number[coded.indices.to_numpy()]]
+    reaches = np.ones(len(words), bool)
+    for k in range(1, longest):
+        reaches[: len(words) - k] &= follows[k - 1 : len(words) - 1]
+        reaches[max(len(words) - k, 0) :] = False
+        columns.append(np.where(reaches, np.roll(columns[0], -k), 0))
+    # Windows as single numbers, made dense after each column to stay within 64 bits.
+    window = languages.indices.to_numpy().astype(np.int64)[text]
+    for column in columns:
+        _, window = np.unique(window * (len(by_bytes) + 1) + column, return_inverse=True)
+    _, first, counts = np.unique(window, return_index=True, return_counts=True)
+    ordered = coded.dictionary.take(pa.array(by_bytes))
+    out = [languages.dictionary.take(pa.array(languages.indices.to_numpy()[text[first]]))]
+    for column in columns:
+        at = column[first]
+        out.append(ordered.take(pa.array(at - 1, mask=at == 0)))
+    rows = pa.RecordBatch.from_arrays([*out, pa.array(counts)], ["lang", *[f"w{k}" for k in range(longest)], "f"])
+    for start in range(0, len(rows), BATCH_ROWS):
+        yield rows.slice(start, BATCH_ROWS)
+
+
 def windows(docs: DataFrame, longest: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, w0, w1, ...): a row for each word and those after it in its piece, null beyond the piece's end."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    """(lang, w0, w1, ..., f): how often each window of a word and those after it in its piece, null beyond the piece's
+    end, occurs in a block of texts."""
+    bounded_batches(docs.sparkSession)
     language = F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE))
-    pieces = docs.select(language.alias("lang"), F.explode(F.split(lowered, PIECE_END, -1)).alias("piece"))
-    # Blanks at the ends would make empty words.
-    trimmed = pieces.select("lang", F.trim("piece", F.lit(" \t")).alias("piece")).filter("piece != ''")
-    words = trimmed.select("lang", F.split("piece", GAP, -1).alias("words"))
-    led = words.select("lang", "words", F.posexplode_outer("words").alias("at", "w0"))
-    following = [F.get("words", F.col("at") + k).alias(f"w{k}") for k in range(1, longest)]
-    return led.select("lang", "w0", *following)
+
+    @frees_memory
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield from counted(waiting)
+                waiting, size = [], 0
+        yield from counted(waiting)
+
+    def counted(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batches:
+            whole = pa.Table.from_batches(batches).combine_chunks().to_batches()
+            for block in (b for batch in whole for b in text_blocks(batch, "text", BLOCK_BYTES)):
+                yield from _counted_windows(block, longest)
+
+    columns = ", ".join(f"w{k} string" for k in range(longest))
+    return docs.select(language.alias("lang"), F.col(text).alias("text")).mapInArrow(run, f"lang string, {columns}, f long")
 
 
 def counts(led: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, size, phrase, words, f): every phrase of up to `longest` words that occurs `least` times, as the array of
     its words and joined by spaces; and a row of size 0 for each language with its number of words."""
     columns = [f"w{k}" for k in range(longest)]
-    counted = led.groupBy("lang", *columns).agg(F.count(F.lit(1)).alias("f"))
-    # A window too rare to be a phrase counts towards its prefixes only.
+    merged = led.repartition(*columns[: max(longest - 1, 1)], "lang").groupBy("lang", *columns).agg(F.sum("f").alias("f"))
+    # Words that no phrase reaches go, the last ones first: all windows of a prefix are in one place.
     last = columns[-1]
-    merged = counted.withColumn(last, F.when(F.col("f") >= least, F.col(last))) if longest > 1 else counted
+    merged = merged.withColumn(last, F.when(F.col("f") >= least, F.col(last)))
+    if longest > 2:
+        prefix = F.sum("f").over(Window.partitionBy(*columns[:-1], "lang"))
+        merged = merged.withColumn("_prefix", prefix)
+        merged = merged.withColumn(columns[-2], F.when(F.col("_prefix") >= least, F.col(columns[-2]))).drop("_prefix")
     rolled = merged.rollup("lang", *columns).agg(F.sum("f").alias("f"), F.grouping_id().alias("_left_out"))
-    # The bits of the grouping id that are set are those of the columns summed over: 0, 1, 3, 7, ...
+    # The bits of the grouping id that are set are those of the columns summed over: 0, 1, 3, 7, ... A null among the
+    # others tells of a window that was padded or merged; such groups are left out before they are shuffled.
     size = F.lit(longest) - F.bit_count("_left_out")
+    padded = [(size > k) & F.col(column).isNull() for k, column in enumerate(columns)]
+    kept = rolled.filter((size >= 0) & ~reduce(Column.__or__, padded)).filter((size == 0) | (F.col("f") >= least))
     words = F.slice(F.array(*columns), F.lit(1), size)
-    kept = rolled.filter(size >= 0).select("lang", size.alias("size"), words.alias("words"), "f")
-    # A null among the words: the window was padded or merged.
-    whole = (F.col("size") == 0) | ((F.col("f") >= least) & ~F.exists("words", lambda w: w.isNull()))
-    return kept.filter(whole).select("lang", "size", F.array_join("words", " ").alias("phrase"), "words", "f")
+    return kept.select("lang", size.alias("size"), F.array_join(words, " ").alias("phrase"), words.alias("words"), "f")
 
 
 def _with_count(cuts: DataFrame, rows: DataFrame, part: str, known: DataFrame, name: str) -> DataFrame:
