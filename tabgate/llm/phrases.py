@@ -5,9 +5,10 @@ length, padded with nulls where its piece ends, and only these windows are count
 windows that start where it starts, so ROLLUP over the window's columns sums the windows' counts to those of all shorter
 phrases, down to the number of words.
 
-Windows are counted in blocks of BLOCK_BYTES of text first, so a window that is everywhere is a row a block, and leave a
-block in order, which halves what is shuffled. They are dealt by all columns but the last. Before the rollup a word that
-no phrase reaches is taken out of its window, which then only counts towards shorter phrases.
+Windows are counted in blocks of BLOCK_BYTES of text first, so a window that is everywhere is a row a block. They leave a
+block in order and as one string, which compresses to two thirds of what separate columns take in the shuffle. They are
+dealt by all their words but the last. Before the rollup a word that no phrase reaches is taken out of its window, which
+then only counts towards shorter phrases.
 
 Every lookup of a part's count is split: parts that many phrases share go to the phrases (there are at most HEAVY_SHARE of
 them), the others are joined by key. The best phrases of a language are ranked within SALTS shares of it first.
@@ -72,7 +73,7 @@ def _words(block: TextBlock) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _counted_windows(block: TextBlock, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, w0, ..., f) of a block's distinct windows, in order."""
+    """(window, f) of a block's distinct windows, in order."""
     words, text, follows = _words(block)
     if not len(words):
         return
@@ -94,18 +95,22 @@ def _counted_windows(block: TextBlock, longest: int) -> Iterator[pa.RecordBatch]
         _, window = np.unique(window * (len(by_bytes) + 1) + column, return_inverse=True)
     _, first, counts = np.unique(window, return_index=True, return_counts=True)
     ordered = coded.dictionary.take(pa.array(by_bytes))
-    out = [languages.dictionary.take(pa.array(languages.indices.to_numpy()[text[first]]))]
+    led = []
     for column in columns:
         at = column[first]
-        out.append(ordered.take(pa.array(at - 1, mask=at == 0)))
-    rows = pa.RecordBatch.from_arrays([*out, pa.array(counts)], ["lang", *[f"w{k}" for k in range(longest)], "f"])
+        led.append(ordered.take(pa.array(at - 1, mask=at == 0)))
+    packed = pc.binary_join_element_wise(*led, " ", null_handling="skip")
+    of_first = languages.dictionary.take(pa.array(languages.indices.to_numpy()[text[first]]))
+    rows = pa.RecordBatch.from_arrays(
+        [pc.binary_join_element_wise(packed, of_first, "\t"), pa.array(counts)], ["window", "f"]
+    )
     for start in range(0, len(rows), BATCH_ROWS):
         yield rows.slice(start, BATCH_ROWS)
 
 
 def windows(docs: DataFrame, longest: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, w0, w1, ..., f): how often each window of a word and those after it in its piece, null beyond the piece's
-    end, occurs in a block of texts."""
+    """(window, f): how often a word, those after it in its piece and the language, as "word word word<tab>language", occur
+    in a block of texts. Words and blanks beyond the piece's end are left out."""
     bounded_batches(docs.sparkSession)
     language = F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE))
 
@@ -126,30 +131,38 @@ def windows(docs: DataFrame, longest: int, text: str = "text", lang: str = "lang
             for block in (b for batch in whole for b in text_blocks(batch, "text", BLOCK_BYTES)):
                 yield from _counted_windows(block, longest)
 
-    columns = ", ".join(f"w{k} string" for k in range(longest))
-    return docs.select(language.alias("lang"), F.col(text).alias("text")).mapInArrow(run, f"lang string, {columns}, f long")
+    return docs.select(language.alias("lang"), F.col(text).alias("text")).mapInArrow(run, "window string, f long")
 
 
 def counts(led: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, size, phrase, words, f): every phrase of up to `longest` words that occurs `least` times, as the array of
     its words and joined by spaces; and a row of size 0 for each language with its number of words."""
     columns = [f"w{k}" for k in range(longest)]
-    merged = led.repartition(*columns[: max(longest - 1, 1)], "lang").groupBy("lang", *columns).agg(F.sum("f").alias("f"))
+    words = F.substring_index("window", "\t", 1)
+    lang = F.substring("window", F.length(words) + 1, F.length("window"))  # with the tab
+    prefix = F.concat(F.substring_index(words, " ", longest - 1), lang)
+    last = F.when(F.length(words) - F.length(F.replace(words, F.lit(" "))) == longest - 1, F.substring_index(words, " ", -1))
+    dealt = led.repartition(prefix).select(prefix.alias("prefix"), last.alias("last"), "f")
+    counted = dealt.groupBy("prefix", "last").agg(F.sum("f").alias("f"))
     # Words that no phrase reaches go, the last ones first: all windows of a prefix are in one place.
-    last = columns[-1]
-    merged = merged.withColumn(last, F.when(F.col("f") >= least, F.col(last)))
+    reached = counted.withColumn("prefix_f", F.sum("f").over(Window.partitionBy("prefix")))
+    led_words = F.split(F.substring_index("prefix", "\t", 1), " ")
+    apart = reached.select("prefix", "last", "f", "prefix_f", led_words.alias("words"))
+    read = [F.get("words", F.lit(k)) for k in range(longest - 1)]
     if longest > 2:
-        prefix = F.sum("f").over(Window.partitionBy(*columns[:-1], "lang"))
-        merged = merged.withColumn("_prefix", prefix)
-        merged = merged.withColumn(columns[-2], F.when(F.col("_prefix") >= least, F.col(columns[-2]))).drop("_prefix")
+        read[-1] = F.when(F.col("prefix_f") >= least, read[-1])
+    merged = apart.select(
+        F.substring("prefix", F.instr("prefix", "\t") + 1, F.length("prefix")).alias("lang"), "f",
+        *[word.alias(column) for word, column in zip([*read, F.when(F.col("f") >= least, F.col("last"))], columns)],
+    )
     rolled = merged.rollup("lang", *columns).agg(F.sum("f").alias("f"), F.grouping_id().alias("_left_out"))
     # The bits of the grouping id that are set are those of the columns summed over: 0, 1, 3, 7, ... A null among the
     # others tells of a window that was padded or merged; such groups are left out before they are shuffled.
     size = F.lit(longest) - F.bit_count("_left_out")
     padded = [(size > k) & F.col(column).isNull() for k, column in enumerate(columns)]
     kept = rolled.filter((size >= 0) & ~reduce(Column.__or__, padded)).filter((size == 0) | (F.col("f") >= least))
-    words = F.slice(F.array(*columns), F.lit(1), size)
-    return kept.select("lang", size.alias("size"), F.array_join(words, " ").alias("phrase"), words.alias("words"), "f")
+    phrase = F.slice(F.array(*columns), F.lit(1), size)
+    return kept.select("lang", size.alias("size"), F.array_join(phrase, " ").alias("phrase"), phrase.alias("words"), "f")
 
 
 def _with_count(cuts: DataFrame, rows: DataFrame, part: str, known: DataFrame, name: str) -> DataFrame:
@@ -213,7 +226,7 @@ def _first(phrases: DataFrame, top: int) -> DataFrame:
 def collocations(
     docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words.
+    """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` (2 or more) words.
 
     a is how often the phrase occurs (at least `least` times), l and r how often the two parts of its lowest-scoring cut
     do, n the words of the language. A phrase that some longer one holds in `share` percent of its occurrences is left out.
