@@ -219,6 +219,11 @@ ORACLE |= {
     "k04_saved_deletion": """
       SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS record_id, 'S' || CAST(o_custkey % 8 AS VARCHAR) AS submission_id
       FROM orders WHERE NOT (o_custkey % 8 = 3 OR (o_custkey % 8 = 5 AND o_orderkey % 2 = 0))""",
+    "k04_table_versions": """
+      SELECT seen, 'order:' || CAST(o_orderkey AS VARCHAR) AS record_id,
+        CASE WHEN seen = 'in the end' AND o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS version
+      FROM orders, (SELECT unnest(['while written', 'after a failure', 'in the end']) AS seen)
+      WHERE o_orderkey % 2 = 0 OR (seen = 'in the end' AND o_orderkey % 3 = 0)""",
     "k05_insert_absent": """
       SELECT DISTINCT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS submission_id,
              CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders

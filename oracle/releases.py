@@ -295,12 +295,18 @@ ORACLE = {
                        WHEN o_orderkey % 4 IN (0, 1) THEN '2.0' ELSE '1.0' END AS version FROM okeys""",
 }
 
-cte("arrived", """SELECT c_custkey // 500 AS b, c_custkey % 700 = 99 AS bad FROM customer""")
+cte("arrived", """SELECT c_custkey // 400 AS b, c_custkey // 100 AS f, c_custkey % 700 = 399 AS bad,
+  (c_custkey // 400) % 3 <> 1 OR (c_custkey // 100) % 4 < 3 AS listed FROM customer""")
 ORACLE |= {
     "s01_arrived_batches": """
-      SELECT 'C' || CAST(b % 4 AS VARCHAR) || '_' || CAST(b AS VARCHAR) AS batch,
-        CASE WHEN count_if(bad) > 0 THEN 'Failed' ELSE 'Uploaded' END AS status,
-        CASE WHEN count_if(bad) > 0 THEN 0 ELSE count(*) END AS n_records, count_if(bad) AS n_issues FROM arrived GROUP BY b""",
+      SELECT 'B' || CAST(b AS VARCHAR) AS batch, status, CASE WHEN b % 7 = 6 THEN 'invalid batch type, only metadata allowed' END AS reason,
+        CASE status WHEN 'Uploaded' THEN n_listed ELSE 0 END AS n_records,
+        CASE WHEN b % 7 = 6 THEN 0 ELSE n_bad END AS n_issues, CASE WHEN b % 7 = 6 THEN n_files - 1 ELSE n_unlisted END AS n_late
+      FROM (
+        SELECT b, CASE WHEN b % 7 = 6 THEN 'Failed' WHEN b % 5 = 2 THEN 'Waiting' WHEN count_if(bad AND listed) > 0 THEN 'Failed'
+                       ELSE 'Uploaded' END AS status, count_if(listed) AS n_listed, count_if(bad) AS n_bad,
+          count(DISTINCT f) AS n_files, count(DISTINCT f) FILTER (NOT listed) AS n_unlisted
+        FROM arrived GROUP BY b)""",
     "s02_validate_new": """
       SELECT c.record_id, 'M003' AS code, prop AS offending_property, original AS offending_value FROM cells c
       JOIN recs r ON r.record_id = c.record_id

@@ -1,15 +1,12 @@
-"""Changes to stored tables (K1-K6) as new table contents, and their safe writing."""
+"""Changes to stored tables (K1-K6) as new table contents; ``versions`` writes them."""
 
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgate.session import stage
-
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """K1: rows of ``new`` replace rows of the same key, others are added."""
@@ -55,27 +52,3 @@ def ids_except(records: DataFrame, submission_id: str, node_type: str, excluded:
         (F.col("submission_id") == submission_id) & (F.col("node_type") == node_type)
     ).select("node_id").distinct()
     return ids.join(excluded.select("node_id"), "node_id", "left_anti")
-
-
-def save(table: DataFrame, path: str, partition_by: str, touched: DataFrame | None = None) -> None:
-    """Overwrites the partitions the rows belong to; of the ``touched`` ones (a column of that name), those without
-    rows now are dropped. Others stay.
-
-    The rows are stored elsewhere first: a plan must not read the partitions it replaces. Only names of partitions
-    reach the driver, as they do whenever a table is listed.
-    """
-    ready = stage(table, "save")
-    (
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
-    )
-    if touched is None:
-        return
-    void = touched.select(partition_by).distinct().join(ready.select(partition_by), partition_by, "left_anti")
-    gone = {str(r[0]) for r in void.filter(F.col(partition_by).isNotNull()).collect()}
-    spark = table.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in store.listStatus(folder):
-        name, _, value = entry.getPath().getName().partition("=")
-        if name == partition_by and unquote(value) in gone:
-            store.delete(entry.getPath(), True)

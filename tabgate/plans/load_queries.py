@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tabgate.functions import ids
 from tabgate.operators import load as C
 from tabgate.operators import structure as B
 from tabgate.operators import upkeep as K
+from tabgate.operators.versions import VersionedTable
 from tabgate.plans import file_tables, sheet_tables, star
 from tabgate.session import scratch_path
 from tabgate.sources import listing, tsv
@@ -247,17 +250,43 @@ def deleted_with_issues(s, d):
         issues.select("record_id", F.lit("issue").alias("what")))
 
 
+VERSIONED = "record_id STRING, submission_id STRING, node_type STRING, node_id STRING, version STRING, status STRING"
+NODE = ["submission_id", "node_type", "node_id"]
+
+
+def versioned(s):
+    return VersionedTable(s, scratch_path(s, "orders"), VERSIONED, "submission_id", buckets=8)
+
+
 def saved_deletion(s, d):
     """A stored table after rows of some submissions went, one of them whole."""
-    folder = scratch_path(s, "saved")
-    rows = versions(s, d, "TRUE", "old")
-    K.save(rows, folder, "submission_id")
-    gone = versions(s, d, "o_custkey % 8 = 3 OR (o_custkey % 8 = 5 AND o_orderkey % 2 = 0)", "x")
-    stored = s.read.parquet(folder)
-    touched = gone.select("submission_id").distinct()
-    left = K.delete_records(stored, stored.select("record_id"), gone)[0].join(touched, "submission_id", "left_semi")
-    K.save(left, folder, "submission_id", touched)
-    return s.read.schema(stored.schema).parquet(folder).select("record_id", "submission_id")
+    table = versioned(s)
+    table.upsert(versions(s, d, "TRUE", "old"), NODE)
+    table.delete(versions(s, d, "o_custkey % 8 = 3 OR (o_custkey % 8 = 5 AND o_orderkey % 2 = 0)", "x"), NODE)
+    return table.read().select("record_id", "submission_id")
+
+
+def table_versions(s, d):
+    """What readers see of a table: version 1 while version 2 is written and after a write that failed, and version 2."""
+    table = versioned(s)
+    table.upsert(versions(s, d, "o_orderkey % 2 = 0", "first"), NODE, mark=("load", 0))
+    seen = []
+
+    def read(label):
+        return lambda: seen.append(table.read().withColumn("seen", F.lit(label)))
+
+    def lost():
+        raise OSError("the writer is gone")
+
+    second = versions(s, d, "o_orderkey % 3 = 0", "second")
+    for step in (lost, read("while written")):
+        try:
+            table.change(second, lambda old: second.unionByName(old.join(second.select(*NODE), NODE, "left_anti")), ("load", 1), step)
+        except OSError:
+            read("after a failure")()
+    table.upsert(versions(s, d, "TRUE", "replayed"), NODE, mark=("load", 1))
+    read("in the end")()
+    return reduce(DataFrame.unionByName, seen).select("seen", "record_id", "version")
 
 
 def inserted_absent(s, d):
@@ -285,6 +314,7 @@ QUERIES |= {
     "k03_replace_issues": replaced_issues,
     "k04_delete_records": deleted_with_issues,
     "k04_saved_deletion": saved_deletion,
+    "k04_table_versions": table_versions,
     "k05_insert_absent": inserted_absent,
     "k06_ids_except": ids_except,
 }

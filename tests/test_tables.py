@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tabgate.functions import ids, text
 from tabgate.operators import files as H
 from tabgate.operators import release as J
-from tabgate.operators import upkeep as K
 from tabgate.operators.lookup import attach, counted
 from tabgate.schema import EDGES, local_table
 from tabgate.sources import listing, tsv
@@ -33,16 +32,6 @@ def test_deeper_chains_than_the_model_has_types(spark):
     assert found.count() == 40
 
 
-def test_saved_deletions_leave_no_partition_behind(spark, tmp_path):
-    path = str(tmp_path / "t")
-    df = spark.range(9).select("id", F.concat(F.lit("s "), (F.col("id") % 3).cast("string")).alias("part"))
-    K.save(df, path, "part")
-    left = df.filter("part <> 's 1' AND NOT (part = 's 0' AND id > 3)")
-    touched = df.filter("part IN ('s 0', 's 1')").select("part").distinct()
-    K.save(left.filter("part = 's 0'"), path, "part", touched)
-    assert rows(spark.read.parquet(path), "id", "part") == rows(left, "id", "part")
-
-
 def test_numbers_and_integers_as_text(spark):
     from tabgate.functions import typed
 
@@ -181,10 +170,3 @@ def test_file_checks_in_order(spark):
     assert sorted((int(r["record_id"]), r["code"]) for r in H.file_issues(df, stored).collect()) == [
         (1, "F009"), (2, "F010"), (3, "F001"), (4, "F004"), (5, "F003"), (6, "F005"), (7, "F005"), (8, "F006"), (9, "F004"),
         (10, "F007"), (11, "F007")]
-
-
-def test_saved_partitions_are_replaced_alone(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.createDataFrame([(1, "a"), (2, "b")], "v INT, p STRING").write.partitionBy("p").parquet(path)
-    K.save(spark.read.parquet(path).filter("p = 'a'").withColumn("v", F.col("v") + 10), path, "p")
-    assert rows(spark.read.parquet(path), "v", "p") == [(2, "b"), (11, "a")]
