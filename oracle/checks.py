@@ -207,6 +207,28 @@ cte("rec_status", """
          coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings
   FROM recs r LEFT JOIN ranked USING (record_id)""")
 
+D19 = """
+      SELECT t.record_id, t.prop || '_concept_code' AS prop, coalesce(string_agg(c.concept_code, '|' ORDER BY nth), '') AS value
+      FROM (SELECT record_id, prop, concept_cde, string_split(value, '|') AS parts,
+                   unnest(range(1, len(string_split(value, '|')) + 1)) AS nth
+            FROM typed WHERE concept_cde IS NOT NULL AND type <> 'pattern') t
+      LEFT JOIN concepts c ON c.cde_code = t.concept_cde AND c.pv = trim(t.parts[t.nth])
+      GROUP BY t.record_id, t.prop"""
+VALIDATED = f"""
+  SELECT r.record_id, s.status, CASE WHEN s.status <> 'Passed' THEN 'qc:' || r.record_id END AS issue_id,
+    coalesce(p.props, '') AS props, coalesce(g.generated, '') AS generated,
+    CASE WHEN c.conflict THEN '' ELSE array_to_string(c.codes, ',') END AS codes
+  FROM recs r JOIN rec_status s USING (record_id)
+  LEFT JOIN (
+    SELECT p.record_id, string_agg(p.prop || '=' || coalesce(f.new_value, p.value, '<null>'), '~'
+                                   ORDER BY p.prop || '=' || coalesce(f.new_value, p.value, '<null>')) AS props
+    FROM props p LEFT JOIN (SELECT * FROM fixes WHERE record_id IN (SELECT record_id FROM not_deleting)) f
+      ON f.record_id = p.record_id AND f.prop = p.prop GROUP BY p.record_id) p ON p.record_id = r.record_id
+  LEFT JOIN (
+    SELECT record_id, string_agg(prop || '=' || value, '~' ORDER BY prop || '=' || value) AS generated
+    FROM ({D19}) WHERE record_id IN (SELECT record_id FROM not_deleting) GROUP BY record_id) g ON g.record_id = r.record_id
+  LEFT JOIN (SELECT * FROM coded WHERE record_id IN (SELECT record_id FROM not_deleting)) c ON c.record_id = r.record_id"""
+
 HINT = "' It is recommended to use \"' || advice || '\", as it is semantically equivalent to \"'"
 
 
@@ -252,13 +274,7 @@ ORACLE = {
     "d16_dates": M007,
     "d17_booleans": M008,
     "d18_list_values": described("matched_items", "item"),
-    "d19_concept_codes": """
-      SELECT t.record_id, t.prop || '_concept_code' AS prop, coalesce(string_agg(c.concept_code, '|' ORDER BY nth), '') AS value
-      FROM (SELECT record_id, prop, concept_cde, string_split(value, '|') AS parts,
-                   unnest(range(1, len(string_split(value, '|')) + 1)) AS nth
-            FROM typed WHERE concept_cde IS NOT NULL AND type <> 'pattern') t
-      LEFT JOIN concepts c ON c.cde_code = t.concept_cde AND c.pv = trim(t.parts[t.nth])
-      GROUP BY t.record_id, t.prop""",
+    "d19_concept_codes": D19,
     "e01_no_parents": E1,
     "e02_edge_rules": "SELECT record_id, pos, broken FROM judged WHERE broken IS NOT NULL",
     "e03_several_parents": """SELECT record_id, CASE WHEN multiplicity = 'one_to_one' THEN 'M024' ELSE 'M025' END AS code,
@@ -293,6 +309,7 @@ ORACLE = {
       JOIN cross_members m ON m.study_id = r.study_id AND m.node_type = r.node_type AND m.node_id = r.node_id
        AND m.submission_id <> r.submission_id GROUP BY ALL""",
     "f04_cross_members": "SELECT study_id, node_type, node_id, submission_id FROM cross_members",
+    "validated_records": VALIDATED,
     "metadata_issues": "SELECT record_id, code, offending_property, offending_value FROM all_issues",
     "g01_record_status": """SELECT record_id, status, CAST(n_errors AS BIGINT) AS n_errors,
                             CAST(n_warnings AS BIGINT) AS n_warnings FROM rec_status""",

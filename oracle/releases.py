@@ -308,9 +308,8 @@ ORACLE |= {
           count(DISTINCT f) AS n_files, count(DISTINCT f) FILTER (NOT listed) AS n_unlisted
         FROM arrived GROUP BY b)""",
     "s02_validate_new": """
-      SELECT c.record_id, 'M003' AS code, prop AS offending_property, original AS offending_value FROM cells c
-      JOIN recs r ON r.record_id = c.record_id
-      WHERE r.status = 'New' AND required AND (original IS NULL OR trim(original) = '')""",
+      SELECT record_id, code, offending_property, offending_value FROM all_issues
+      WHERE record_id IN (SELECT record_id FROM recs WHERE status = 'New')""",
     "s03_running_status": """
       SELECT 'U' || CAST(user_id AS VARCHAR) AS submission_id,
         max(CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) AS rank,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.functions import typed
 from tabgate.functions.faults import ISSUE_KEYS, emit, fault, prefix, selected
 from tabgate.functions.text import DELETE_MARK, is_blank, split_plain, strip
+from tabgate.messages import ERROR, PASSED, WARNING
 from tabgate.operators.lookup import SPREAD, attach, counted
 from tabgate.operators.rules import KNOWN_TYPES, anchored_pattern
 
@@ -62,14 +65,15 @@ def duplicate_members(records: DataFrame) -> DataFrame:
     return marked.filter(F.col("n_copies").isNotNull())
 
 
-def duplicate_issues(records: DataFrame, facts: DataFrame) -> DataFrame:
-    """D3 (M016). The text tells how many other rows there are; duplicate_members has them all, one row each."""
+def duplicate_issues(records: DataFrame, facts: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """D3 (M016). The text tells how many other rows there are ``among`` all records, by default the same;
+    duplicate_members has them all, one row each."""
     rows = on_nodes(records, facts)
     key = F.try_element_at("props", F.col("model_id_prop"))
     checked = rows.filter(
         ~empty_record() & F.col("known_node").isNotNull() & F.coalesce(strip(key) != "", F.lit(True))
     )
-    groups = counted(records, DUPLICATE_KEY, at_least=2, name="n_copies")
+    groups = counted(records if among is None else among, DUPLICATE_KEY, at_least=2, name="n_copies")
     hit = attach(
         checked.select(*PLACE, F.col("model_id_prop"), key.alias("key_value")),
         groups, DUPLICATE_KEY, "n_copies", spread_by=["record_id"],
@@ -406,21 +410,58 @@ def concept_codes_of(cells: DataFrame, codes: DataFrame, delimiter: str = "|") -
     )
 
 
-def with_generated(records: DataFrame, generated: DataFrame) -> DataFrame:
-    per_record = generated.groupBy("record_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("generated_props")
+# --- written back ------------------------------------------------------------------------------
+
+ENTRY = "struct<prop: string, value: string>"
+
+
+def written_back(
+    records: DataFrame, issues: DataFrame, fixes: DataFrame, generated: DataFrame, consent: DataFrame, now: Column
+) -> DataFrame:
+    """Records as a check leaves them: corrected values, generated ones, consent codes, status and the id of their QC row.
+
+    ``fixes``: record_id, prop, new_value; ``generated``: record_id, prop, value; ``consent``: record_id, codes. All that
+    concerns a record meets in one grouping, which counts issues before they are shuffled; then it joins the record.
+    """
+    kinds = {
+        "fix": fixes.select("record_id", F.struct("prop", F.col("new_value").alias("value")).cast(ENTRY).alias("fix")),
+        "made": generated.select("record_id", F.struct("prop", "value").cast(ENTRY).alias("made")),
+        "codes": consent.select("record_id", "codes"),
+        "severity": issues.select("record_id", "severity"),
+    }
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds.values())
+    per_record = both.groupBy("record_id").agg(
+        F.map_from_entries(F.collect_list("fix")).alias("_fixes"), F.map_from_entries(F.collect_list("made")).alias("_made"),
+        F.max("codes").alias("_codes"), F.count_if(F.col("severity") == ERROR).alias("_errors"),
+        F.count_if(F.col("severity") == WARNING).alias("_warnings"),
+    )
+    joined = records.join(per_record, "record_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("_errors", "_warnings")}
     )
-    return records.drop("generated_props").join(per_record, "record_id", "left")
+    fixed = F.transform_values(
+        "props", lambda k, v: F.when(F.map_contains_key(F.col("_fixes"), k), F.col("_fixes")[k]).otherwise(v)
+    )
+    failing = (F.col("_errors") > 0) | (F.col("_warnings") > 0)
+    return joined.withColumns(
+        {
+            "props": F.when(F.size("_fixes") > 0, fixed).otherwise(F.col("props")),
+            "generated_props": F.coalesce("_made", F.create_map().cast("map<string,string>")),
+            "consent_codes": F.col("_codes"),
+            "status": F.when(F.col("_errors") > 0, ERROR).when(F.col("_warnings") > 0, WARNING).otherwise(PASSED),
+            "issue_id": F.when(failing, F.concat(F.lit("qc:"), "record_id")),
+            "validated_at": now, "updated_at": now,
+        }
+    ).drop("_fixes", "_made", "_codes", "_errors", "_warnings")
 
 
 # --- all together ------------------------------------------------------------------------------
 
 
-def property_issue_parts(records, facts, matched: DataFrame, lists: DataFrame) -> list[DataFrame]:
+def property_issue_parts(records, facts, matched: DataFrame, lists: DataFrame, among=None) -> list[DataFrame]:
     """All coded issues of the property checks; the narrow ones share one pass over the cells."""
     return [
         record_issues(records, facts),
-        duplicate_issues(records, facts).drop("n_copies"),
+        duplicate_issues(records, facts, among).drop("n_copies"),
         cell_issues(matched, required_faults(), name_faults(), type_faults(), vocabulary_faults()),
         list_issues(lists),
     ]

@@ -263,8 +263,10 @@ def upward_links(links: tuple[DataFrame, DataFrame], start: DataFrame) -> DataFr
     return now.unionByName(rest.select(*NODE, "up"))
 
 
-def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame, consent_type: str):
-    """The parent links of file records, and all links met on the way up to consent groups.
+def climbed_links(
+    records: DataFrame, releases: DataFrame, file_types: DataFrame, consent_type: str, among: DataFrame | None = None
+):
+    """The parent links of file records, and all links met on the way up to consent groups, through the records ``among``.
 
     The walk runs over distinct nodes, not over records: every node on the way is asked once for
     its consent groups, whatever number of files hang below it. A node whose parents include
@@ -279,7 +281,7 @@ def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame
     )
     start = file_edges.select(*NODE).distinct()
 
-    stored = parent_links(records, releases)
+    stored = parent_links(records if among is None else among, releases)
 
     def climb(level: DataFrame) -> DataFrame:
         links = upward_links(stored, level)
@@ -294,9 +296,9 @@ def climbed_links(records: DataFrame, releases: DataFrame, file_types: DataFrame
     return file_edges, upward_links(stored, nodes)
 
 
-def consent_reach(records, releases, file_types, consent_type: str) -> DataFrame:
+def consent_reach(records, releases, file_types, consent_type: str, among: DataFrame | None = None) -> DataFrame:
     """Distinct (submission, record, consent group id)."""
-    file_edges, links = climbed_links(records, releases, file_types, consent_type)
+    file_edges, links = climbed_links(records, releases, file_types, consent_type, among)
     flat = stage(links.select(
         *NODE, F.col("up.parent_type").alias("up_type"), F.col("up.parent_id_value").alias("up_id")
     ).distinct(), "climbed-links")
@@ -367,8 +369,9 @@ def consent_issues(records: DataFrame, coded: DataFrame) -> DataFrame:
     return emit(rows, [fault("M036", F.lit(True), F.col("node_type"), F.col("node_id"), prefix())])
 
 
-def relation_issue_parts(records, releases, model_nodes, model_props, model_rels) -> list[DataFrame]:
-    """E1-E5, one DataFrame per check."""
+def relation_issue_parts(records, releases, model_nodes, model_props, model_rels, among=None) -> list[DataFrame]:
+    """E1-E5, one DataFrame per check. Parents and siblings are looked for ``among`` all records, by default the same."""
+    among = records if among is None else among
     judged = judged_edges(records, model_nodes, model_props, model_rels)
     sound = sound_edges(judged)
     related = relation_rules(model_nodes, model_props, model_rels)[0]
@@ -376,6 +379,6 @@ def relation_issue_parts(records, releases, model_nodes, model_props, model_rels
         missing_parents(records, related),
         edge_rule_issues(judged),
         several_parents(records, model_nodes, model_props, model_rels),
-        absent_parent_issues(sound, records, releases),
-        one_to_one_issues(sound, records, releases, model_rels),
+        absent_parent_issues(sound, among, releases),
+        one_to_one_issues(sound, among, releases, model_rels),
     ]

@@ -14,7 +14,7 @@ from tabgate.sources import records as scans
 
 ISSUE = ("record_id", "code", "offending_property", "offending_value")
 _READY: dict[tuple[str, str], tuple[validate.Context, validate.Prepared]] = {}
-_ISSUES: dict[tuple[str, str], DataFrame] = {}
+_CHECKED: dict[tuple[str, str], validate.Checked] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> tuple[validate.Context, validate.Prepared]:
@@ -26,6 +26,7 @@ def context(spark: SparkSession, sf_dir: str) -> tuple[validate.Context, validat
             model_props=star.model_props(spark), model_rels=star.model_rels(spark), cde=star.cde(spark, sf_dir),
             synonyms=star.synonyms(spark, sf_dir), releases=star.stored(spark, sf_dir, "releases"),
             program_prop="name", study_prop="name", consent_type="nation",
+            concept_codes=star.concept_codes(spark, sf_dir),
         )
         _READY[key] = (ctx, validate.prepare(ctx))
     return _READY[key]
@@ -189,13 +190,35 @@ def cross_members(s, d):
     )
 
 
-def all_issues(s, d):
-    """The stored issue table of one full check, made once per session and folder."""
+def checked(s, d):
+    """The result of one full check, made once per session and folder."""
     key = (s.sparkContext.applicationId, d)
-    if key not in _ISSUES:
+    if key not in _CHECKED:
         ctx, ready = context(s, d)
-        _ISSUES[key] = validate.metadata_issues(records(s, d), ctx, ready)
-    return _ISSUES[key]
+        _CHECKED[key] = validate.metadata_check(records(s, d), ctx, ready)
+    return _CHECKED[key]
+
+
+def all_issues(s, d):
+    return checked(s, d).issues
+
+
+def entries(column):
+    """A map as sorted text."""
+    shown = F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("<null>"))))
+    return F.array_join(F.array_sort(shown), "~")
+
+
+def as_text(rows):
+    """Validated records with their maps and lists as text."""
+    return rows.select(
+        "record_id", "status", "issue_id", entries("props").alias("props"), entries("generated_props").alias("generated"),
+        F.array_join("consent_codes", ",").alias("codes"))
+
+
+def validated_records(s, d):
+    ctx, _ = context(s, d)
+    return as_text(checked(s, d).written_back(ctx, F.lit("2024-05-06").cast("timestamp")))
 
 
 def statuses(s, d):
@@ -251,6 +274,7 @@ QUERIES = {
     "f04_cross_submission": cross_submission,
     "f04_cross_members": cross_members,
     "metadata_issues": lambda s, d: all_issues(s, d).select(*ISSUE),
+    "validated_records": validated_records,
     "g01_record_status": lambda s, d: statuses(s, d).select("record_id", "status", "n_errors", "n_warnings"),
     "g03_submission_status": submission_states,
     "g05_qc_rows": lambda s, d: roll.qc_rows(records(s, d), all_issues(s, d)).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.functions.faults import ISSUE_KEYS
@@ -33,6 +33,7 @@ class Context:
     study_prop: str = "study_name"
     consent_type: str | None = None  # node type of consent groups, and its property with their number
     consent_prop: str = "consent_group_number"
+    concept_codes: DataFrame | None = None  # cde_code, pv, concept_code
 
 
 def by_intention(records: DataFrame, submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,34 +81,68 @@ def matched_cells(records: DataFrame, ctx: Context, ready: Prepared) -> tuple[Da
     return properties.with_parsed(properties.with_terms(named, ready.index)), properties.list_terms(named, ready.index)
 
 
-def consent_codes(records: DataFrame, ctx: Context) -> DataFrame:
+def consent_codes(records: DataFrame, ctx: Context, among: DataFrame | None = None) -> DataFrame:
     """The consent codes of file records, and whether they contradict each other."""
     files = ctx.model_nodes.filter("is_file").select("data_commons", "model_version", "node_type")
-    reach = relations.consent_reach(records, ctx.releases, files, ctx.consent_type)
-    return relations.consent_codes(reach, records, ctx.releases, ctx.consent_type, ctx.consent_prop)
+    reach = relations.consent_reach(records, ctx.releases, files, ctx.consent_type, among)
+    return relations.consent_codes(
+        reach, records if among is None else among, ctx.releases, ctx.consent_type, ctx.consent_prop
+    )
 
 
-def metadata_issues(records: DataFrame, ctx: Context, ready: Prepared | None = None) -> DataFrame:
-    """All issues of a metadata check, after the rules of intention and release.
+@dataclass
+class Checked:
+    """What a metadata check found: issues, the cells it looked at, and consent codes by record (if there are any)."""
+
+    records: DataFrame
+    issues: DataFrame
+    matched: DataFrame
+    lists: DataFrame
+    consent: DataFrame | None
+
+    def written_back(self, ctx: Context, now: Column) -> DataFrame:
+        """The records as the check leaves them."""
+        generated = properties.concept_codes_of(self.matched.withColumn("value", F.col("original")), ctx.concept_codes)
+        codes = self.consent
+        if codes is None:
+            codes = self.records.sparkSession.createDataFrame([], "record_id STRING, codes ARRAY<STRING>")
+        fixes = properties.corrections(self.matched, self.lists)
+        return properties.written_back(self.records, self.issues, fixes, generated, codes, now)
+
+
+def metadata_check(
+    records: DataFrame, ctx: Context, ready: Prepared | None = None, among: DataFrame | None = None
+) -> Checked:
+    """A metadata check of ``records``, whose copies, parents and siblings are looked for ``among`` all records (by default
+    the same), after the rules of intention and release.
 
     The matched cells are stored once, for the checks on cells and for the corrections. All checks
     then go into one stored issue table in one job, so small ones don't wait for each other.
     """
     ready = ready or prepare(ctx)
     checked, deleting = by_intention(records, ctx.submissions)
+    around = checked if among is None else by_intention(among, ctx.submissions)[0]
     matched, lists = (stage(rows, name) for rows, name in zip(matched_cells(checked, ctx, ready), ("cells", "list-cells")))
     parts = [
-        *properties.property_issue_parts(checked, ready.facts, matched, lists),
-        *relations.relation_issue_parts(checked, ctx.releases, ctx.model_nodes, ctx.model_props, ctx.model_rels),
+        *properties.property_issue_parts(checked, ready.facts, matched, lists, around),
+        *relations.relation_issue_parts(checked, ctx.releases, ctx.model_nodes, ctx.model_props, ctx.model_rels, around),
         properties.file_name_issues(deleting, ready.facts),
     ]
+    consent = None
     if ctx.consent_type:
-        parts.append(relations.consent_issues(checked, consent_codes(checked, ctx)))
+        consent = stage(consent_codes(checked, ctx, around), "consent")
+        parts.append(relations.consent_issues(checked, consent))
     raised = stage(reduce(DataFrame.unionByName, [part.select(*ISSUE_COLUMNS) for part in parts]), "issues")
     kept = release_checks.without_pardoned(raised, records, ctx.releases, ctx.submissions)
     compared = corrected_records(checked, matched, lists).unionByName(deleting)
     changed = release_checks.release_issues(compared, ctx.releases, ctx.submissions, ready.facts)
-    return stage_all([kept.select(*ISSUE_COLUMNS), changed.select(*ISSUE_COLUMNS)], "issues")
+    issues = stage_all([kept.select(*ISSUE_COLUMNS), changed.select(*ISSUE_COLUMNS)], "issues")
+    return Checked(records, issues, matched, lists, consent)
+
+
+def metadata_issues(records: DataFrame, ctx: Context, ready: Prepared | None = None) -> DataFrame:
+    """All issues of a metadata check."""
+    return metadata_check(records, ctx, ready).issues
 
 
 def corrected_records(records: DataFrame, matched: DataFrame, lists: DataFrame) -> DataFrame:
