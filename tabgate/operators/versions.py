@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKET = "_bucket"
 
@@ -94,7 +95,7 @@ class Files:
 class VersionedTable:
     """Rows of one shape below a path; ``key`` deals them into buckets and must be in every row of a change."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: str, buckets: int = 64) -> None:
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
         self.shape = spark.createDataFrame([], schema).schema
         self._files = Files(spark, path)
