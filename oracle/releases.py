@@ -76,6 +76,25 @@ cte("falling", """
   SELECT l.child_type, l.child_id, f.depth + 1 FROM falling f JOIN rel_links l
     ON l.parent_type = f.node_type AND l.parent_id_value = f.node_id WHERE f.depth < 6""")
 
+# What is handed in to be released, the deleting submission first: of equal nodes the last row by file and line.
+cte("handed", """
+  SELECT * FROM (
+    SELECT *, CASE submission_id WHEN 'S7' THEN 2 ELSE 3 END AS turn, row_number() OVER (
+      PARTITION BY submission_id = 'S7', node_type, node_id
+      ORDER BY file_name || ' ' || printf('%012d', CAST(line_number AS BIGINT)) || ' ' || record_id DESC) AS nth
+    FROM recs WHERE coalesce(node_type, '') <> '' AND coalesce(node_id, '') <> '') WHERE nth = 1""")
+cte("sinking", """
+  SELECT h.node_type, h.node_id, 0 AS depth FROM handed h JOIN rel_recs o ON o.node_type = h.node_type AND o.node_id = h.node_id
+  WHERE turn = 2
+  UNION ALL
+  SELECT l.child_type, l.child_id, s.depth + 1 FROM sinking s JOIN rel_links l
+    ON l.parent_type = s.node_type AND l.parent_id_value = s.node_id WHERE s.depth < 6""")
+cte("second_release", """
+  SELECT o.node_type, o.node_id, o.submission_id, CASE WHEN k.node_id IS NULL THEN o.status ELSE 'Deleted' END AS status,
+         CASE WHEN k.node_id IS NOT NULL THEN '2024-05-06' END AS updated
+  FROM rel_recs o LEFT JOIN (SELECT DISTINCT node_type, node_id FROM sinking) k
+    ON k.node_type = o.node_type AND k.node_id = o.node_id""")
+
 # Exported cells of customers and orders, copies included.
 cte("xrecs", f"SELECT *, {KEY} AS k FROM recs WHERE node_type IN ('customer', 'order')")
 cte("xkinds", """
@@ -263,6 +282,15 @@ ORACLE = {
     "j12_below_deleted": """SELECT DISTINCT node_type, node_id FROM falling WHERE depth > 0""",
     "j13_file_urls": """SELECT node_type, node_id, CASE WHEN data_type <> 'Metadata Only' THEN 's3://dm/' || study_id || '/f' || node_id END
                         AS data_file_location FROM rchange WHERE change = 'insert'""",
+    "released_table": """
+      SELECT 2 AS version, node_type, node_id, status, submission_id, CAST(0 AS BIGINT) AS n_history, updated FROM second_release
+      UNION ALL
+      SELECT 3, coalesce(h.node_type, o.node_type), coalesce(h.node_id, o.node_id),
+        CASE WHEN h.node_id IS NULL THEN o.status ELSE 'Released' END, coalesce(h.submission_id, o.submission_id),
+        CASE WHEN h.node_id IS NULL THEN 0 WHEN o.node_id IS NULL THEN 1 ELSE 2 END,
+        CASE WHEN h.node_id IS NULL THEN o.updated WHEN o.node_id IS NOT NULL THEN '2024-05-06' END
+      FROM second_release o FULL JOIN (SELECT * FROM handed WHERE turn = 3) h
+        ON h.node_type = o.node_type AND h.node_id = o.node_id""",
     "j14_files_to_retire": "SELECT DISTINCT 'S7' AS submission_id, file_name FROM files WHERE has_info AND submission_id = 'S3'",
     "l01_l02_elements": "SELECT * FROM elems",
     "l03_synonyms": """SELECT s1 AS synonym, v1 AS term FROM firsts WHERE s1 IS NOT NULL

@@ -11,8 +11,9 @@ from tabgate.operators import files as H
 from tabgate.operators import issues as roll
 from tabgate.operators import release as J
 from tabgate.operators import vocabulary as L
+from tabgate.operators.versions import VersionedTable
 from tabgate.plans import check_queries, file_tables, star
-from tabgate.schema import EDGES, HISTORY
+from tabgate.schema import EDGES, HISTORY, RELEASES
 from tabgate.session import scratch_path, stage
 from tabgate.sources import records as scans
 
@@ -98,10 +99,10 @@ def status_after(s, d):
 # --- release -----------------------------------------------------------------------------------
 
 
-def to_release(s, d):
-    rows = check_queries.records(s, d).filter(F.col("node_type").isin("customer", "order"))
-    key = F.col("node_id").cast("bigint")
-    return rows.withColumns({
+def all_to_release(s, d):
+    """The records of all types, some of their properties blank or to be cleared."""
+    key = F.col("node_id").try_cast("bigint")
+    return check_queries.records(s, d).withColumns({
         "props": F.when(key % 14 == 0, F.transform_values("props", lambda k, v: F.when(
             k.isin("segment", "urgent"), " ").when(k == "totalprice", "<Delete>").otherwise(v))).otherwise(F.col("props")),
         "global_id": F.concat(F.lit("G:"), "node_id"),
@@ -110,6 +111,10 @@ def to_release(s, d):
     })
 
 
+def to_release(s, d):
+    return all_to_release(s, d).filter(F.col("node_type").isin("customer", "order"))
+
+
 def old_releases(s, d):
     rows = check_queries.context(s, d)[0].releases
     key = F.col("node_id").cast("bigint")
@@ -166,6 +171,29 @@ def below_deleted(s, d):
     return J.below_deleted(rel, gone).select("node_type", "node_id")
 
 
+def _released_table(s, d):
+    """The table of releases after the submission that deletes was released, and after the others were: two versions."""
+    table = VersionedTable(s, scratch_path(s, "releases"), RELEASES, "node_id", buckets=8)
+    gaps = {"generated_props": "map<string,string>", "data_file_location": "string", "created_at": "timestamp",
+            "updated_at": "timestamp", "history": HISTORY}
+    old = check_queries.context(s, d)[0].releases.withColumns({c: F.lit(None).cast(kind) for c, kind in gaps.items()})
+    table.upsert(old, J.NODE)
+    subs = star.submissions(s, d).withColumn("file_bucket", F.lit("dm"))
+    rows, now = all_to_release(s, d), F.lit(NOW).cast("timestamp")
+    deleting = F.col("submission_id") == "S7"
+    for turn, part in enumerate((rows.filter(deleting), rows.filter(~deleting))):
+        J.release_into(table, part, subs, star.model_rels(s), now, mark=("release", turn))
+    return table
+
+
+def released_table(s, d):
+    table = _released_table(s, d)
+    both = [table.read(v).withColumn("version", F.lit(v)) for v in (2, 3)]
+    return both[0].unionByName(both[1]).select(
+        "version", "node_type", "node_id", "status", "submission_id", F.coalesce(F.size("history"), F.lit(0)).cast("bigint").alias("n_history"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 def retired(s, d):
     return J.files_to_retire(file_tables.file_records(s, d).withColumn(
         "submission_id", F.when(F.col("submission_id") == "S3", "S7").otherwise(F.col("submission_id"))), star.submissions(s, d))
@@ -371,6 +399,7 @@ QUERIES = {
     "j11_release_history": release_history,
     "j12_below_deleted": below_deleted,
     "j13_file_urls": file_urls,
+    "released_table": released_table,
     "j14_files_to_retire": retired,
     "l01_l02_elements": lambda s, d: element_rows(elements(s, d).drop("raw")),
     "l03_synonyms": lambda s, d: L.synonym_pairs(elements(s, d)),
