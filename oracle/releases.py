@@ -109,6 +109,18 @@ cte("xcells", """
   UNION ALL SELECT record_id, node_type, 'global_id', 'G:' || node_id FROM xrecs WHERE node_type = 'customer'
   UNION ALL SELECT record_id, node_type, 'flag', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END FROM xrecs
   UNION ALL SELECT record_id, x.node_type, parent_type || '.' || prop, value FROM xkinds JOIN xrecs x USING (record_id)""")
+# Exported cells of all types.
+cte("yrecs", "SELECT *, CASE WHEN regexp_full_match(node_id, '[0-9]+') THEN CAST(node_id AS BIGINT) END AS k FROM recs WHERE coalesce(node_type, '') <> ''")
+cte("ycells", """
+  SELECT x.node_type, p.prop AS "column", CASE WHEN x.k % 14 = 0 AND p.prop IN ('segment', 'urgent') THEN ' '
+         WHEN x.k % 14 = 0 AND p.prop = 'totalprice' THEN '<Delete>' ELSE p.value END AS value
+  FROM yrecs x JOIN props p USING (record_id) WHERE p.prop <> 'type'
+  UNION ALL SELECT node_type, 'type', node_type FROM yrecs
+  UNION ALL SELECT node_type, 'global_id', 'G:' || node_id FROM yrecs WHERE node_type IN (SELECT node_type FROM mnodes WHERE is_main)
+  UNION ALL SELECT node_type, 'flag', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END FROM yrecs
+  UNION ALL SELECT x.node_type, e.parent_type || '.' || arg_min(e.parent_id_prop, e.pos),
+    string_agg(e.parent_id_value, ' | ' ORDER BY e.pos)
+  FROM yrecs x JOIN edges e USING (record_id) GROUP BY x.node_type, x.record_id, e.parent_type""")
 CUSTOMER_COLUMNS = ["customer_id", "acctbal", "flag", "galaxy.galaxy_id", "global_id", "name", "nation.nation_id",
                     "nickname", "part.part_id", "segment"]
 
@@ -246,6 +258,11 @@ ORACLE = {
                                 GROUP BY record_id""",
     "j02_written_orders": """SELECT 'order' AS type, node_id AS order_id, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
       (SELECT value FROM xkinds q WHERE q.record_id = x.record_id) AS customer FROM xrecs x WHERE node_type = 'order'""",
+    "j02_all_written": """
+      SELECT c.node_type, "column", CASE value WHEN 'True' THEN 'true' WHEN 'False' THEN 'false' ELSE value END AS value, count(*) AS n,
+        CAST(CASE WHEN "column" = 'type' THEN 0 WHEN "column" = m.id_prop THEN 1
+                  ELSE 2 END AS BIGINT) AS place
+      FROM ycells c LEFT JOIN mnodes m USING (node_type) WHERE value <> '' GROUP BY ALL""",
     "j04_export_counts": "SELECT * FROM fcounts",
     "j05_file_totals": "SELECT submission_id, n_files, total_size, size_text FROM fsizes",
     "j06_release_summary": """

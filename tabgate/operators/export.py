@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgate.functions.ids import with_file_prefix
@@ -73,13 +73,55 @@ def export_table(rows: DataFrame, node_type: str, id_prop: str) -> DataFrame:
     return mine.select(*[F.try_element_at("columns", F.lit(c)).alias(c) for c in order])
 
 
-def write_tables(rows: DataFrame, model_nodes: list[tuple[str, str]], folder: str) -> None:
-    """One folder of tab-separated files per node type. ``model_nodes``: (node type, key property)."""
-    for node_type, id_prop in model_nodes:
-        table = export_table(rows, node_type, id_prop)
-        table.write.mode("overwrite").option("sep", "\t").option("header", "true").option("emptyValue", "").csv(
-            f"{folder}/{node_type}"
-        )
+def column_orders(rows: DataFrame, model_nodes: DataFrame) -> DataFrame:
+    """J2 (node_type, order) of all types: type first, key second, the others by name. One row per type, as long as the
+    model has columns for it."""
+    names = rows.select("node_type", F.explode(F.map_keys("columns")).alias("name")).distinct()
+    keys = model_nodes.groupBy("node_type").agg(F.min("id_prop").alias("id_prop"))
+    listed = names.groupBy("node_type").agg(F.sort_array(F.collect_list("name")).alias("names")).join(keys, "node_type", "left")
+    key = F.filter(F.array("id_prop"), lambda k: F.coalesce(F.array_contains("names", k), F.lit(False)))
+    rest = F.filter("names", lambda n: (n != "type") & ~F.array_contains(key, n))
+    return listed.select("node_type", F.concat(F.array(F.lit("type")), key, rest).alias("order"))
+
+
+def tsv_line(cells: Column) -> Column:
+    """Cells as a line: null as nothing, quotes around what holds a tab, a quote or a line end."""
+    def shown(cell: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(F.when(cell.rlike('[\t\n\r"]'), quoted).otherwise(cell), F.lit(""))
+
+    return F.array_join(F.transform(cells, shown), "\t")
+
+
+def write_tables(rows: DataFrame, model_nodes: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> None:
+    """The tab-separated tables of all node types in one job, below ``folder``/node_type=<type>/file=<n>, each file with
+    the header of its type.
+
+    Rows are dealt over as many files as their type needs, and a header joins each; nothing about the data reaches the
+    driver. Within a file the header stands first and the rows follow by their text.
+    """
+    typed = rows.filter(F.coalesce("node_type", F.lit("")) != "")
+    counts = typed.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+    heads = column_orders(typed, model_nodes).join(counts, "node_type").withColumn(
+        "n_files", F.ceil(F.col("n") / F.lit(rows_per_file)).cast("int")
+    )
+    lines = typed.select("node_type", "columns").join(heads.select("node_type", "order", "n_files"), "node_type").select(
+        "node_type", F.lit(1).alias("part"), "n_files",
+        tsv_line(F.transform("order", lambda c: F.try_element_at("columns", c))).alias("value"),
+    ).select("node_type", F.pmod(F.xxhash64("value"), F.col("n_files")).cast("int").alias("file"), "part", "value")
+    headers = heads.select(
+        "node_type", F.explode(F.sequence(F.lit(0), F.col("n_files") - 1)).alias("file"), F.lit(0).alias("part"),
+        tsv_line(F.col("order")).alias("value"),
+    )
+    every = lines.unionByName(headers).repartition("node_type", "file")
+    every.sortWithinPartitions("node_type", "file", "part", "value").select("node_type", "file", "value").write.mode(
+        "overwrite").partitionBy("node_type", "file").text(folder)
+
+
+def read_table(spark: SparkSession, folder: str, node_type: str) -> DataFrame:
+    """One type's table as it was written."""
+    reader = spark.read.option("sep", "\t").option("header", "true").option("escape", '"').option("multiLine", "true")
+    return reader.option("recursiveFileLookup", "true").csv(f"{folder}/node_type={node_type}")
 
 
 def with_presence(records: DataFrame, releases: DataFrame) -> DataFrame:

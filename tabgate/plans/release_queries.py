@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgate.operators import backfill as N
@@ -214,15 +217,41 @@ def export_customers(s, d):
     return O.export_table(exported(s, d), "customer", "customer_id")
 
 
+def _written(s, d):
+    """The tables of all types as tab-separated text, in several files each, and their types."""
+    def make():
+        folder = scratch_path(s, "export")
+        O.write_tables(O.export_rows(all_to_release(s, d), star.model_nodes(s)), star.model_nodes(s), folder, rows_per_file=5_000)
+        return folder
+
+    key = (s.sparkContext.applicationId, d, "written")
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
 def export_written(s, d):
     """The order table written as tab-separated text and read back."""
-    folder = scratch_path(s, "export")
-    O.write_tables(exported(s, d), [("order", "order_id")], folder)
-    back = s.read.option("sep", "\t").option("header", "true").csv(f"{folder}/order")
+    back = O.read_table(s, _written(s, d), "order")
     return back.select("type", "order_id", "flag", "`customer.customer_id`").withColumnRenamed(
         "customer.customer_id", "customer")
 
 
+def all_written(s, d):
+    """All tables read back: how often each value stands in each column, and whether that is first, second (the key; a type
+    that the model doesn't know has none) or later."""
+    parts = []
+    known = [n["node_type"] for n in star.model_node_rows()]
+    for kind in [*known, "custmer"]:
+        back = O.read_table(s, _written(s, d), kind)
+        cells = F.array(*[
+            F.struct(F.lit(at if at < 1 + (kind in known) else 2).alias("place"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for at, c in enumerate(back.columns)])
+        parts.append(back.select(F.lit(kind).alias("node_type"), F.inline(cells)).filter("value IS NOT NULL"))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("node_type", "column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").cast("bigint").alias("place"))
+
+
 def counts(s, d):
     return O.export_counts(check_queries.records(s, d), check_queries.context(s, d)[0].releases, star.submissions(s, d))
 
@@ -389,6 +418,7 @@ QUERIES = {
     "j01_j03_export_cells": export_cells,
     "j02_export_customers": export_customers,
     "j02_written_orders": export_written,
+    "j02_all_written": all_written,
     "j04_export_counts": counts,
     "j05_file_totals": file_totals,
     "j06_release_summary": summary,
