@@ -249,11 +249,12 @@ def with_terms(cells: DataFrame, index: DataFrame) -> DataFrame:
     too large to broadcast, a salt spreads them over the shuffle.
     """
     kind, value = F.col("type"), F.col("value")
+    cells = cells if "number" in cells.columns else with_parsed(cells)  # numbers are read once, for this and the checks
     shown = F.when(
         has_value() & F.col("vocab_id").isNotNull(),
         F.when(kind == "string", strip(value))
         .when(kind == "integer", typed.integer_text(value))
-        .when(kind == "number", typed.number_text(typed.as_number(value))),
+        .when(kind == "number", typed.number_text(F.col("number"))),
     )
     rows = cells.withColumn("shown", shown).withColumn("_key", F.lower("shown"))
     rows = rows.withColumn(

@@ -78,7 +78,7 @@ def matched_cells(records: DataFrame, ctx: Context, ready: Prepared) -> tuple[Da
     """All cells with rule, registered name and vocabulary match; and the list cells."""
     long = properties.cells(records, ready.rules, ready.facts)
     named = properties.named_cells(long, ready.names, ctx.program_prop, ctx.study_prop)
-    return properties.with_parsed(properties.with_terms(named, ready.index)), properties.list_terms(named, ready.index)
+    return properties.with_terms(properties.with_parsed(named), ready.index), properties.list_terms(named, ready.index)
 
 
 def consent_codes(records: DataFrame, ctx: Context, among: DataFrame | None = None) -> DataFrame:
