@@ -5,6 +5,11 @@ of the blocks before and after it, and where it stands (in an article, in furnit
 advert, a heading). A tree, grown from the labelled blocks of LABELLED below, decides on each block; the kept ones are
 joined in page order.
 
+Furniture is a graded feature: 1 by the element or by a class or id name whose head word is listed (`site-footer`), 0.5 by a
+name that only holds such a word (`related-work`), 0 by names of layouts (`no-comments`, `with-sidebar`). A container that
+holds what a page is about isn't furniture whatever it is called: the page's first article, or its title and half of
+its words, or, for forms and mere hints, a third of its words.
+
 Defined results: a null or empty page has an empty text; scripts, styles, comments and what is not shown are no text;
 a tag that is never closed lasts to the end of its container, an unclosed script or comment to the end of the page;
 repeated pages are extracted each; further columns are not read.
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -124,6 +130,22 @@ LABELLED = """
 7 0 5 0 6 0 0 0 0  0
 3 0.6 7 0 3 1 0 0 0  0
 2 0 0 0 1 1 0 0 0  0
+60 0 30 0 60 0 1 0.5 0  1
+25 0 2 0 60 0 1 0.5 0  1
+120 0.05 2 0 0 0 1 0.5 0  1
+2 0 60 0 40 0 1 0.5 1  1
+4 0 9 0 12 0 1 0.5 1  1
+15 0.1 40 0 30 0 1 0.5 0  1
+6 0.8 60 0 4 0.9 1 0.5 0  0
+3 1 2 1 3 1 1 0.5 0  0
+9 0.7 3 0 0 0 1 0.5 0  0
+80 0 6 0 50 0 0 0.5 0  1
+30 0 60 0 30 0 0 0.5 0  1
+45 0.1 2 0 3 1 0 0.5 0  1
+5 0.6 60 0 4 1 0 0.5 0  0
+4 0 3 1 6 0.5 0 0.5 0  0
+8 0 3 1 5 1 0 0.5 0  0
+30 0.8 4 1 9 1 0 0.5 0  0
 """
 
 #: Elements of HTML by how they are read.
@@ -149,6 +171,14 @@ FURNITURE_WORDS = frozenset(
     " social related recommended recommendations trending widget widgets search form contentinfo complementary skip hidden".split()
 )
 IN_ARTICLE = frozenset("header masthead".split())  # a title may stand in these
+#: Words that tell what follows them is absent or a matter of layout; and words that say nothing at the end of a name.
+LAYOUT_WORDS = frozenset("no not with without has have hide layout".split())
+PLAIN_WORDS = frozenset(
+    "section list area box wrap wrapper container content inner outer item items block bar left right top bottom main body text"
+    " title link links row col column group panel".split()
+)
+#: Names of readers' comments; an article in one of these is a comment.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -158,34 +188,60 @@ NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    words = {tag} if tag in FURNITURE_TAGS else set()
-    if attributes and tag not in ("html", "body", "main"):
-        for name, *values in NAMED.findall(attributes):
-            value, name = "".join(values).lower(), name.lower()
-            if name in ("hidden",) or name == "aria-hidden" and value == "true":
-                words.add("hidden")
-            elif name == "style":
-                if "display:none" in value.replace(" ", ""):
-                    words.add("hidden")
-            else:
-                words.update(w for w in re.split(r"[^a-z]+", value) if w in FURNITURE_WORDS)
-    return bool(words - IN_ARTICLE if in_article else words)
+#: How a container is marked; all but FIRM may turn out to hold the page's text.
+FIRM, FORM, NAME, HINT, ARTICLE = range(5)
+
+
+def _mark(tag: str, attributes: str, in_article: bool) -> int | None:
+    """How the element itself is marked as furniture, or None."""
+    if tag == "form":
+        mark = FORM
+    else:
+        mark = FIRM if tag in FURNITURE_TAGS and not (in_article and tag in IN_ARTICLE) else None
+    if mark == FIRM or not attributes or tag in ("html", "body", "main"):
+        return mark
+    for name, *values in NAMED.findall(attributes):
+        value, name = "".join(values).lower(), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return FIRM
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                found = _name_mark(token, in_article)
+                if found is not None:
+                    mark = found if mark is None else min(mark, found)
+    return mark
+
+
+@lru_cache(maxsize=4096)
+def _name_mark(token: str, in_article: bool) -> int | None:
+    pieces = [p for p in re.split(r"[^a-z]+", token) if p]
+    while len(pieces) > 1 and pieces[-1] in PLAIN_WORDS:
+        pieces.pop()
+    marks = [p in FURNITURE_WORDS and not (in_article and p in IN_ARTICLE) for p in pieces]
+    if not any(marks) or LAYOUT_WORDS.intersection(pieces):
+        return None
+    if COMMENT_WORDS.intersection(pieces):
+        return FIRM
+    return NAME if marks[-1] else HINT
 
 
 class Page:
-    """Collects the blocks of one page: text, words, link words, in an article, in furniture, heading."""
+    """Collects the blocks of one page: text, words, share of link words, in an article, marked container, heading."""
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, in an article, in furniture
+        self.open: list[tuple[str, bool, int]] = []  # tag, in an article, marked container
+        self.n_open: Counter[str] = Counter()
+        # Marked containers, and articles inside them: parent, mark, words, whether a title or the first article is in it.
+        self.marked: list[list] = []
         self.parts: list[tuple[str, bool]] = []
-        self.heading = self.link = False
+        self.heading = ""
+        self.link = self.seen_article = False
         self._read(source)
         self._close()
 
-    def _where(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def _where(self) -> tuple[bool, int]:
+        return self.open[-1][1:] if self.open else (False, -1)
 
     def _close(self) -> None:
         if self.parts:
@@ -193,13 +249,17 @@ class Page:
             if text:
                 words = len(text.split(" "))
                 linked = len(" ".join(html.unescape(p) for p, link in self.parts if link).split())
-                self.blocks.append((text, words, min(1.0, linked / words), *self._where(), self.heading))
+                article, within = self._where()
+                self.blocks.append((text, words, min(1.0, linked / words), article, within, bool(self.heading)))
+                if within >= 0:
+                    self.marked[within][2] += words
+                    self.marked[within][3] |= self.heading == "h1"
             self.parts = []
 
     def _tag(self, closing: str, tag: str, attributes: str) -> None:
         if tag in BLOCK_TAGS:
             self._close()
-            self.heading = not closing and tag in HEADINGS
+            self.heading = tag if not closing and tag in HEADINGS else ""
         elif tag in SPACE_TAGS:
             self.parts.append((" ", False))
         if tag == "a":
@@ -207,25 +267,37 @@ class Page:
         if tag not in CONTAINERS:
             return
         if closing:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    self._moved(i)
-                    break
+            if self.n_open[tag]:  # what closes nothing isn't looked for
+                at = len(self.open) - 1
+                while self.open[at][0] != tag:
+                    at -= 1
+                self._leave(at)
         elif not attributes.rstrip().endswith("/"):
             if tag == "li" and self.open and self.open[-1][0] == "li":  # an item ends where the next begins
-                self.open.pop()
-            article, furniture = self._where()
-            own = _is_furniture(tag, attributes, article)
-            if tag in ("article", "main") and not own:
-                furniture, article = False, True  # what was left open before it doesn't hold it
-            if own != furniture and own:
+                self._leave(len(self.open) - 1)
+            article, within = self._where()
+            mark = _mark(tag, attributes, article)
+            if mark is not None:
                 self._close()
-            self.open.append((tag, article, furniture or own))
-
-    def _moved(self, i: int) -> None:
-        if self._where() != (self.open[i - 1][1:] if i else (False, False)):
+                within = self._enter(within, mark)
+            elif tag in ("article", "main"):
+                # What was left open before the first article doesn't hold it.
+                if within >= 0 and not self.seen_article:
+                    within = self._enter(within, ARTICLE)
+                article = self.seen_article = True
+            self.open.append((tag, article, within))
+            self.n_open[tag] += 1
+
+    def _enter(self, within: int, mark: int) -> int:
+        self.marked.append([within, mark, 0, False, mark == ARTICLE])
+        return len(self.marked) - 1
+
+    def _leave(self, at: int) -> None:
+        if self._where() != (self.open[at - 1][1:] if at else (False, -1)):
             self._close()
-        del self.open[i:]
+        for tag, *_ in self.open[at:]:
+            self.n_open[tag] -= 1
+        del self.open[at:]
 
     def _read(self, source: str) -> None:
         at = 0
@@ -248,13 +320,30 @@ class Page:
                 continue
             self._tag(closing, tag, attributes)
 
+    def _furniture(self) -> list[float]:
+        """How far each marked container is furniture: by its own mark, if it isn't what holds the text, or by what it is in."""
+        total = sum(b[1] for b in self.blocks)
+        for within, _, words, title, article in reversed(self.marked):  # what is inside comes later in the list
+            if within >= 0:
+                outer = self.marked[within]
+                outer[2] += words
+                outer[3] |= title
+                outer[4] |= article
+        grades: list[float] = []
+        for within, mark, words, title, article in self.marked:
+            holds = article or title and 2 * words > total or mark in (FORM, HINT) and 3 * words > total
+            own = 1.0 if mark == FIRM else 0.0 if holds else 0.5 if mark == HINT else 1.0
+            grades.append(0.0 if mark == ARTICLE else max(own, grades[within] if within >= 0 else 0.0))
+        return grades
+
     def features(self) -> np.ndarray:
         if not self.blocks:
             return np.zeros((0, len(COLUMNS)))
         own = np.array([[b[1], b[2]] for b in self.blocks], float)
         before, after = np.zeros_like(own), np.zeros_like(own)
         before[1:], after[:-1] = own[:-1], own[1:]
-        place = np.array([b[3:6] for b in self.blocks], float)
+        grades = [*self._furniture(), 0.0]  # the last stands for no container
+        place = np.array([(b[3], grades[b[4]], b[5]) for b in self.blocks], float)
         return np.column_stack([own, before, after, place])
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,77 @@ def test_query_columns(spark):
     got = X.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
     assert sorted((repr(r.page_id), r.n_chars) for r in got) == [("1", len(X.main_text(PAGE)))] * 2 + [("2", 0), ("None", 1)]
     assert X.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+STORY = ["A plain title", *[" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two", "three")], "Nobody who was asked on that day could say what came of it in the end, and so they went home."]
+
+
+def story() -> str:
+    return f"<h1>{STORY[0]}</h1>" + "".join(f"<p>{t}</p>" for t in STORY[1:])
+
+
+MENU = "<nav><a href=/a>Home</a> <a href=/b>News</a></nav>"
+ASIDE = "<div class='sidebar'><h3>Most read</h3><p>Some other story that many people read in these days</p></div>"
+FOOT = "<div id='site-footer'>All rights reserved by the people who own this page</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='with-sidebar'>{MENU}<div>{story()}</div>{ASIDE}</div>{FOOT}",
+    f"<div id='content' class='no-comments'>{story()}</div>{FOOT}",
+    f"{MENU}<article class='post no-sidebar'>{story()}</article>{ASIDE}",
+    f"{MENU}<div class='social-science'>{story()}</div>{FOOT}",
+    f"<form id='aspnetForm'>{MENU}<div>{story()}</div>{ASIDE}{FOOT}</form>",
+    f"<div class='content-sidebar-wrap'><main>{story()}</main>{ASIDE}</div>{FOOT}",
+    f"<div class='page-header'>{MENU}</div><div class='post-comments-open'></div><article>{story()}</article>{FOOT}",
+    f"<aside><article>{story()}</article></aside>",
+])
+def test_wrappers_keep_their_text(page):
+    assert X.main_text(page) == "\n".join(STORY)
+
+
+def test_a_section_with_a_hint_in_its_name_stays():
+    more = " ".join(f"four{i}" for i in range(30))
+    page = f"<article>{story()}<section id='related-work'><h2>Related work</h2><p>{more}</p></section></article>"
+    assert X.main_text(page) == "\n".join([*STORY, "Related work", more])
+
+
+@pytest.mark.parametrize("holder", ["<div id='comments'>{}</div>", "<section class='post-comments'><article>{}</article></section>",
+                                    "<ol class='comment-list'><li>{}</li></ol>", "<div class='user-comments-area'>{}</div>"])
+def test_comments_go_however_long(holder):
+    said = "".join(f"<p>{' '.join(f'said{i}x{j}' for j in range(60))}</p>" for i in range(20))
+    assert X.main_text(f"<article>{story()}</article>" + holder.format(said)) == "\n".join(STORY)
+
+
+#: Pages of other making than the labelled blocks: each block with 1 if it belongs to the text.
+HELD_OUT = [
+    [("<ul class=menu><li><a href=/>Start</a></li><li><a href=/w>World</a></li></ul>", 0), ("<div class=story><h2>Rain again</h2></div>", 1),
+     ("<div class=story><p>" + "It rained for the third day in the valley and nobody was surprised at all. " * 3 + "</p></div>", 1),
+     ("<div class=story><p>" + "The river stayed below its banks, said those who measure it each hour. " * 2 + "</p></div>", 1),
+     ("<div class='promo-box'><p>Read on with a trial month at no cost</p></div>", 0), ("<p><a href=/x>Older post</a> <a href=/y>Newer post</a></p>", 0)],
+    [("<table><tr><td><a href=1>Index</a></td><td><a href=2>Next</a></td></tr></table>", 0), ("<h1>Notes on soup</h1>", 1),
+     ("<blockquote>" + "Soup is made of water and of time and of what the garden gave on that day. " * 3 + "</blockquote>", 1),
+     ("<pre>" + "two onions and a bay leaf go in before anything else is cut or washed " * 3 + "</pre>", 1),
+     ("<div role=contentinfo>Printed with care in the year nine</div>", 0)],
+    [("<div class='cookie-bar'>This page keeps cookies to know you again</div>", 0), ("<main><h1>Bridges</h1></main>", 1),
+     ("<main><p>" + "A bridge that sways is safe as long as it was made to sway, they wrote. " * 4 + "</p></main>", 1),
+     ("<main><ul><li>It is long.</li></ul></main>", 1), ("<main><div class='share-links'><a href=f>F</a> <a href=t>T</a></div></main>", 0),
+     ("<form><p>Your name and mail, please</p><button>Send</button></form>", 0), ("<footer><p>Bridge people, all rights reserved</p></footer>", 0)],
+]
+
+
+def test_held_out_blocks():
+    wrong, total = 0, 0
+    for page in HELD_OUT:
+        got = X.main_text("".join(source for source, _ in page)).split("\n")
+        for source, keep in page:
+            for text in [b[0] for b in X.Page(source).blocks]:
+                total += 1
+                wrong += (text in got) != bool(keep)
+    assert total >= 20 and wrong <= total // 20, f"{wrong} of {total}"
+
+
+@pytest.mark.parametrize("source", ["<div>" * 20000 + "</span>" * 20000, "<div class='ad'>" * 8000 + "x" + "</div>" * 8000, "<li>" * 30000])
+def test_deep_nesting_takes_linear_time(source):
+    start = time.perf_counter()
+    X.main_text(source)
+    assert time.perf_counter() - start < 2
