@@ -11,11 +11,13 @@ Equal fingerprints are one node, so a group of copies is never paired. A bucket
 one its verified pairs join it with, which joins what all its pairs would.
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; repeated rows get the same
-result each; a null id is skipped as a name of a class unless the class has no other; further columns are not read.
+result each; rows without id link like any other, but don't name a class: one of such rows alone has a null name; further
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -67,18 +69,44 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, width: int = 4, word_sets: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, _key, fp): fp is the 64-bit fingerprint as a signed number, from whole texts."""
+#: Bands of min-hashes: a pair of similarity s shares one with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS.
+BANDS, BAND_ROWS = 16, 4
+ORDERS = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+SHINGLES_AT_ONCE = 4096
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's least hashes under BANDS * BAND_ROWS orders; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(len(ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
+        some = shingles[None, at : at + SHINGLES_AT_ONCE]
+        np.minimum(least, ((some ^ (ORDERS[:, None] >> np.uint64(7))) * ORDERS[:, None]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mixed(keys ^ row)
+    return keys.view(np.int64)
+
+
+def fingerprints(
+    docs: DataFrame, width: int = 4, word_sets: bool = False, bands: bool = False, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, _key, fp[, bands]): fp is the 64-bit fingerprint as a signed number, from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                fps = [_signed(word_set_fingerprint(t) if word_sets else text_fingerprint(t, width)) for t in block.texts()]
-                yield pa.RecordBatch.from_arrays([block.batch["doc_id"], block.batch["_key"], pa.array(fps, pa.int64())], ["doc_id", "_key", "fp"])
+                texts = list(block.texts())
+                fps = [_signed(word_set_fingerprint(t) if word_sets else text_fingerprint(t, width)) for t in texts]
+                columns = {"doc_id": block.batch["doc_id"], "_key": block.batch["_key"], "fp": pa.array(fps, pa.int64())}
+                if bands:
+                    columns["bands"] = pa.array([band_keys(shingle_set(t, width)) for t in texts], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id)[1], F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, _key long, fp long")
+    return rows.mapInArrow(run, "doc_id long, _key long, fp long" + (", bands array<long>" if bands else ""))
 
 
 def n_blocks(n: int, radius: int) -> int:
@@ -177,12 +205,16 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def classes(printed: DataFrame, radius: int) -> DataFrame:
-    """(doc_id, ..., fp) -> the same rows with component_id, the smallest doc_id reachable over links."""
-    nodes = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
-    named = nodes.filter("node IS NOT NULL")  # a fingerprint of rows without ids links to nothing that has a name
-    joined = components(links(named, radius))
-    names = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return printed.join(names, "fp")
+    """(doc_id, ..., fp) -> the same rows with component_id, the smallest doc_id reachable over links.
+
+    Fingerprints stand for themselves in the links, whether their rows have ids or not; classes are named afterwards.
+    """
+    nodes = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    joined = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = stage(placed, "classes")
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return printed.join(placed.join(named, "component").select("fp", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -215,7 +247,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-SETS = "component long, node long, _key long, shingles binary"
+SETS = "component long, first long, _key long, shingles binary"
 
 
 @frees_memory
@@ -225,7 +257,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             sets = [shingle_set(t, width).tobytes() for t in block.texts()]
             part = block.batch
             yield pa.RecordBatch.from_arrays(
-                [part["component"], part["node"], part["_key"], pa.array(sets, pa.binary())], ["component", "node", "_key", "shingles"]
+                [part["component"], part["first"], part["_key"], pa.array(sets, pa.binary())], ["component", "first", "_key", "shingles"]
             )
 
 
@@ -235,23 +267,54 @@ def _like_leader(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
             similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) < least
             for x, y in zip(batch["shingles"], batch["led"])
         ]
-        yield batch.filter(pa.array(far, pa.bool_())).select(["component", "node", "_key", "shingles"])
+        yield batch.filter(pa.array(far, pa.bool_())).select(["component", "first", "_key", "shingles"])
+
+
+class Kept:
+    """Shingle sets that stay, found by the shingles they share with another one.
+
+    Two sets of similarity `least` share a shingle among the n - ceil(least * n) + 1 smallest hashes of each (n: its
+    size), as all that is shared would have to lie in what is left otherwise. So a set is looked up by these alone.
+    """
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.sets: list[np.ndarray] = []
+        self.holders: dict[int, list[int]] = {}
+
+    def _prefix(self, own: np.ndarray) -> list[int]:
+        return own[: len(own) - math.ceil(self.least * len(own) - 1e-9) + 1].tolist()
+
+    def takes(self, own: np.ndarray) -> bool:
+        """Keeps the set unless it is like one kept before."""
+        prefix = self._prefix(own) if len(own) else [-1]  # sets without a shingle are alike
+        found = {i for h in prefix for i in self.holders.get(h, ())}
+        for i in found:
+            short, long = sorted((len(own), len(self.sets[i])))
+            if short >= self.least * long and similarity(own, self.sets[i]) >= self.least:
+                return False
+        for h in prefix:
+            self.holders.setdefault(h, []).append(len(self.sets))
+        self.sets.append(own)
+        return True
 
 
 def _leaders(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by component and node -> those that are like no earlier row kept of their component."""
-    component, kept = None, []
+    """Rows sorted by component, first id and key -> those that are like no earlier row kept of their component."""
+    component, kept = None, Kept(least)
     for batch in batches:
         out = []
-        for c, node, key, raw in zip(*[batch[x].to_pylist() for x in ("component", "node", "_key")], batch["shingles"]):
+        for c, first, key, raw in zip(*[batch[x].to_pylist() for x in ("component", "first", "_key")], batch["shingles"]):
             if c != component:
-                component, kept = c, []
-            own = np.frombuffer(raw.as_py(), np.uint64)
-            if all(similarity(own, other) < least for other in kept):
-                kept.append(own)
-                out.append((c, node, key))
+                component, kept = c, Kept(least)
+            if kept.takes(np.frombuffer(raw.as_py(), np.uint64)):
+                out.append((c, first, key))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["component", "node", "_key"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["component", "first", "_key"])
+
+
+#: Stands for the id of a text whose rows have none: it comes last.
+LAST_ID = (1 << 63) - 1
 
 
 def keep_one(
@@ -259,56 +322,66 @@ def keep_one(
 ) -> DataFrame:
     """The documents without near copies of kept ones, with all their columns.
 
-    Candidates are documents joined by links between fingerprints of their word sets; within such a class, in order of
-    doc_id, a document goes if its `width`-word shingles have a similarity of at least `least` to those of one that
-    stays. So one document of each group stays, and nothing goes that isn't like one that stays. Rows with the same id
-    and text stay or go together, but for rows without id. Word sets are fingerprinted, not shingles: of measured
-    pairs of similarity 0.8 and more, 99 % lie within 6 bits by word sets, 79 % by five-word shingles.
+    Candidates are texts joined by links, of two kinds: fingerprints of their word sets within `radius` bits, and a common
+    band of min-hashes of their `width`-word shingles. A pair of similarity 0.8 is missed by the bands with a chance of
+    2 in 10,000, one of 0.85 of 1 in 100,000. Within such a class, in order of doc_id (texts without one last, by
+    their hashes), a text goes if its shingles have a similarity of at least `least` to those of one that stays. So
+    one document of each group stays, and nothing goes that isn't like one that stays. Of rows of one text, one of the
+    first id stays, also where rows are repeated or have no id.
 
-    Documents of a class are first compared with its first document, in a join that needs no class in one task, again
-    and again while classes stay large and shrink; the rest of each class then goes through in order, holding only
-    the sets of those that stay.
+    Texts of a class are first compared with its first one, in a join that needs no class in one task, again and again
+    while classes stay large and shrink; the rest of each class then goes through in order, holding only the sets of
+    those that stay and looking them up by shared shingles.
     """
-    printed = stage(fingerprints(docs, word_sets=True, text=text, doc_id=doc_id), "fingerprints")
-    # Equal texts are one candidate: the first by id.
-    unique = stage(printed.groupBy("_key", "fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "texts")
-    nodes = stage(unique.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
-    joined = stage(components(links(nodes, radius)), "classes")
-    named = unique.join(nodes.withColumnRenamed("node", "_first"), "fp").join(joined, F.col("_first") == joined["node"], "left").select(
-        unique["node"], unique["_key"], F.coalesce("component", "_first").alias("component")
-    )
-    shared = named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-    members = stage(named.join(shared, "component"), "members")
-    ident, key = row_key(text, doc_id)
-    with_text = docs.select(ident, key, F.col(text).alias("text")).join(
-        sent_if_few(members.select(F.col("node").alias("_id"), "_key", "component", "node")), ["_id", "_key"]
+    printed = stage(fingerprints(docs, width, word_sets=True, bands=True, text=text, doc_id=doc_id), "fingerprints")
+    # Equal texts are one candidate.
+    own_id = F.coalesce("doc_id", F.lit(LAST_ID))
+    texts = stage(
+        printed.groupBy("_key").agg(F.min("fp").alias("fp"), F.min(own_id).alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")),
+        "texts",
     )
+    nodes = stage(texts.groupBy("fp").agg(F.min("_key").alias("node")), "nodes")
+    same_print = texts.join(nodes, "fp").select(F.col("_key").alias("a"), F.col("node").alias("b"))
+    banded = texts.select("_key", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("_key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
+    same_band = banded.join(shared, "band").select(F.col("_key").alias("a"), "b")
+    joined = components(links(nodes, radius).unionByName(same_print).unionByName(same_band))
+    members = stage(joined.join(texts.select("_key", "first"), F.col("node") == F.col("_key")).select("component", "first", "_key"), "members")
+    first_id = F.when(F.col("first") == LAST_ID, F.lit(NO_ID)).otherwise(F.col("first")).alias("_id")
+    ident, key = row_key(text, doc_id)
+    with_text = docs.select(ident, key, F.col(text).alias("text")).join(sent_if_few(members.select(first_id, "*")), ["_id", "_key"])
     rest = stage(
-        with_text.select("component", "node", "_key", "text").mapInArrow(lambda b: _sets(b, width), SETS).dropDuplicates(["node", "_key"]),
+        with_text.select("component", "first", "_key", "text").mapInArrow(lambda b: _sets(b, width), SETS).dropDuplicates(["first", "_key"]),
         "shingle-sets",
     )
     first_ones = []
     n = rest.count()
     while n:
-        heads = rest.groupBy("component").agg(F.min(F.struct("node", "_key")).alias("head"))
+        heads = rest.groupBy("component").agg(F.min(F.struct("first", "_key")).alias("head"))
         largest = rest.groupBy("component").count().agg(F.max("count")).first()[0]
         if largest <= 500:
             break
-        leaders = rest.join(heads, "component").filter("node = head.node AND _key = head._key").select("component", "node", "_key", "shingles")
+        leaders = rest.join(heads, "component").filter("first = head.first AND _key = head._key").select("component", "first", "_key", "shingles")
         leaders = stage(leaders, "leaders")
-        first_ones.append(leaders.select("component", "node", "_key"))
+        first_ones.append(leaders.select("component", "first", "_key"))
         led = rest.join(leaders.select("component", F.col("shingles").alias("led")), "component")
         left = stage(led.mapInArrow(lambda b: _like_leader(b, least), SETS), "shingle-sets")
         before, n, rest = n, left.count(), left
         if n > 0.98 * before:
             break
-    ordered = rest.repartition("component").sortWithinPartitions("component", "node", "_key")
-    kept = ordered.mapInArrow(lambda b: _leaders(b, least), "component long, node long, _key long")
+    ordered = rest.repartition("component").sortWithinPartitions("component", "first", "_key")
+    kept = ordered.mapInArrow(lambda b: _leaders(b, least), "component long, first long, _key long")
     for some in first_ones:
         kept = kept.unionByName(some)
-    like = members.join(kept.select("node", "_key"), ["node", "_key"], "left_anti").select(F.col("node").alias("_id"), "_key")
-    # Of equal texts the first id stays, if its text does.
-    all_ids = printed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("doc_id").alias("_own"), "_key")
-    firsts = unique.groupBy("_key").agg(F.min("node").alias("_first"), F.count(F.lit(1)).alias("n"))
-    copies = all_ids.join(firsts.filter("_first IS NOT NULL"), "_key").filter("_own IS NULL OR _own != _first").select("_id", "_key")
-    return without(docs, like.unionByName(copies).distinct(), text, doc_id)
+    like = members.join(kept.select("first", "_key"), ["first", "_key"], "left_anti").select(first_id, "_key")
+    ids = printed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), own_id.alias("_own"), "_key")
+    copies = ids.join(texts.filter("n > 1").select("_key", "first"), "_key").filter("_own != first").select("_id", "_key")
+    gone = stage(like.unionByName(copies).distinct(), "gone")
+    # Rows equal in id and text can't be told by these: one of them is taken.
+    repeated = ids.join(texts.filter("n > 1").select("_key"), "_key").groupBy("_id", "_key").count().filter("count > 1")
+    repeated = stage(repeated.join(gone, ["_id", "_key"], "left_anti").select("_id", "_key"), "repeated")
+    if not repeated.count():
+        return without(docs, gone, text, doc_id)
+    again = F.struct(*docs.columns).alias("_row")
+    ones = docs.select(ident, key, again).join(sent_if_few(repeated), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("_row.*")
+    return without(docs, gone.unionByName(repeated), text, doc_id).unionByName(ones)

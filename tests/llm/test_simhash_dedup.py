@@ -123,3 +123,50 @@ def test_large_class_is_reduced_by_its_first_document(spark):
     rows.append((1000, " ".join(far)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == slow_keep(rows)
+
+
+def test_rows_without_id_join_what_they_link(spark, monkeypatch):
+    chain = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 1 << 40 | 0x7F << 50}
+    printed = spark.createDataFrame([(5, 1, 0), (None, 2, 0b1111), (9, 3, 0b11111111), (None, 4, chain["d"])], "doc_id long, _key long, fp long")
+    got = {r.fp: r.component_id for r in S.classes(printed, 4).collect()}
+    assert got == {chain["a"]: 5, chain["b"]: 5, chain["c"]: 5, chain["d"]: None}
+
+
+def edited(base: list[str], how: str, n: int) -> list[str]:
+    if how == "added":
+        return base + [f"{how}{i}" for i in range(n)]
+    if how == "cut":
+        return base[n:]
+    if how == "front":
+        return [f"{how}{i}" for i in range(n)] + base
+    return base[: len(base) // 2] + [f"{how}{i}" for i in range(n)] + base[len(base) // 2 + n :]
+
+
+def test_keep_one_finds_added_cut_and_short_copies(spark):
+    rows, size = [], 0
+    for group, size in enumerate([15, 20, 25, 30, 40, 50, 80, 120, 200, 300, 400, 600] * 4):
+        base = words(1000 + group, size)
+        rows.append((group * 100, " ".join(base)))
+        for i, how in enumerate(("added", "cut", "front", "changed")):
+            for j, share in enumerate((0.04, 0.12, 0.18)):
+                rows.append((group * 100 + 1 + 10 * i + j, " ".join(edited(base, how, max(1, int(share * size))))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == slow_keep(rows)
+
+
+def test_one_row_of_repeated_rows_and_of_rows_without_id(spark):
+    text, other, near = " ".join(words(1, 100)), " ".join(words(2, 100)), " ".join(words(3, 200))
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, "c"), (None, other, "d"), (None, other, "e"), (None, near + " end", "f"), (8, near, "g"),
+            (None, None, "h"), (None, None, "i"), (3, "", "j")]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _own string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, text), (0, other), (8, near), (3, "")])
+
+
+def test_kept_sets_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    kept, slow = S.Kept(0.8), []
+    for i in range(400):
+        own = np.unique(rng.choice(np.arange(60 if i % 2 else 25, dtype=np.uint64), rng.integers(0, 40)))
+        alone = all(S.similarity(own, x) < 0.8 for x in slow)
+        slow += [own] * alone
+        assert kept.takes(own) == alone
