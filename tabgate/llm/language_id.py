@@ -27,7 +27,7 @@ from tabgate.llm.arrow_text import text_blocks
 from tabgate.llm.tables import bounded_batches
 
 PIECE = 96
-HIDDEN = 12
+HIDDEN = 16
 PER_LANGUAGE = 400
 SAMPLE_PIECES = 8
 STEPS = 260

@@ -5,7 +5,7 @@ pairs is half of sum over factors of (sum v_if x_i)^2 - sum v_if^2 x_i^2: linear
 
 Features: 2**WORD_BITS buckets of words in lower case (counts, scaled to length 1), the statistics named in STATISTICS
 and numeric columns of the row (log1p; null: 0), both standardised. Learned from at most SAMPLE labelled rows, the
-first by a hash of their id; scores cover whole texts of all documents.
+first by a hash of their id, of an id with several texts one; scores cover whole texts of all documents.
 
 Defined results: null and empty texts have no words and are scored like any other; a row without label is not learned
 from; without any label, or with one value of it only, the machine is untrained and scores 0.5; repeated rows are
@@ -177,11 +177,17 @@ def training_rows(
 ) -> tuple[Features, np.ndarray]:
     """Features and labels of at most SAMPLE labelled rows, made on the executors and gathered on the driver."""
     known = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("_labelled"), F.col(label).cast("int").alias("_label"))
+    known = known.distinct()
     # Ranks above what holds four times the sample are left out before the rows are ranked.
     known = known.filter(F.xxhash64("_labelled") <= rank_limit(known.count(), 4 * SAMPLE))
     chosen = known.orderBy(F.xxhash64("_labelled"), "_labelled", "_label").limit(SAMPLE)
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_labelled"))  # SAMPLE rows of two numbers
-    inputs = _inputs(rows, text, numbers, [F.col(doc_id).cast("long").alias("id"), F.col("_label").alias("label")])
+    # Of an id with several rows the text of least hash is learned from, so at most SAMPLE rows reach the driver; each
+    # task keeps one of its own before rows are shuffled.
+    held = F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias(text), *[F.col(c).alias(c) for c in numbers])
+    one = rows.groupBy("_labelled", "_label").agg(F.min(held).alias("_held"))
+    rows = one.select(F.col("_labelled"), F.col("_label"), *[F.col("_held")[c].alias(c) for c in (text, *numbers)])
+    inputs = _inputs(rows, text, numbers, [F.col("_labelled").cast("long").alias("id"), F.col("_label").alias("label")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

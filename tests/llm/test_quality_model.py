@@ -84,3 +84,13 @@ def test_no_labels_and_empty_tables(spark):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert {r.score for r in Q.quality_scores(docs, marks.limit(0)).collect()} == {0.5}
     assert Q.quality_scores(docs.limit(0), marks).collect() == []
+
+
+def test_an_id_of_many_rows_is_one_row_of_the_sample(spark):
+    rows = [(5, f"text {i % 300} of a hot id", i) for i in range(3000)] + [(6, "another text", 1), (None, "no id", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(7)
+    labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0), (8, 1)], "doc_id long, quality int")
+    features, y = Q.training_rows(docs, labels, "text", "doc_id", "quality", ("n_chars",))
+    assert sorted(y) == [0, 1] and len(features.numbers) == 2
+    again, _ = Q.training_rows(docs.repartition(3), labels, "text", "doc_id", "quality", ("n_chars",))
+    assert np.array_equal(features.numbers, again.numbers) and np.array_equal(features.bucket, again.bucket)
