@@ -17,7 +17,7 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -273,29 +273,41 @@ def _like_leader(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
 class Kept:
     """Shingle sets that stay, found by the shingles they share with another one.
 
-    Two sets of similarity `least` share a shingle among the n - ceil(least * n) + 1 smallest hashes of each (n: its
-    size), as all that is shared would have to lie in what is left otherwise. So a set is looked up by these alone.
+    The prefix of a set of n hashes are its n - ceil(least * n) + 1 smallest. Two sets of similarity `least` share a hash
+    of their prefixes, as all that is shared would otherwise lie in what is left of one. More than that: they share
+    `least` / (1 + `least`) of both sizes together, and what isn't in both prefixes lies in the rest of one of them, so
+    all but the longer rest must be shared by the prefixes.
     """
 
     def __init__(self, least: float) -> None:
         self.least = least
         self.sets: list[np.ndarray] = []
-        self.holders: dict[int, list[int]] = {}
+        self.sizes = array("q")
+        self.holders: dict[int, array] = {}
 
-    def _prefix(self, own: np.ndarray) -> list[int]:
-        return own[: len(own) - math.ceil(self.least * len(own) - 1e-9) + 1].tolist()
+    def _rest(self, sizes: np.ndarray) -> np.ndarray:
+        return np.ceil(self.least * sizes - 1e-9) - 1
+
+    def _near(self, n: int, lists: list[array]) -> np.ndarray:
+        """Which kept sets may be like one of size n, whose prefix is held in these lists; the likeliest first."""
+        sizes = np.array(self.sizes)
+        shared = np.bincount(np.frombuffer(b"".join(lists), np.int32), minlength=len(sizes))
+        needed = np.ceil(self.least / (1 + self.least) * (n + sizes) - 1e-9) - self._rest(np.maximum(n, sizes))
+        near = (shared >= np.maximum(needed, 1)) & (np.minimum(n, sizes) >= self.least * np.maximum(n, sizes) - 1e-9)
+        found = np.flatnonzero(near)
+        return found[np.argsort(-shared[found], kind="stable")]
 
     def takes(self, own: np.ndarray) -> bool:
         """Keeps the set unless it is like one kept before."""
-        prefix = self._prefix(own) if len(own) else [-1]  # sets without a shingle are alike
-        found = {i for h in prefix for i in self.holders.get(h, ())}
-        for i in found:
-            short, long = sorted((len(own), len(self.sets[i])))
-            if short >= self.least * long and similarity(own, self.sets[i]) >= self.least:
-                return False
+        n = len(own)
+        prefix = own[: n - int(self._rest(np.int64(n)))].tolist() if n else [-1]  # sets without a shingle are alike
+        lists = [self.holders[h] for h in prefix if h in self.holders]
+        if lists and any(similarity(own, self.sets[i]) >= self.least for i in self._near(n, lists).tolist()):
+            return False
         for h in prefix:
-            self.holders.setdefault(h, []).append(len(self.sets))
+            self.holders.setdefault(h, array("i")).append(len(self.sets))
         self.sets.append(own)
+        self.sizes.append(n)
         return True
 
 
