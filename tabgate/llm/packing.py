@@ -1,13 +1,14 @@
 """Packing documents into windows of tokens by multiway Karmarkar-Karp differencing.
 
 A document is its ids and an end id. Whole windows are cut off a document first; they need no partner. The rests of
-documents that fill about GROUP_WINDOWS windows form a group. In a group of k windows each rest starts as a partial
+documents that fill about GROUP_WINDOWS windows form a group. Its rests are cut into pieces of at most an eighth of the
+capacity, as two to five whole rests a window can't be balanced. In a group of k windows each piece starts as a partial
 partition with one filled window; the two partitions with the largest imbalance (largest minus smallest sum) are
-merged, the largest sums of one with the smallest of the other, until one is left. With two rests a window the sums
-then still differ by some dozen ids; what stands above the mean is cut off and moved to windows below it. If a window
-still exceeds the capacity, the group is partitioned anew with a window more.
+merged, the largest sums of one with the smallest of the other, until one is left. Windows then differ by a few ids. k
+starts at the fewest windows that could do; while a window exceeds the capacity, the group is partitioned anew with one
+more. Nothing is moved after differencing; pieces of a rest that follow each other in a window are one piece.
 
-Groups are formed as a task reads its rows, so nothing is shuffled; each pads less than one window.
+Groups are formed as a task reads its rows, so nothing is shuffled.
 
 Defined results: a null or empty text is its end id; repeated rows are packed each; further columns are not read; an
 empty table gives no windows.
@@ -28,8 +29,10 @@ from tabgate.llm.arrow_text import frees_memory, text_blocks
 from tabgate.llm.tables import bounded_batches
 from tabgate.llm.tokens import ENCODED_BYTES, encoder
 
-#: 512 windows: half a window of padding in each is 0.1 %.
-GROUP_WINDOWS = 512
+#: The windows of a group; one window more than needed is 0.4 % of padding.
+GROUP_WINDOWS = 256
+#: Pieces of rests are at most this part of a window.
+PIECES_A_WINDOW = 8
 #: Sequence ids: from this on, windows of groups; below, whole windows of single documents.
 GROUPED = 1 << 62
 
@@ -64,46 +67,31 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return np.array([place[i][0] for i in range(n)], np.int64)
 
 
-def levelled(sizes: np.ndarray, window: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
-    """For each window its pieces (piece, from, to), after what stands above the mean was cut off and moved below it."""
-    fill: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
-    for i, w in enumerate(window.tolist()):
-        fill[w].append((i, 0, int(sizes[i])))
-    sums = np.bincount(window, sizes, minlength=k).astype(np.int64)
-    mean, more = divmod(int(sums.sum()), k)
-    goal = np.full(k, mean)
-    goal[np.argsort(-sums, kind="stable")[:more]] += 1
-    spare: list[tuple[int, int, int]] = []
-    for w in np.flatnonzero(sums > goal).tolist():
-        excess = int(sums[w] - goal[w])
-        while excess:
-            i, a, b = fill[w].pop()
-            part = min(excess, b - a)
-            if part < b - a:
-                fill[w].append((i, a, b - part))
-            spare.append((i, b - part, b))
-            excess -= part
-    for w in np.flatnonzero(sums < goal).tolist():
-        lack = int(goal[w] - sums[w])
-        while lack:
-            i, a, b = spare.pop()
-            part = min(lack, b - a)
-            if part < b - a:
-                spare.append((i, a + part, b))
-            fill[w].append((i, a, a + part))
-            lack -= part
-    return fill
+def cut(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rest, the start in it and the length of each piece: pieces of `most` ids, and what is left of each rest."""
+    per_rest = -(-sizes // most)
+    rest = np.repeat(np.arange(len(sizes)), per_rest)
+    start = most * (np.arange(len(rest)) - np.repeat(np.cumsum(per_rest) - per_rest, per_rest))
+    return rest, start, np.minimum(sizes[rest] - start, most)
 
 
 def pack_group(sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
-    """For each window its pieces (piece, from, to), no window above the capacity."""
-    k = 1
+    """For each window its pieces (rest, from, to), no window above the capacity."""
+    rest, start, length = cut(sizes, max(capacity // PIECES_A_WINDOW, 1))
+    k = max(-(-int(sizes.sum()) // capacity), 1)
     while True:
-        if int(sizes.sum()) <= k * capacity:
-            fill = levelled(sizes, differencing(sizes, k), k)
-            if all(sum(b - a for _, a, b in w) <= capacity for w in fill):
-                return fill
-        k = max(k + 1, -(-int(sizes.sum()) // capacity))
+        window = differencing(length, k)
+        if np.bincount(window, length, minlength=k).max() <= capacity:
+            break
+        k += 1
+    fill: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
+    for w, i, a, n in zip(window.tolist(), rest.tolist(), start.tolist(), length.tolist()):
+        own = fill[w]
+        if own and own[-1][0] == i and own[-1][2] == a:
+            own[-1] = (i, own[-1][1], a + n)
+        else:
+            own.append((i, a, a + n))
+    return fill
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -28,13 +28,7 @@ def test_differencing_of_a_known_case():
     assert sorted(sums) == [14, 16]
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_groups_are_level_and_whole(seed):
-    rng = np.random.default_rng(seed)
-    sizes = rng.integers(1, 101, int(rng.integers(1, 300)))
-    fill = P.pack_group(sizes, 100)
-    sums = [sum(b - a for _, a, b in w) for w in fill]
-    assert max(sums) <= 100 and max(sums) - min(sums) <= 1 and len(fill) == -(-int(sizes.sum()) // 100)
+def whole(fill, sizes):
     parts = defaultdict(list)
     for w in fill:
         for i, a, b in w:
@@ -44,6 +38,40 @@ def test_groups_are_level_and_whole(seed):
         assert edges[0][0] == 0 and edges[-1][1] == size and all(x[1] == y[0] for x, y in zip(edges, edges[1:]))
 
 
+def test_cut_rests():
+    rest, start, length = P.cut(np.array([5, 1, 4, 9]), 4)
+    assert rest.tolist() == [0, 0, 1, 2, 3, 3, 3]
+    assert start.tolist() == [0, 4, 0, 0, 0, 4, 8] and length.tolist() == [4, 1, 1, 4, 4, 4, 1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("capacity", [5, 100, 1024])
+def test_groups_are_whole_and_near_equal(seed, capacity):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 300)))
+    fill = P.pack_group(sizes, capacity)
+    sums = [sum(b - a for _, a, b in w) for w in fill]
+    assert max(sums) <= capacity and max(sums) - min(sums) <= max(capacity // 8, 1)
+    assert len(fill) >= -(-int(sizes.sum()) // capacity)
+    whole(fill, sizes)
+
+
+def test_windows_are_those_of_differencing_and_rise_in_number():
+    """The sums are those of differencing alone, for the first number of windows that it keeps within the capacity."""
+    rng = np.random.default_rng(7)
+    rose = 0
+    for n in (40, 80, 160, 320):
+        sizes = rng.integers(1, 1024, n)
+        fill = P.pack_group(sizes, 1024)
+        _, _, length = P.cut(sizes, 128)
+        tops = {k: np.bincount(P.differencing(length, k), length, minlength=k) for k in range(-(-int(sizes.sum()) // 1024), len(fill) + 1)}
+        assert all(s.max() > 1024 for k, s in tops.items() if k < len(fill))
+        assert sorted(sum(b - a for _, a, b in w) for w in fill) == sorted(tops[len(fill)].astype(int).tolist())
+        rose += len(fill) > min(tops)
+        assert 1024 * len(fill) - sizes.sum() < 3 * 1024
+    assert rose
+
+
 def test_sequences_hold_each_id_once(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 999, int(n))) for n in rng.integers(0, 700, 150)]
