@@ -28,6 +28,13 @@ def test_differencing_of_a_known_case():
     assert sorted(sums) == [14, 16]
 
 
+def windows_of(sizes, capacity):
+    fill = defaultdict(list)
+    for w, i, a, n in zip(*(c.tolist() for c in P.pack_group(sizes, capacity))):
+        fill[w].append((i, a, a + n))
+    return [fill[w] for w in range(max(fill) + 1)]
+
+
 def whole(fill, sizes):
     parts = defaultdict(list)
     for w in fill:
@@ -49,7 +56,7 @@ def test_cut_rests():
 def test_groups_are_whole_and_near_equal(seed, capacity):
     rng = np.random.default_rng(seed)
     sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 300)))
-    fill = P.pack_group(sizes, capacity)
+    fill = windows_of(sizes, capacity)
     sums = [sum(b - a for _, a, b in w) for w in fill]
     assert max(sums) <= capacity and max(sums) - min(sums) <= max(capacity // 8, 1)
     assert len(fill) >= -(-int(sizes.sum()) // capacity)
@@ -62,7 +69,7 @@ def test_windows_are_those_of_differencing_and_rise_in_number():
     rose = 0
     for n in (40, 80, 160, 320):
         sizes = rng.integers(1, 1024, n)
-        fill = P.pack_group(sizes, 1024)
+        fill = windows_of(sizes, 1024)
         _, _, length = P.cut(sizes, 128)
         tops = {k: np.bincount(P.differencing(length, k), length, minlength=k) for k in range(-(-int(sizes.sum()) // 1024), len(fill) + 1)}
         assert all(s.max() > 1024 for k, s in tops.items() if k < len(fill))
