@@ -309,6 +309,15 @@ ORACLE = {
       FROM second_release o FULL JOIN (SELECT * FROM handed WHERE turn = 3) h
         ON h.node_type = o.node_type AND h.node_id = o.node_id""",
     "j14_files_to_retire": "SELECT DISTINCT 'S7' AS submission_id, file_name FROM files WHERE has_info AND submission_id = 'S3'",
+    "j14_files_to_restore": "SELECT 'file/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path FROM documents WHERE source IS NOT NULL",
+    "l06_appended_synonyms": """
+      SELECT synonym, term, NOT bool_or(code LIKE '%1') AS added FROM (
+        SELECT code, s1 AS synonym, v1 AS term FROM firsts WHERE s1 IS NOT NULL
+        UNION ALL SELECT code, full_name, v2 FROM firsts WHERE s1 IS NOT NULL) GROUP BY synonym, term""",
+    "l06_appended_concept_codes": """
+      SELECT cde_code, pv, concept_code, NOT bool_or(cde_code LIKE '%1') AS added FROM (
+        SELECT code AS cde_code, v1 AS pv, c1 AS concept_code FROM firsts WHERE c1 IS NOT NULL
+        UNION ALL SELECT code, v2, c2 FROM firsts WHERE c1 IS NOT NULL) GROUP BY ALL""",
     "l01_l02_elements": "SELECT * FROM elems",
     "l03_synonyms": """SELECT s1 AS synonym, v1 AS term FROM firsts WHERE s1 IS NOT NULL
                        UNION SELECT full_name, v2 FROM firsts WHERE s1 IS NOT NULL""",

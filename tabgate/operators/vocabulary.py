@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabgate.functions.text import strip
 from tabgate.operators.rules import KNOWN_TYPES
+from tabgate.operators.upkeep import insert_absent
+from tabgate.sources import json_array
 
 # Field names as they stand in the dump.
 DUMP = """
@@ -15,14 +17,15 @@ DUMP = """
 """
 
 
-def read_dump(spark: SparkSession, *paths: str, multi_line: bool = True) -> DataFrame:
-    """JSON arrays of elements. A dump of one element per line is read in parallel splits."""
-    return spark.read.schema(DUMP).option("multiLine", str(multi_line).lower()).json(list(paths))
+def read_dump(spark: SparkSession, *paths: str) -> DataFrame:
+    """The elements of JSON arrays, with path and position. A large array is read in parallel splits."""
+    return json_array.read_objects(spark, DUMP, *paths)
 
 
 def elements(dump: DataFrame, position: Column | None = None) -> DataFrame:
-    """L1, L2: code, version, full_name, pvs and the raw values; the first of each (code, version)."""
-    at = position if position is not None else F.monotonically_increasing_id()
+    """L1, L2: code, version, full_name, pvs and the raw values; the first of each (code, version), by default as they stand in
+    the files."""
+    at = position if position is not None else F.struct("path", "position")
     named = dump.withColumn("_at", at).filter((F.coalesce("CDECode", F.lit("")) != "") & (F.col("CDECode") != "null"))
     version = F.when(~F.coalesce("CDEVersion", F.lit("")).isin("", "null"), F.col("CDEVersion"))
     rows = named.select(
@@ -76,6 +79,12 @@ def upserted_elements(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
+def appended(stored: DataFrame, fresh: DataFrame, fields: list[str]) -> DataFrame:
+    """Stored synonyms or concept codes, and the distinct fresh ones that are not there yet (``added``)."""
+    new = insert_absent(stored, fresh, fields).withColumn("added", F.lit(True))
+    return stored.select(*fields, F.lit(False).alias("added")).unionByName(new)
+
+
 # --- rule rows ---------------------------------------------------------------------------------
 
 TERM = "STRUCT<Code: STRING, Version: STRING, Origin: STRING>"

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabgate.operators import backfill as N
 from tabgate.operators import delete as I
@@ -285,10 +286,17 @@ def elements(s, d):
 
 
 def dump_scan(s, d):
+    """The dump as files that each hold one array, with line breaks around commas."""
+    rows = file_tables.dump(s, d)
+    entry = F.to_json(F.struct(*[c for c in rows.columns if c != "p_partkey"]))
+    lines = rows.select(F.expr("p_partkey DIV 5000").alias("file_no"), "p_partkey", entry.alias("value"))
+    first = Window.partitionBy("file_no").orderBy("p_partkey")
+    last = F.lead("p_partkey").over(first).isNull()
+    opened = F.when(F.lag("p_partkey").over(first).isNull(), "[ ").otherwise("  ")
     folder = scratch_path(s, "dump")
-    file_tables.dump(s, d).drop("p_partkey").write.json(folder)
-    rows = L.read_dump(s, folder, multi_line=False)
-    return rows.select(
+    lines.select("file_no", F.concat(opened, "value", F.when(last, "\n]").otherwise("\n,")).alias("value")).write.partitionBy(
+        "file_no").text(folder)
+    return L.read_dump(s, folder).select(
         "CDECode", "CDEVersion", "CDEFullName", F.inline("permissibleValues")
     ).withColumn("synonyms", F.array_join("synonyms", "~"))
 
@@ -308,6 +316,25 @@ def upserted_elements(s, d):
     return element_rows(L.upserted_elements(stored_elements(s, d), elements(s, d)))
 
 
+def appended_synonyms(s, d):
+    first = elements(s, d)
+    return L.appended(L.synonym_pairs(first.filter(F.col("code").endswith("1"))), L.synonym_pairs(first), ["synonym", "term"])
+
+
+def appended_codes(s, d):
+    first = elements(s, d)
+    fields = ["cde_code", "pv", "concept_code"]
+    return L.appended(L.concept_triples(first.filter(F.col("code").endswith("1"))), L.concept_triples(first), fields)
+
+
+def restored_files(s, d):
+    """A listing of stored files and of the folders they are in, as object stores give it."""
+    star.tables(s, d, "documents")
+    listed = s.sql("""SELECT 'file/' || source || '/' || CAST(doc_id AS STRING) || '.txt' AS path FROM documents
+                      UNION ALL SELECT DISTINCT 'file/' || source || '/' FROM documents""")
+    return J.files_to_restore(listed)
+
+
 def rule_rows(s, d):
     return L.rule_rows(file_tables.definitions(s, d)).select(
         "model_version", "node_type", "prop", "type", "required", "min", "min_exclusive", "max", "max_exclusive", "pattern",
@@ -431,10 +458,13 @@ QUERIES = {
     "j13_file_urls": file_urls,
     "released_table": released_table,
     "j14_files_to_retire": retired,
+    "j14_files_to_restore": restored_files,
     "l01_l02_elements": lambda s, d: element_rows(elements(s, d).drop("raw")),
     "l03_synonyms": lambda s, d: L.synonym_pairs(elements(s, d)),
     "l04_concept_codes": lambda s, d: L.concept_triples(elements(s, d)),
     "l05_upserted_elements": upserted_elements,
+    "l06_appended_synonyms": appended_synonyms,
+    "l06_appended_concept_codes": appended_codes,
     "n01_study_ids": study_ids,
     "n02_entity_types": lambda s, d: N.with_entity(order_rows(s, d)).select("id", "entity_type"),
     "n03_issue_codes": issue_codes,
