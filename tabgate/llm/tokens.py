@@ -79,15 +79,17 @@ class Encoder:
                 kept.clear()
         found = [self.words.get(w) for w in words]
         strange = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                word = words[i]
-                if not PLAIN.fullmatch(word) or self.special.search(word):
-                    strange.append(i)
-                elif word[0] == " " and word[1:].isalpha():
-                    found[i] = self.words[word] = self._piece(word)
-                else:
-                    found[i] = self.words[word] = b"".join([self._piece(p) for p in PIECES.findall(word)])
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        # Most blocks hold no special text at all; one search tells.
+        special = self.special.search("\n".join([words[i] for i in unseen])) is not None
+        for i in unseen:
+            word = words[i]
+            if not PLAIN.fullmatch(word) or (special and self.special.search(word)):
+                strange.append(i)
+            elif word[0] == " " and word[1:].isalpha():
+                found[i] = self.words[word] = self._piece(word)
+            else:
+                found[i] = self.words[word] = b"".join([self._piece(p) for p in PIECES.findall(word)])
         if strange:
             for i, e in zip(strange, self.tokenizer.encode_batch([words[i] for i in strange], add_special_tokens=False)):
                 found[i] = self.words[words[i]] = np.array(e.ids, np.int32).tobytes()
@@ -115,19 +117,18 @@ class Encoder:
         leading, place = np.unique(of[first[:-1]], return_inverse=True)
         of[first[:-1]] = len(unique) + place
         encoded = self.encode_words([" " + w for w in unique] + [unique[i] for i in leading.tolist()])
+        encoded.append(np.int32(END).tobytes())
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
         flat = np.frombuffer(b"".join(encoded), np.int32)
         starts = np.cumsum(lengths) - lengths
-        # Ids of each text, with room for END.
+        # END is one more word of each text.
+        of = np.insert(of, first[1:], len(encoded) - 1)
         n = lengths[of]
         sums = np.concatenate([[0], np.cumsum(n)])
-        offsets = sums[first] + np.arange(len(first))
-        ids = np.full(int(offsets[-1]), END, np.int32)
-        text_of = np.repeat(np.arange(len(texts)), sizes)
-        to = sums[:-1] + text_of
-        step = np.arange(int(sums[-1]))
-        ids[np.repeat(to - sums[:-1], n) + step] = flat[np.repeat(starts[of] - sums[:-1], n) + step]
-        return ids, offsets
+        offsets = sums[first + np.arange(len(first))]
+        source = np.repeat(starts[of] - sums[:-1], n)
+        source += np.arange(int(sums[-1]))
+        return flat[source], offsets
 
 
 @lru_cache(maxsize=2)
