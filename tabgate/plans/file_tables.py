@@ -26,7 +26,7 @@ LOAD_VALUES = {
 
 
 def load_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star.tables(spark, sf_dir, "lineitem")
+    star.spread_tables(spark, sf_dir, "lineitem")
     v = LOAD_VALUES
     return spark.sql(f"""
       SELECT {v['batch_id']} AS batch_id, {v['file_name']} AS file_name, {v['line_number']} AS line_number,
@@ -36,8 +36,7 @@ def load_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
               'order.order_id', 'part.part_id', 'supplier.supplier_id') AS header,
         array('lineitem', {v['given_id']}, CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), {v['scan_cell']},
               {v['inner_cell']}, {v['size_cell']}, l_returnflag, CAST(l_orderkey AS STRING), {v['part_cell']},
-              {v['supplier_cell']}) AS cells,
-        l_orderkey
+              {v['supplier_cell']}) AS cells
       FROM lineitem""")
 
 
