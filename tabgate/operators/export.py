@@ -9,6 +9,7 @@ from tabgate.functions.ids import with_file_prefix
 from tabgate.functions.text import size_text
 from tabgate.operators.lookup import attach, counted
 from tabgate.operators.release_checks import NEW_UPDATE
+from tabgate.session import stage
 
 NODE = ["data_commons", "node_type", "node_id"]
 GLOBAL_ID_COLUMN = "global_id"
@@ -75,8 +76,8 @@ def export_table(rows: DataFrame, node_type: str, id_prop: str) -> DataFrame:
 
 def column_orders(rows: DataFrame, model_nodes: DataFrame) -> DataFrame:
     """J2 (node_type, order) of all types: type first, key second, the others by name. One row per type, as long as the
-    model has columns for it."""
-    names = rows.select("node_type", F.explode(F.map_keys("columns")).alias("name")).distinct()
+    model has columns for it. ``rows``: node_type, names ARRAY<STRING>."""
+    names = rows.select("node_type", F.explode("names").alias("name")).distinct()
     keys = model_nodes.groupBy("node_type").agg(F.min("id_prop").alias("id_prop"))
     listed = names.groupBy("node_type").agg(F.sort_array(F.collect_list("name")).alias("names")).join(keys, "node_type", "left")
     key = F.filter(F.array("id_prop"), lambda k: F.coalesce(F.array_contains("names", k), F.lit(False)))
@@ -101,10 +102,15 @@ def write_tables(rows: DataFrame, model_nodes: DataFrame, folder: str, rows_per_
     driver. Within a file the header stands first and the rows follow by their text.
     """
     typed = rows.filter(F.coalesce("node_type", F.lit("")) != "")
-    counts = typed.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
-    heads = column_orders(typed, model_nodes).join(counts, "node_type").withColumn(
-        "n_files", F.ceil(F.col("n") / F.lit(rows_per_file)).cast("int")
+    # Rows of a type have few different lists of columns, so one pass leaves a few rows, from which names and numbers follow.
+    shapes = stage(
+        typed.groupBy("node_type", F.map_keys("columns").alias("names")).agg(F.count(F.lit(1)).alias("n")), "export-shapes"
     )
+    counts = shapes.groupBy("node_type").agg(F.sum("n").alias("n"))
+    # Stored, so that the planner knows how small it is and doesn't move all rows of a type to one task.
+    heads = stage(column_orders(shapes, model_nodes).join(counts, "node_type").withColumn(
+        "n_files", F.ceil(F.col("n") / F.lit(rows_per_file)).cast("int")
+    ), "export-heads")
     lines = typed.select("node_type", "columns").join(heads.select("node_type", "order", "n_files"), "node_type").select(
         "node_type", F.lit(1).alias("part"), "n_files",
         tsv_line(F.transform("order", lambda c: F.try_element_at("columns", c))).alias("value"),
@@ -121,7 +127,9 @@ def write_tables(rows: DataFrame, model_nodes: DataFrame, folder: str, rows_per_
 def read_table(spark: SparkSession, folder: str, node_type: str) -> DataFrame:
     """One type's table as it was written."""
     reader = spark.read.option("sep", "\t").option("header", "true").option("escape", '"').option("multiLine", "true")
-    return reader.option("recursiveFileLookup", "true").csv(f"{folder}/node_type={node_type}")
+    path = f"{folder}/node_type={node_type}"
+    # All files of a type have the same header, and there always is a first one.
+    return reader.schema(reader.csv(f"{path}/file=0").schema).option("recursiveFileLookup", "true").csv(path)
 
 
 def with_presence(records: DataFrame, releases: DataFrame) -> DataFrame:
