@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from model import model, node, prop, record, records, rows
 from tabgate.operators import delete as D
 from tabgate.operators import export as O
+from tabgate.operators import properties as P
 from tabgate.operators import relations as R
+from tabgate.operators import release_checks as X
 from tabgate.plans import check_queries, load_queries, star
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,3 +79,42 @@ def test_export_reads_rows_twice_and_keeps_one_head_per_type(spark, tmp_path, mo
     assert stored["export-shapes"].count() == 2 and stored["export-heads"].count() == 2
     back = O.read_table(spark, str(tmp_path / "out"), "a")
     assert back.columns == ["type", "k"] and back.count() == 9
+
+
+def test_cells_carry_no_lists(spark):
+    """Vocabularies are looked up in the term index; no cell has a copy of its own."""
+    assert "pvs" not in check_queries.cells(spark, FOLDER).columns
+
+
+def test_release_check_meets_only_compared_records(spark):
+    nodes, props, _ = model(spark, [node("sample", "sample_id")], [prop("sample", "sample_id")])
+    given = records(spark, record("r1", node_id="a"), record("r2", node_id="b", props={"sample_id": "b"}),
+                    record("r3", submission_id="s2", node_id="a"), record("r4", submission_id="s2", node_id="c"))
+    releases = records(spark, record("x", node_id="a")).withColumnRenamed("record_id", "release_id").withColumn(
+        "status", F.lit("Released"))
+    subs = spark.createDataFrame([("s1", "New/Update"), ("s2", "Delete")], "submission_id STRING, intention STRING")
+    assert {r["record_id"] for r in X.compared(given, releases, subs).collect()} == {"r1", "r4"}
+    fixes = spark.createDataFrame([("r1", "kind", "y"), ("r2", "kind", "y")], "record_id STRING, prop STRING, new_value STRING")
+    facts = P.node_facts(nodes, props)
+    assert rows(X.release_issues(given, releases, subs, facts), "record_id", "code") == [("r4", "M019")]
+    assert rows(X.release_issues(given, releases, subs, facts, fixes), "record_id", "code") == [("r1", "M018"), ("r4", "M019")]
+
+
+def test_pardon_needs_no_records(spark):
+    """Issues that carry their data commons meet the releases without the records."""
+    issues = spark.createDataFrame(
+        [("s1", "r1", "sample", "a", "M003", "dc"), ("s1", "r2", "sample", "b", "M003", "dc"), ("s1", "r1", "sample", "a", "M010", None)],
+        "submission_id STRING, record_id STRING, node_type STRING, node_id STRING, code STRING, data_commons STRING")
+    releases = records(spark, record("x", node_id="a")).withColumnRenamed("record_id", "release_id").withColumn(
+        "status", F.lit("Released"))
+    subs = spark.createDataFrame([("s1", "New/Update")], "submission_id STRING, intention STRING")
+    left = X.without_pardoned(issues, None, releases, subs)
+    assert rows(left, "record_id", "code") == [("r1", "M010"), ("r2", "M003")]
+
+
+def test_only_text_and_booleans_meet_the_vocabulary_for_corrections(spark):
+    """Numbers keep their value, so they are left out before the look-up."""
+    terms = check_queries.context(spark, FOLDER)[1].index
+    named = check_queries.named(spark, FOLDER)
+    plan = P.corrections(P.with_terms(named, terms), P.list_terms(named, terms).limit(0))
+    assert "type#" in plan_of(plan) and " IN (string,boolean)" in plan_of(plan)
