@@ -10,7 +10,9 @@ from tabgate.operators import export as O
 from tabgate.operators import properties as P
 from tabgate.operators import relations as R
 from tabgate.operators import release_checks as X
+from tabgate.functions import text, typed
 from tabgate.plans import check_queries, load_queries, star
+from tabgate.session import even_reads
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -118,3 +120,36 @@ def test_only_text_and_booleans_meet_the_vocabulary_for_corrections(spark):
     named = check_queries.named(spark, FOLDER)
     plan = P.corrections(P.with_terms(named, terms), P.list_terms(named, terms).limit(0))
     assert "type#" in plan_of(plan) and " IN (string,boolean)" in plan_of(plan)
+
+
+def test_cell_checks_are_small_enough_to_be_compiled(spark):
+    """HotSpot leaves methods of more than 8,000 bytes to its interpreter; registered names meet only the cells they are about."""
+    named = check_queries.named(spark, FOLDER)
+    matched = P.with_terms(P.with_parsed(named), check_queries.context(spark, FOLDER)[1].index)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = matched.select("*")._jdf.queryExecution().debug().codegenToSeq()
+        parts = [found.apply(i) for i in range(found.size())]
+        # One part makes the few cells of registered names, the other all the rest.
+        assert min(p._3().maxMethodCodeSize() for p in parts if "explode(props" in p._1()) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_small_files_are_read_by_their_size(spark, tmp_path):
+    """The few files with most rows don't come to one task."""
+    folder = str(tmp_path / "rows")
+    for n, (rows_, files) in enumerate(((400_000, 4), (400, 40))):
+        spark.range(rows_).select(F.xxhash64("id")).repartition(files).write.parquet(f"{folder}/part={n}")
+    even_reads(spark)
+    sizes = spark.read.parquet(folder).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 200_000
+
+
+def test_stripped_values_and_numbers(spark):
+    """Looking at both ends first changes nothing."""
+    given = ["", " ", "a", " a", "a ", "\u00a0a", "a\u3000", "~a!", "a b", "\x7fa", "é", " é", "\x1fa\x85", "!", None]
+    rows_ = spark.createDataFrame([(v,) for v in given], "v STRING")
+    assert [r[0] for r in rows_.select(text.strip(F.col("v"))).collect()] == [v if v is None else v.strip(text.SPACES) for v in given]
+    numbers = spark.createDataFrame([(v,) for v in ("+007", "-0", "00", " 1_000 ", "-012", "+", "1__0", None)], "v STRING")
+    assert [r[0] for r in numbers.select(typed.integer_text(F.col("v"))).collect()] == ["7", "0", "0", "1000", "-12", None, None, None]
