@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabgate.llm.tokens import encoder
+from tabgate.llm.tokens import Encoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,3 +44,13 @@ def test_words_are_dropped_at_the_bound(monkeypatch):
 def test_no_texts():
     ids, offsets = encoder(PATH).encode(pa.array([], pa.string()))
     assert len(ids) == 0 and np.array_equal(offsets, [0])
+
+
+def test_words_of_one_token_share_its_bytes():
+    """Kept words hold no bytes of their own for an id; line feeds and letters beyond ASCII are written as before."""
+    e = Encoder(PATH)
+    first, again = e.encode_words([" the", "the"]), e.encode_words([" the"])
+    assert first[0] is e.ids[int.from_bytes(first[0], "little")] and again[0] is first[0]
+    for word in (" the", "the\nend", " caf\u00e9", " x\n", " a1b"):
+        want = e.tokenizer.encode(word, add_special_tokens=False).ids
+        assert b"".join(i.to_bytes(4, "little") for i in want) == e.encode_words([word])[0]
