@@ -153,3 +153,29 @@ def test_stripped_values_and_numbers(spark):
     assert [r[0] for r in rows_.select(text.strip(F.col("v"))).collect()] == [v if v is None else v.strip(text.SPACES) for v in given]
     numbers = spark.createDataFrame([(v,) for v in ("+007", "-0", "00", " 1_000 ", "-012", "+", "1__0", None)], "v STRING")
     assert [r[0] for r in numbers.select(typed.integer_text(F.col("v"))).collect()] == ["7", "0", "0", "1000", "-12", None, None, None]
+
+
+def kept_stages(monkeypatch, module):
+    """What a module stores, by label."""
+    stored = {}
+
+    def kept(df, label, stage=module.stage):
+        stored[label] = stage(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(module, "stage", kept)
+    return stored
+
+
+def test_only_types_looked_for_are_asked_for_parents(spark, monkeypatch):
+    """Records that are nobody's parent, such as files, don't travel to the parents looked for."""
+    stored = kept_stages(monkeypatch, R)
+    given = records(spark, record("r1", node_id="a", props={"sample_id": "a", "other": "b"}), record("r2", node_type="file", node_id="f", props={"file_id": "f"}))
+    keys = spark.createDataFrame([("s1", "dc", "sample", "sample_id", "a", 1), ("s1", "dc", "sample", "other", "a", 1), ("s1", "dc", "sample", "sample_id", "z", 1)],
+                                 "submission_id STRING, data_commons STRING, parent_type STRING, parent_id_prop STRING, parent_id_value STRING, n_edges BIGINT")
+    released = records(spark, record("x", node_id="z")).limit(0)
+    found = R.present_parents(keys, given, released)
+    assert rows(found, "parent_id_prop", "parent_id_value", "present") == [("other", "a", False), ("sample_id", "a", True), ("sample_id", "z", False)]
+    assert [r[0] for r in stored["parent-types"].collect()] == ["sample"]
+    released = records(spark, record("x", node_id="z"))
+    assert rows(R.present_parents(keys, given, released), "parent_id_value", "present") == [("a", False), ("a", True), ("z", True)]
