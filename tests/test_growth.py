@@ -179,3 +179,7 @@ def test_only_types_looked_for_are_asked_for_parents(spark, monkeypatch):
     assert [r[0] for r in stored["parent-types"].collect()] == ["sample"]
     released = records(spark, record("x", node_id="z"))
     assert rows(R.present_parents(keys, given, released), "parent_id_value", "present") == [("a", False), ("a", True), ("z", True)]
+
+
+def test_pardoned_issues_look_at_all_cells_once(spark):
+    assert "explode(props" not in plan_of(check_queries.pardoned(spark, FOLDER))
