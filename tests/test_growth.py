@@ -181,5 +181,12 @@ def test_only_types_looked_for_are_asked_for_parents(spark, monkeypatch):
     assert rows(R.present_parents(keys, given, released), "parent_id_value", "present") == [("a", False), ("a", True), ("z", True)]
 
 
+def test_records_are_not_sent_to_the_facts_of_their_types(spark):
+    """Node facts are a few rows of known size: were the records the smaller side to the planner, one task would make all cells."""
+    found = check_queries.cells(spark, FOLDER).filter("has_rule IS NULL")
+    found.collect()  # sizes change while the plan runs
+    assert "BuildRight" in plan_of(found) and "BuildLeft" not in plan_of(found)
+
+
 def test_pardoned_issues_look_at_all_cells_once(spark):
     assert "explode(props" not in plan_of(check_queries.pardoned(spark, FOLDER))
