@@ -17,13 +17,16 @@ METADATA_ONLY = "Metadata Only"
 OPEN_CODE = "-1"
 
 
-def export_cells(is_main: Column) -> Column:
-    """The exported columns of a record as a map, built inside the row.
+def _nothing() -> Column:
+    return F.create_map().cast("map<string,string>")
 
-    Properties, type, global id of main nodes, generated properties and one column per parent type
-    with its ids joined; a later source replaces an earlier one of the same name.
-    """
-    nothing = F.create_map().cast("map<string,string>")
+
+def _generated() -> Column:
+    return F.coalesce("generated_props", _nothing())
+
+
+def _parent_columns() -> Column:
+    """One column per parent type, named after the first of its id properties, with its ids joined."""
     kinds = F.array_distinct(F.transform("parents", lambda p: p["parent_type"]))
 
     def of_type(kind: Column) -> Column:
@@ -33,30 +36,46 @@ def export_cells(is_main: Column) -> Column:
             F.array_join(F.transform(same, lambda p: p["parent_id_value"]), " | ").alias("value"),
         )
 
-    parents = F.map_from_entries(F.transform(kinds, of_type))
-    own = F.map_filter(
-        F.coalesce("props", nothing),
-        lambda k, v: (k != "type") & (k != GLOBAL_ID_COLUMN) & ~F.map_contains_key(_generated(), k)
-        & ~F.map_contains_key(parents, k),
-    )
-    ident = F.when(
-        is_main & F.col("global_id").isNotNull(), F.create_map(F.lit(GLOBAL_ID_COLUMN), F.col("global_id"))
-    ).otherwise(nothing)
-    whole = F.map_concat(own, F.create_map(F.lit("type"), F.col("node_type")), ident, _generated(), parents)
-    return F.transform_values(
-        whole, lambda k, v: F.when(v == "True", "true").when(v == "False", "false").otherwise(v)
-    )
-
-
-def _generated() -> Column:
-    return F.coalesce("generated_props", F.create_map().cast("map<string,string>"))
+    # Most records have one parent of a type, so there is nothing to search for or to join.
+    each = F.transform("parents", lambda p: F.struct(
+        F.concat(p["parent_type"], F.lit("."), p["parent_id_prop"]).alias("key"),
+        F.coalesce(p["parent_id_value"], F.lit("")).alias("value"),
+    ))
+    single = F.size(kinds) == F.size("parents")
+    return F.map_from_entries(F.when(single, each).otherwise(F.transform(kinds, of_type)))
 
 
 def export_rows(records: DataFrame, model_nodes: DataFrame) -> DataFrame:
-    """Records with their ``columns`` map."""
+    """Records with their exported ``columns`` as a map, built inside the row, and the ``names`` of these.
+
+    Properties, type, global id of main nodes, generated properties and one column per parent type
+    with its ids joined; a later source replaces an earlier one of the same name. What is used more than once is a column of
+    its own: inside the function of a filter it would be worked out again for each property.
+    """
     main = model_nodes.select("data_commons", "model_version", "node_type", "is_main")
     joined = records.join(main, ["data_commons", "model_version", "node_type"], "left")
-    return joined.withColumn("columns", export_cells(F.coalesce("is_main", F.lit(False)))).drop("is_main")
+    has_ident = F.coalesce("is_main", F.lit(False)) & F.col("global_id").isNotNull()
+    rows = joined.withColumns({
+        "_made": _generated(), "_up": _parent_columns(),
+        "_ident": F.when(has_ident, F.create_map(F.lit(GLOBAL_ID_COLUMN), F.col("global_id"))).otherwise(_nothing()),
+    }).withColumn(
+        "_taken", F.concat(F.array(F.lit("type"), F.lit(GLOBAL_ID_COLUMN)), F.map_keys("_made"), F.map_keys("_up"))
+    ).withColumn("_given", F.coalesce("props", _nothing()))
+    # Few records have a property that something else replaces.
+    own = F.when(
+        F.arrays_overlap(F.map_keys("_given"), "_taken"),
+        F.map_filter("_given", lambda k, v: ~F.array_contains("_taken", k)),
+    ).otherwise(F.col("_given"))
+    whole = F.map_concat(own, F.create_map(F.lit("type"), F.col("node_type")), "_ident", "_made", "_up")
+    shown = F.transform_values(
+        whole, lambda k, v: F.when(v == "True", "true").when(v == "False", "false").otherwise(v)
+    )
+    names = F.concat(
+        F.array_except(F.map_keys("_given"), "_taken"), F.array(F.lit("type")), F.map_keys("_ident"), F.map_keys("_made"),
+        F.map_keys("_up"),
+    )
+    return rows.withColumns({"columns": shown, "names": names}).drop(
+        "is_main", "_made", "_up", "_ident", "_taken", "_given")
 
 
 def column_order(rows: DataFrame, id_prop: str) -> list[str]:
@@ -87,11 +106,16 @@ def column_orders(rows: DataFrame, model_nodes: DataFrame) -> DataFrame:
 
 def tsv_line(cells: Column) -> Column:
     """Cells as a line: null as nothing, quotes around what holds a tab, a quote or a line end."""
+    odd = '[\t\n\r"]'
+
     def shown(cell: Column) -> Column:
         quoted = F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))
-        return F.coalesce(F.when(cell.rlike('[\t\n\r"]'), quoted).otherwise(cell), F.lit(""))
+        return F.coalesce(F.when(cell.rlike(odd), quoted).otherwise(cell), F.lit(""))
 
-    return F.array_join(F.transform(cells, shown), "\t")
+    # Few rows hold any of these, so a row is searched whole before its cells are.
+    return F.when(
+        F.array_join(cells, "").rlike(odd), F.array_join(F.transform(cells, shown), "\t")
+    ).otherwise(F.array_join(cells, "\t", ""))
 
 
 def write_tables(rows: DataFrame, model_nodes: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> None:
@@ -103,17 +127,21 @@ def write_tables(rows: DataFrame, model_nodes: DataFrame, folder: str, rows_per_
     """
     typed = rows.filter(F.coalesce("node_type", F.lit("")) != "")
     # Rows of a type have few different lists of columns, so one pass leaves a few rows, from which names and numbers follow.
+    # It needs no cells if the rows come with their names.
+    names = F.col("names") if "names" in rows.columns else F.map_keys("columns")
     shapes = stage(
-        typed.groupBy("node_type", F.map_keys("columns").alias("names")).agg(F.count(F.lit(1)).alias("n")), "export-shapes"
+        typed.groupBy("node_type", names.alias("names")).agg(F.count(F.lit(1)).alias("n")), "export-shapes"
     )
     counts = shapes.groupBy("node_type").agg(F.sum("n").alias("n"))
     # Stored, so that the planner knows how small it is and doesn't move all rows of a type to one task.
     heads = stage(column_orders(shapes, model_nodes).join(counts, "node_type").withColumn(
         "n_files", F.ceil(F.col("n") / F.lit(rows_per_file)).cast("int")
     ), "export-heads")
-    lines = typed.select("node_type", "columns").join(heads.select("node_type", "order", "n_files"), "node_type").select(
-        "node_type", F.lit(1).alias("part"), "n_files",
-        tsv_line(F.transform("order", lambda c: F.try_element_at("columns", c))).alias("value"),
+    listed = typed.select("node_type", "columns").join(heads.select("node_type", "order", "n_files"), "node_type").select(
+        "node_type", "n_files", F.transform("order", lambda c: F.try_element_at("columns", c)).alias("cells"),
+    )
+    lines = listed.select(
+        "node_type", F.lit(1).alias("part"), "n_files", tsv_line(F.col("cells")).alias("value")
     ).select("node_type", F.pmod(F.xxhash64("value"), F.col("n_files")).cast("int").alias("file"), "part", "value")
     headers = heads.select(
         "node_type", F.explode(F.sequence(F.lit(0), F.col("n_files") - 1)).alias("file"), F.lit(0).alias("part"),
