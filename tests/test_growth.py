@@ -190,3 +190,58 @@ def test_records_are_not_sent_to_the_facts_of_their_types(spark):
 
 def test_pardoned_issues_look_at_all_cells_once(spark):
     assert "explode(props" not in plan_of(check_queries.pardoned(spark, FOLDER))
+
+
+def test_issues_are_made_of_failing_rows_only(spark):
+    """The conditions come first and are compiled; the lists of issues, which are not, are made where one holds."""
+    named = check_queries.named(spark, FOLDER)
+    matched = P.with_terms(P.with_parsed(named), check_queries.context(spark, FOLDER)[1].index)
+    found = P.cell_issues(matched, P.required_faults(), P.name_faults(), P.type_faults(), P.vocabulary_faults())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(filter(array" not in plan and "Filter (size(CASE" not in plan
+    assert plan.count("filter(array(") == 1
+
+
+def test_list_cells_are_made_once_and_of_types_with_lists(spark, monkeypatch):
+    stored = kept_stages(monkeypatch, P)
+    given, (ctx, ready) = check_queries.records(spark, FOLDER), check_queries.context(spark, FOLDER)
+    kinds = P.with_lists(given, ready.rules).select("node_type").distinct()
+    assert sorted(r[0] for r in kinds.collect()) == ["order", "part"]
+    lists = check_queries.validate.list_cells(given, ctx, ready)
+    assert "explode(props" not in plan_of(lists)
+    assert lists.count() == stored["lists"].count() > 0
+
+
+def test_concept_cells_are_made_once(spark):
+    assert "explode(props" not in plan_of(check_queries.concept_codes(spark, FOLDER))
+
+
+def test_parents_of_different_kinds_are_not_looked_at_one_by_one(spark):
+    """Two parents of one kind among three: all edges of that record are looked at, no edge of others."""
+    given, (ctx, _) = check_queries.records(spark, FOLDER), check_queries.context(spark, FOLDER)
+    plan = R.several_parents(given, ctx.model_nodes, ctx.model_props, ctx.model_rels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(array_distinct" in plan
+
+
+def test_consent_codes_of_files_are_those_of_what_they_reach(spark, monkeypatch):
+    """Codes join the nodes above files, not the files; a group reached twice counts once, two groups of one code twice."""
+    def rec(kind, ident, *parents, **over):
+        return record(f"{kind}:{ident}", node_type=kind, node_id=ident, parents=[
+            {"parent_type": p, "parent_id_prop": f"{p}_id", "parent_id_value": v} for p, v in parents], **over)
+
+    kinds = spark.createDataFrame([("dc", "1", "file")], "data_commons STRING, model_version STRING, node_type STRING")
+    given = records(
+        spark, rec("file", "twice", ("case", "a"), ("case", "b")), rec("file", "same", ("case", "a"), ("case", "c")),
+        rec("file", "mixed", ("case", "a"), ("case", "o")), rec("file", "blank", ("case", "n")), rec("file", "gone", ("case", "x")),
+        rec("case", "a", ("group", "1")), rec("case", "b", ("group", "1")), rec("case", "c", ("group", "2")),
+        rec("case", "o", ("group", "3")), rec("case", "n", ("group", "4"), ("group", "5")),
+        rec("group", "1", props={"number": "7"}), rec("group", "2", props={"number": "7"}), rec("group", "3", props={"number": "-1"}),
+        rec("group", "4", props={"number": ""}))
+    released = records(spark, record("x", node_id="z")).limit(0).withColumn("release_id", F.col("record_id"))
+    stored = kept_stages(monkeypatch, R)
+    codes = R.file_consent_codes(given, released, kinds, "group", "number")
+    assert rows(codes, "record_id", "codes", "conflict") == [
+        ("file:blank", [], False), ("file:mixed", [], True), ("file:same", ["7", "7"], False), ("file:twice", ["7"], False)]
+    assert "reach" not in stored
+    again = R.consent_codes(R.consent_reach(given, released, kinds, "group"), given, released, "group", "number")
+    assert rows(again, "record_id", "codes", "conflict") == rows(codes, "record_id", "codes", "conflict")
