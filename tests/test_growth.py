@@ -245,3 +245,12 @@ def test_consent_codes_of_files_are_those_of_what_they_reach(spark, monkeypatch)
     assert "reach" not in stored
     again = R.consent_codes(R.consent_reach(given, released, kinds, "group"), given, released, "group", "number")
     assert rows(again, "record_id", "codes", "conflict") == rows(codes, "record_id", "codes", "conflict")
+
+
+def test_recommendations_are_compiled(spark):
+    """A filter on the advice repeated the text of a number at every place, in more than 64 KB of code that the JVM refuses."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert check_queries.recommendations(spark, FOLDER).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
