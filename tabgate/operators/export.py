@@ -27,7 +27,7 @@ def _generated() -> Column:
 
 def _parent_columns() -> Column:
     """One column per parent type, named after the first of its id properties, with its ids joined."""
-    kinds = F.array_distinct(F.transform("parents", lambda p: p["parent_type"]))
+    kinds = F.array_distinct(F.col("parents.parent_type"))
 
     def of_type(kind: Column) -> Column:
         same = F.filter("parents", lambda p: p["parent_type"] == kind)

@@ -254,3 +254,19 @@ def test_recommendations_are_compiled(spark):
         assert check_queries.recommendations(spark, FOLDER).count() > 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_parents_that_lead_nowhere_are_not_walked(spark, monkeypatch):
+    """Files name nodes of a type without parents: these are neither counted nor climbed from."""
+    def rec(kind, ident, *parents):
+        return record(f"{kind}:{ident}", node_type=kind, node_id=ident, parents=[
+            {"parent_type": p, "parent_id_prop": f"{p}_id", "parent_id_value": v} for p, v in parents])
+
+    kinds = spark.createDataFrame([("dc", "1", "file")], "data_commons STRING, model_version STRING, node_type STRING")
+    given = records(
+        spark, rec("file", "f", ("case", "a"), ("part", "p"), ("old", "o")), rec("part", "p"), rec("case", "a", ("group", "1")))
+    released = records(spark, rec("old", "o", ("group", "2"))).withColumn("release_id", F.col("record_id"))
+    stored = kept_stages(monkeypatch, R)
+    reach = R.consent_reach(given, released, kinds, "group")
+    assert rows(reach, "record_id", "group_id") == [("file:f", "1"), ("file:f", "2")]
+    assert rows(stored["file-parents"], "parent_type") == [("case",), ("old",)]
